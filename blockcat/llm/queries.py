@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from blockcat.llm import exact_dedup, licenses, mixing, packing, secrets, simhash, token_files
+from blockcat.llm import exact_dedup, licenses, mixing, packing, secrets, simhash, token_files, vectors
 from blockcat.llm.common import shared_folder, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -36,6 +36,10 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, path)
 
 
+def op7_vector_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicates(table(spark, sf_dir, "documents"))
 
@@ -44,7 +48,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op3_source_mixing, op4_simhash_near_dedup, op5_license_scan, op6_token_files, op9_exact_dedup, op10_secret_scan)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op3_source_mixing, op4_simhash_near_dedup, op5_license_scan, op6_token_files, op7_vector_near_dedup, op9_exact_dedup, op10_secret_scan)}
 
 ORACLE: dict[str, str] = {
     "op3_source_mixing": r"""

@@ -37,7 +37,7 @@ from blockcat.llm.components import components, roots
 
 COSINE = 0.95
 #: Independent codes, the filters of each that a vector reaches on average, and their seed.
-CODES, REACH, SEED = 4, 12, 20_240_229
+CODES, REACH, SEED = 6, 12, 20_240_229
 #: Rows of a filter compared at once; a larger one is split into pairs of blocks.
 BLOCK = 1024
 
@@ -87,6 +87,10 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _filters_before(rows: dict, which: np.ndarray, word: int) -> dict[int, frozenset]:
+    return {r: frozenset(w for w in ws if w < word) for r, ws in zip(which.tolist(), rows["words"].take(pa.array(which)).to_pylist(), strict=True)}
+
+
 def _compare(a: dict, b: dict | None, word: int, cosine: float) -> tuple[list, list]:
     """Links within rows ``a`` of a filter (or between ``a`` and ``b``): counts as (class, links), forest as (class, class)."""
     other = a if b is None else b
@@ -98,19 +102,19 @@ def _compare(a: dict, b: dict | None, word: int, cosine: float) -> tuple[list, l
     if not len(i):
         return [], []
     # a pair counts here if it shares no filter before this one
-    if len(i) <= 20_000:
-        earlier = np.array([bool(a["before"][x] & other["before"][y]) for x, y in zip(i.tolist(), j.tolist(), strict=True)])
+    left, right = _filters_before(a, np.unique(i), word), _filters_before(other, np.unique(j), word)
+    if len(i) <= 5_000:
+        earlier = np.array([not left[x].isdisjoint(right[y]) for x, y in zip(i.tolist(), j.tolist(), strict=True)])
     else:
-        own = sorted(set().union(*a["before"]) & set().union(*other["before"]))
-        place = {w: k for k, w in enumerate(own)}
+        own = {w: k for k, w in enumerate(set().union(*left.values()) & set().union(*right.values()))}
 
-        def mask(rows: list[frozenset]) -> np.ndarray:
-            m = np.zeros((len(rows), len(own)), dtype=np.float32)
-            for r, ws in enumerate(rows):
-                m[r, [place[w] for w in ws if w in place]] = 1
+        def mask(sets: dict[int, frozenset], n: int) -> np.ndarray:
+            m = np.zeros((n, len(own)), dtype=np.float32)
+            for r, ws in sets.items():
+                m[r, [own[w] for w in ws if w in own]] = 1
             return m
 
-        earlier = ((mask(a["before"]) @ mask(other["before"]).T) > 0)[i, j]
+        earlier = ((mask(left, len(a["key"])) @ mask(right, len(other["key"])).T) > 0)[i, j]
     new_i, new_j = i[~earlier], j[~earlier]
     counts = []
     if len(new_i):
@@ -123,9 +127,7 @@ def _compare(a: dict, b: dict | None, word: int, cosine: float) -> tuple[list, l
 
 def _verify(dim: int, cosine: float):
     def rows(t: pa.Table) -> dict:
-        words = t.column("words").to_pylist()
-        own = t.column("word").to_pylist()
-        return {"unit": _unit(_matrix(t.column("vector").combine_chunks(), dim)), "key": t.column("key").to_numpy(), "copies": t.column("copies").to_numpy(), "before": [frozenset(x for x in ws if x < w) for ws, w in zip(words, own, strict=True)]}
+        return {"unit": _unit(_matrix(t.column("vector").combine_chunks(), dim)), "key": t.column("key").to_numpy(), "copies": t.column("copies").to_numpy(), "words": t.column("words").combine_chunks()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(found: tuple[list, list]) -> Iterator[pa.RecordBatch]:
@@ -194,6 +196,7 @@ def _of_one_length(valid: DataFrame, dim: int, cosine: float, codes: int, reach:
     classes = stored(named.groupBy("key", "vector").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies")), "vector-classes")
     n = classes.count()
     filters = [Code(dim, n, reach, seed + k) for k in range(codes)]
+    number = "int" if codes * filters[0].filters < 1 << 31 else "long"
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -205,9 +208,9 @@ def _of_one_length(valid: DataFrame, dim: int, cosine: float, codes: int, reach:
                 order = np.lexsort((word, row))
                 row, word = row[order], word[order]
                 ends = np.searchsorted(row, np.arange(part.num_rows + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column("key"), part.column("vector"), part.column("copies"), pa.ListArray.from_arrays(pa.array(ends), pa.array(word))], names=["key", "vector", "copies", "words"])
+                yield pa.RecordBatch.from_arrays([part.column("key"), part.column("vector"), part.column("copies"), pa.ListArray.from_arrays(pa.array(ends), pa.array(word, type=pa.int32() if number == "int" else pa.int64()))], names=["key", "vector", "copies", "words"])
 
-    coded = stored(classes.select("key", "vector", "copies").mapInArrow(decode, f"key long, vector {dict(valid.dtypes)['vector']}, copies long, words array<long>"), "vector-filters")
+    coded = stored(classes.select("key", "vector", "copies").mapInArrow(decode, f"key long, vector {dict(valid.dtypes)['vector']}, copies long, words array<{number}>"), "vector-filters")
     # filters of more than a block of rows are dealt out as pairs of blocks
     full = coded.select(F.explode("words").alias("w")).groupBy("w").count().filter(F.col("count") > block).select("w", F.ceil(F.col("count") / block).cast("int").alias("pieces"))
     full = stored(full, "full-filters")

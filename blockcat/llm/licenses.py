@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockcat.llm.common import text_bytes
+from blockcat.llm.common import text_bytes, words
 
 # The base phrases and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -59,14 +59,6 @@ TEMPLATES = (
 #: Rare words of a template that are looked up, how many must agree on a place, and the weight of its words to be found there.
 ANCHORS, AGREE, WEIGHT = 6, 2, 0.6
 
-_WORD_BYTES = bytes(c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in (x + 32 if 0x41 <= x <= 0x5A else x for x in range(256)))
-
-
-def words(text: bytes) -> list[bytes]:
-    """Lower-cased (A-Z) words: runs of letters a-z, digits and whatever isn't ASCII."""
-    return text.translate(_WORD_BYTES).split()
-
-
 @dataclass(frozen=True)
 class Template:
     label: str

@@ -7,17 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from blockcat.operators.blocks import cut, digest
+from blockcat.plans import block_queries, catalog_queries, scalar_queries
+
 
 def block_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents cut into blocks with SHA-256 digests: per language, blocks, bytes and distinct digests."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("lang", F.coalesce("text", F.lit("")).cast("binary").alias("body"))
-    size = 1024
-    blocks = docs.select("lang", "body", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.expr(f"cast((octet_length(body) + {size - 1}) div {size} as int) - 1")))).alias("idx"))
-    blocks = blocks.select("lang", F.substring("body", F.col("idx") * size + 1, F.lit(size)).alias("block"))
-    return blocks.groupBy("lang").agg(F.count("*").alias("n_blocks"), F.sum(F.octet_length("block").cast("long")).alias("bytes"), F.countDistinct(F.sha2("block", 256)).alias("n_distinct"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("lang", F.coalesce("text", F.lit("")).alias("body"))
+    blocks = cut(docs, "lang", "body", 1024, keep_empty=True)
+    return blocks.groupBy("lang").agg(F.count("*").alias("n_blocks"), F.sum(F.octet_length("data").cast("long")).alias("bytes"), F.countDistinct(digest(F.col("data"))).alias("n_distinct"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"block_catalog": block_catalog}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"block_catalog": block_catalog, **scalar_queries.QUERIES, **catalog_queries.QUERIES, **block_queries.QUERIES}
 
 ORACLE: dict[str, str] = {
     "block_catalog": """
@@ -25,5 +26,8 @@ ORACLE: dict[str, str] = {
         b AS (SELECT lang, body, unnest(range(0, greatest(1, (octet_length(body) + 1023) // 1024))) AS idx FROM d),
         c AS (SELECT lang, body[idx * 1024 + 1 : (idx + 1) * 1024] AS block FROM b)
         SELECT lang, count(*) AS n_blocks, sum(octet_length(block))::BIGINT AS bytes, count(DISTINCT sha256(block)) AS n_distinct
-        FROM c GROUP BY lang"""
+        FROM c GROUP BY lang""",
+    **scalar_queries.ORACLE,
+    **catalog_queries.ORACLE,
+    **block_queries.ORACLE,
 }

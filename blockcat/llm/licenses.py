@@ -44,7 +44,9 @@ TEMPLATES = (
     ("cc-by-sa", "licensed under cc by sa 4 0", ("cc by sa",)),
     ("cc-by-text", "this work is licensed under a creative commons attribution 4 0 international license", ("creative commons attribution",)),
     ("cc0", "to the extent possible under law the author has dedicated all copyright and related rights to the public domain", ("possible under law", "public domain")),
+    ("gpl-2.0", "gnu general public license version 2", ("gnu general public license version 2",)),
     ("gpl-2.0", "this work is licensed under the gnu general public license version 2", ("gnu general public license version 2",)),
+    ("gpl-3.0", "gnu general public license version 3", ("gnu general public license version 3",)),
     ("gpl-3.0", "this work is licensed under the gnu general public license version 3", ("gnu general public license version 3",)),
     ("gpl-notice", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", ("free software", "gnu general public license")),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ("permission to use copy modify", "hereby granted")),

@@ -25,7 +25,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -37,18 +36,33 @@ from blockcat.llm.components import components, roots
 
 COSINE = 0.95
 #: Independent codes, the filters of each that a vector reaches on average, and their seed.
-CODES, REACH, SEED = 6, 12, 20_240_229
+CODES, REACH, SEED = 6, 8, 20_240_229
+#: A cap is at least so many times as wide as the angle of two vectors that just link (only low dimensions come near).
+WIDEST = 1.6
 #: Rows of a filter compared at once; a larger one is split into pairs of blocks.
 BLOCK = 1024
 
 
+def _cap(dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Angles from 0 to pi, and the share of the sphere within each of a direction."""
+    angle = np.linspace(0, np.pi, 20_001)
+    share = np.cumsum(np.sin(angle) ** (dim - 2)) if dim > 1 else np.where(angle < np.pi, 0.5, 1.0)
+    return angle, share / share[-1]
+
+
 class Code:
-    """The filters for ``n`` vectors of ``dim`` components."""
+    """The filters for ``n`` vectors of ``dim`` components that should link at ``cosine``."""
 
-    def __init__(self, dim: int, n: int, reach: float = REACH, seed: int = SEED):
+    def __init__(self, dim: int, n: int, cosine: float = COSINE, reach: float = REACH, seed: int = SEED):
         rng = np.random.default_rng([dim, seed])
-        self.dim, self.blocks = dim, min(dim, 2 if n <= 1 << 18 else 3)
-        self.size = max(32, min(2048, math.ceil(max(n, 1) ** (1 / self.blocks))))
+        self.dim, self.blocks = dim, 1 if dim < 8 else 2 if n <= 1 << 22 or dim < 24 else 3
+        size = max(32, min(2048, math.ceil(max(n, 1) ** (1 / self.blocks))))
+        angles, share = _cap(dim)
+        narrow = float(np.interp(min(0.5, reach / size**self.blocks), share, angles))
+        angle = max(narrow, WIDEST * math.acos(cosine))
+        if angle > narrow:  # wider caps, and so fewer of them
+            size = max(4, math.ceil((reach / float(np.interp(angle, angles, share))) ** (1 / self.blocks)))
+        self.size, self.height = size, math.cos(angle)
         self.turn = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
         self.cuts = np.linspace(0, dim, self.blocks + 1).astype(int)
         self.codes = []
@@ -56,7 +70,6 @@ class Code:
             c = rng.standard_normal((self.size, z - a))
             self.codes.append((c / np.linalg.norm(c, axis=1, keepdims=True) / math.sqrt(self.blocks)).astype(np.float32))
         self.filters = self.size**self.blocks
-        self.height = NormalDist().inv_cdf(1 - min(0.5, reach / self.filters)) / math.sqrt(dim)
 
     def decode(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, filter) of all filters that unit vectors reach, by row and filter."""
@@ -195,7 +208,7 @@ def _of_one_length(valid: DataFrame, dim: int, cosine: float, codes: int, reach:
     named = valid.select("vec_id", F.xxhash64("vector").alias("key"), "vector")
     classes = stored(named.groupBy("key", "vector").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies")), "vector-classes")
     n = classes.count()
-    filters = [Code(dim, n, reach, seed + k) for k in range(codes)]
+    filters = [Code(dim, n, cosine, reach, seed + k) for k in range(codes)]
     number = "int" if codes * filters[0].filters < 1 << 31 else "long"
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from blockcat.llm.common import Stored, partitions, small, stored
+from blockcat.llm.common import Stored, fresh, partitions, small, stored
 
 BLOCK_BYTES = 1024
 
@@ -112,8 +112,9 @@ def duplicates(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
 
 def dedup(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of ``docs`` that stay, all columns as they were."""
-    kept = stored(duplicates(docs, block_bytes).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")), "kept")
-    rows = docs.withColumn("_own", F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
-    found = rows.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_sha")), "left_semi")
+    own, key, sha = fresh(docs, "_own", "_id", "_sha")
+    kept = stored(duplicates(docs, block_bytes).filter("kept").select(F.col("doc_id").alias(key), F.col("text_sha256").alias(sha)), "kept")
+    rows = docs.withColumn(own, F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
+    found = rows.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col(key)) & (F.col(own) == F.col(sha)), "left_semi")
     repeated = docs.groupBy("doc_id").count().filter("count > 1").limit(1).count() > 0
-    return (found.dropDuplicates(["doc_id", "_own"]) if repeated else found).drop("_own")
+    return (found.dropDuplicates(["doc_id", own]) if repeated else found).drop(own)

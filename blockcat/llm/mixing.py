@@ -21,7 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from blockcat.llm.common import running_totals, small, stored, words_count
+from blockcat.llm.common import fresh, running_totals, small, stored, words_count
 
 WEIGHTS = (5, 2, 1)
 
@@ -45,38 +45,43 @@ def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float =
 
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.5, cap: float = 2.0) -> DataFrame:
     """``docs`` with size, source_size, target and taken (the words the mix takes of it, repeats counted)."""
-    kept = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken")]
+    kept = [c for c in docs.columns if c.lower() not in ("size", "source_size", "target", "taken")]
     size = words_count(F.col("text"))
     sized = stored(docs.select("source", F.col("doc_id").cast("long").alias("id"), size.alias("size"), _key(F.col("doc_id")).alias("key")), "sized")
-    plan = stored(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap), "targets")
-    budget = F.round("target").cast("long")
-    plan = plan.withColumn("epochs", F.coalesce(F.expr("try_divide(cast(round(target) as long), source_size)").cast("long"), F.lit(0))).withColumn("rest", budget - F.col("epochs") * F.col("source_size"))
-    plan = plan.withColumnRenamed("source", "_source")
-    same = F.col("source").eqNullSafe(F.col("_source"))
+    plan = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap)
+    plan = plan.withColumn("epochs", F.when(F.col("source_size") == 0, F.lit(0)).otherwise(F.expr("cast(round(target) as long) div nullif(source_size, 0)")).cast("long"))
+    plan = stored(plan.withColumn("rest", F.round("target").cast("long") - F.col("epochs") * F.col("source_size")).withColumnRenamed("source", "_source"), "targets")
     placed = running_totals(sized, ["source", "key", "id", "size"], "size", "source", "mix-order")
-    at_cut = placed.join(small(plan), same).filter((F.col("before") < F.col("rest")) & (F.col("before") + F.col("size") >= F.col("rest")))
-    cut = stored(at_cut.select(F.col("_source").alias("_cut_source"), F.col("key").alias("_cut_key"), F.col("id").alias("_cut_id"), F.col("size").alias("_cut_size")), "cut")
+    at_cut = placed.join(small(plan), F.col("source").eqNullSafe(F.col("_source"))).filter((F.col("before") < F.col("rest")) & (F.col("before") + F.col("size") >= F.col("rest")))
+    cut = stored(at_cut.select(F.col("_source").alias("_s"), F.col("key").alias("_k"), F.col("id").alias("_i"), F.col("size").alias("_n")), "cut")
     # rows that the order cannot tell from the one at the cut
-    like = F.col("source").eqNullSafe(F.col("_cut_source")) & (F.col("key") == F.col("_cut_key")) & F.col("id").eqNullSafe(F.col("_cut_id")) & (F.col("size") == F.col("_cut_size"))
-    tied = placed.join(small(cut), like).groupBy("_cut_source", "_cut_key", "_cut_id", "_cut_size").agg(F.min("before").alias("_cut_before"), F.count("*").alias("_tied"))
-    plan = stored(plan.join(tied, F.col("_source").eqNullSafe(F.col("_cut_source")), "left").drop("_cut_source"), "plan")
-    rows = docs.select(*kept, size.alias("size"), _key(F.col("doc_id")).alias("_key")).join(small(plan), same, "left")
-    order = F.struct(F.col("_key"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "size")
-    edge = F.struct(F.col("_cut_key"), F.coalesce("_cut_id", F.lit(-(2**63))), "_cut_size")
-    partial = F.when(F.col("_cut_key").isNull(), F.lit(0)).when(order < edge, F.col("size")).when(order == edge, F.floor((F.col("rest") - F.col("_cut_before")) / F.col("_tied"))).otherwise(F.lit(0))
-    return rows.select(*kept, "size", "source_size", "target", (F.col("epochs") * F.col("size") + partial).cast("long").alias("taken"))
+    like = F.col("source").eqNullSafe(F.col("_s")) & (F.col("key") == F.col("_k")) & F.col("id").eqNullSafe(F.col("_i")) & (F.col("size") == F.col("_n"))
+    tied = placed.join(small(cut), like).groupBy("_s", "_k", "_i", "_n").agg(F.min("before").alias("cut_before"), F.count("*").alias("tied"))
+    known = plan.join(tied, F.col("_source").eqNullSafe(F.col("_s")), "left")
+    name, own = fresh(docs, "_plan", "_own")
+    facts = F.struct("source_size", "target", "epochs", "rest", F.struct("_k", F.coalesce("_i", F.lit(-(2**63))).alias("_i"), "_n").alias("edge"), "cut_before", "tied").alias(name)
+    source = f"{name}source"
+    facts_of = stored(known.select(F.col("_source").alias(source), facts), "plan")
+    rows = docs.select(*[F.col(c) for c in kept], F.struct(size.alias("size"), _key(F.col("doc_id")).alias("key")).alias(own))
+    rows = rows.join(small(facts_of), F.col("source").eqNullSafe(F.col(source)), "left")
+    p, own_size = F.col(name), F.col(own)["size"]
+    order = F.struct(F.col(own)["key"].alias("_k"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("_i"), own_size.alias("_n"))
+    partial = F.when(p["tied"].isNull(), F.lit(0)).when(order < p["edge"], own_size).when(order == p["edge"], F.floor(F.least(p["rest"] - p["cut_before"], own_size * p["tied"]) / p["tied"])).otherwise(F.lit(0))
+    return rows.select(*[F.col(c) for c in kept], own_size.alias("size"), p["source_size"].alias("source_size"), p["target"].alias("target"), (p["epochs"] * own_size + partial).cast("long").alias("taken"))
 
 
 def mixed(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.5, cap: float = 2.0) -> DataFrame:
     """The mix itself, with the columns of ``docs``: a document once per epoch; the one at a source's cut gives its first words."""
-    rows = mix(docs, weights, share, cap).filter("taken > 0")
+    whole, mixed_in = fresh(docs, "_row", "_words")
+    rows = mix(docs.select("doc_id", "source", "text", F.struct(*docs.columns).alias(whole)), weights, share, cap).filter("taken > 0")
     parts = F.expr("filter(transform(sequence(0, cast((taken - 1) div size as int)), i -> least(size, taken - i * size)), w -> w > 0)")
-    rows = rows.withColumn("_words", F.explode(parts))
-    text = F.when(F.col("_words") < F.col("size"), _first_words(F.col("text"), F.col("_words"))).otherwise(F.col("text"))
-    rows = rows.withColumn("text", text)
+    rows = rows.withColumn(mixed_in, F.explode(parts))
+    cut = F.col(mixed_in) < F.col("size")
+    text = F.when(cut, _first_words(F.col("text"), F.col(mixed_in))).otherwise(F.col("text"))
+    new = {"text": text}
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("_words") < F.col("size"), F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
-    return rows.select(*docs.columns)
+        new["n_chars"] = F.when(cut, F.char_length(text).cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col(whole)["n_chars"])
+    return rows.select(*[new[c].alias(c) if c in new else F.col(whole)[c].alias(c) for c in docs.columns])
 
 
 def _first_words(text: Column, n: Column) -> Column:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blockcat.llm.calibration import CALIBRATE, HELD_OUT, calibrated, curve, fold
-from blockcat.llm.common import stored, text_bytes
+from blockcat.llm.common import fresh, stored, text_bytes
 
 THRESHOLD = 0.3
 #: Random features, width of the kernel in units of the square root of the statistics' number, ridge per labelled row.
@@ -162,5 +162,6 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that aren't predicted bad; all columns as they were. A doc_id of several rows stays if any of them is good."""
-    bad = score(docs, labels).groupBy("doc_id").agg(F.max("predicted").alias("best")).filter("best = 0").select(F.col("doc_id").alias("_id"))
-    return docs.join(stored(bad, "bad"), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_anti")
+    (key,) = fresh(docs, "_id")
+    bad = score(docs, labels).groupBy("doc_id").agg(F.max("predicted").alias("best")).filter("best = 0").select(F.col("doc_id").alias(key))
+    return docs.join(stored(bad, "bad"), F.col("doc_id").cast("long").eqNullSafe(F.col(key)), "left_anti")

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockcat.llm.common import partitions, stored, text_bytes
+from blockcat.llm.common import fresh, partitions, stored, text_bytes
 from blockcat.llm.components import components, roots
 
 SHINGLE = 4
@@ -247,7 +247,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def dedup(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay: one of each component, that of the smallest doc_id; all columns as they were."""
     found = stored(near_duplicates(docs), "near-duplicates")
-    gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_anti")
+    (key,) = fresh(docs, "_id")
+    stays = found.groupBy("doc_id").agg(F.bool_or(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("stays"))
+    gone = stays.filter("not stays").select(F.col("doc_id").alias(key))
+    kept = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col(key)), "left_anti")
     repeated = docs.groupBy("doc_id").count().filter("count > 1").limit(1).count() > 0
     return kept.dropDuplicates(["doc_id"]) if repeated else kept

@@ -280,3 +280,39 @@ def update_needed(present: Column, current: Column, latest: Column, intent: Colu
     """Whether a binary should be updated: known, not the latest, and either chosen as latest or never seen."""
     fine = present & F.coalesce(sha256_valid(current) & sha256_valid(latest), F.lit(False)) & (ascii_lower(current) != ascii_lower(latest))
     return fine & F.when(intent.isNotNull(), (intent == "latest") & (ascii_lower(selected) == ascii_lower(current))).otherwise(~cached)
+
+
+def title_id_in_name(path: Column, letters: str = "PPSA") -> Column:
+    """The first id of the given letters and five digits anywhere in the base name, in upper case; null if none."""
+    return F.nullif(F.upper(F.regexp_extract(base_name(path), f"(?i)({letters}[0-9]{{5}})", 1)), F.lit(""))
+
+
+def mount_hash(path: Column, base: str) -> Column:
+    """The number of ``<base>/<title>_<8 hex digits>``; null for another path."""
+    m = F.regexp_extract(path, "^" + base.replace(".", r"\.") + r"/[^/]+_([0-9a-fA-F]{8})$", 1)
+    return F.when(m != "", F.conv(m, 16, 10).cast("long"))
+
+
+def cluster_offset(cluster: Column, heap: int, size: int = 65_536) -> Column:
+    """Where a cluster's bytes begin; clusters count from 2."""
+    return F.lit(heap).cast("long") + (cluster - 2) * size
+
+
+def query_argument(url: Column, name: str) -> Column:
+    """A decoded query argument (plus is a space); null if the address has none of that name."""
+    raw = F.regexp_extract(url, rf"[?&]{name}=([^&#]*)", 1)
+    return F.when(url.rlike(rf"[?&]{name}="), F.try_url_decode(raw))
+
+
+def index_marker(rel: Column, markers: Sequence[str]) -> Column:
+    """Whether a path is one of the markers, whatever its case."""
+    return ascii_lower(rel).isin(*[m.lower() for m in markers])
+
+
+def index_path_supported(rel: Column) -> Column:
+    return (rel != "") & ~rel.rlike(r"[\t\n\r]")
+
+
+def label_of(status: Column) -> Column:
+    """What a status is called where people read it: what is queued is pending."""
+    return F.when(status == "queued", "pending").otherwise(status)

@@ -171,3 +171,26 @@ def patched(blocks: DataFrame, patches: DataFrame, container: str, block: int =
         return F.concat(F.substring(data, F.lit(1), at), e["piece"], F.substring(data, at + n + 1, F.lit(block)))
 
     return rows.withColumn("data", F.aggregate("edits", F.col("data"), edit)).drop("edits")
+
+
+def virtual_blocks(segments: DataFrame, totals: DataFrame, container: str, block: int = BLOCK) -> DataFrame:
+    """(container, idx, data): an image of ``totals.size`` bytes from segments (off, bytes); what none covers is zero."""
+    sized = segments.withColumn("size", F.octet_length("bytes").cast("long"))
+    part = overlaps(sized, container, block).select(container, "idx", (F.col("lo") - F.col("idx") * block).alias("at"), F.substring("bytes", (F.col("lo") - F.col("off") + 1).cast("int"), (F.col("hi") - F.col("lo")).cast("int")).alias("piece"))
+    pieces = part.groupBy(container, "idx").agg(F.array_sort(F.collect_list(F.struct("at", "piece"))).alias("_p"))
+    every = totals.filter("size > 0").select(container, "size", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("size") - 1) / block))).alias("idx"))
+    rows = every.join(pieces, [container, "idx"], "left")
+    zeros = F.unhex(F.repeat(F.lit("00"), F.lit(block)))
+
+    def paste(data: Column, p: Column) -> Column:
+        at, n = p["at"].cast("int"), F.octet_length(p["piece"])
+        return F.concat(F.substring(data, F.lit(1), at), p["piece"], F.substring(data, at + n + 1, F.lit(block)))
+
+    whole = F.aggregate(F.coalesce("_p", F.array().cast("array<struct<at:bigint,piece:binary>>")), zeros, paste)
+    return rows.select(container, "idx", F.substring(whole, F.lit(1), F.least(F.lit(block).cast("long"), F.col("size") - F.col("idx") * block).cast("int")).alias("data"))
+
+
+def contiguous(chain: DataFrame, container: str) -> DataFrame:
+    """Whether each file's clusters (place, cluster) follow one another."""
+    after = F.lead("cluster").over(Window.partitionBy(container).orderBy("place"))
+    return chain.withColumn("_next", after).groupBy(container).agg(F.coalesce(F.bool_and(F.col("_next").isNull() | (F.col("_next") == F.col("cluster") + 1)), F.lit(True)).alias("contiguous"))

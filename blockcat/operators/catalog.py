@@ -113,3 +113,45 @@ def upsert_lines(lines: DataFrame, new: DataFrame, key: str = "key") -> DataFram
     order = Window.orderBy(key).partitionBy(F.lit(0))
     placed = new.join(first, key, "left").withColumn("_n", F.row_number().over(order)).join(F.broadcast(last), how="cross")
     return kept.unionByName(placed.select(F.coalesce("_first", F.col("_last") + F.col("_n")).cast("long").alias("pos"), key, "line"))
+
+
+def distinct_roots(lists: Sequence[DataFrame]) -> DataFrame:
+    """(root, pos): the roots of several (root, pos) lists, the earlier lists first, each once, at its first place."""
+    rows = None
+    for n, one in enumerate(lists):
+        part = one.select(S.without_trailing_slash(F.col("root")).alias("root"), F.struct(F.lit(n).alias("list"), F.col("pos").cast("long").alias("pos")).alias("at"))
+        rows = part if rows is None else rows.unionByName(part)
+    return rows.groupBy("root").agg(F.min("at").alias("at"))
+
+
+def apps(files: DataFrame, parameters: DataFrame) -> DataFrame:
+    """(dir, title): folders with a boot file right in them whose parameters (dir, json) name a title."""
+    boot = files.filter(S.ascii_lower(S.base_name(F.col("rel"))).isin("eboot.bin", "iboot.bin")).select(S.parent(F.col("rel")).alias("dir")).distinct()
+    title = F.coalesce(F.get_json_object("json", "$.titleId"), F.get_json_object("json", "$.title_id"))
+    return parameters.filter(F.octet_length("json") <= 131_072).select("dir", title.alias("title")).filter("title is not null").join(boot, "dir", "left_semi")
+
+
+def with_sizes(games: DataFrame, cache: DataFrame) -> DataFrame:
+    """Titles with the cached size of their path; ``size_pending`` where there is none."""
+    known = cache.select(F.col("path").alias("_p"), F.col("size").alias("_s"))
+    rows = games.join(known, F.col("source_path") == F.col("_p"), "left")
+    return rows.withColumn("size", F.coalesce("_s", F.lit(0).cast("long"))).withColumn("size_pending", F.col("_p").isNull()).drop("_p", "_s")
+
+
+def compression_source(games: DataFrame, folders: DataFrame) -> DataFrame:
+    """Titles with the size of the folder they were probably made from: the sibling ``<title>-app``, else the first root's that is larger."""
+    f = folders.select("root", "pos", F.col("title").alias("_t"), F.col("size").alias("_size"))
+    rows = games.join(f, F.col("title") == F.col("_t"), "left").filter(F.col("_t").isNull() | (F.col("root") == F.col("own_root")) | (F.col("_size") > F.col("compressed")))
+    best = rows.groupBy("title").agg(F.min(F.struct((F.col("root") != F.col("own_root")).alias("a"), F.col("pos"), F.col("_size").alias("size")))["size"].alias("source_size"))
+    return games.join(best, "title", "left")
+
+
+def not_in_memory(persisted: DataFrame, memory: DataFrame, key: str = "key") -> DataFrame:
+    """Persisted rows and those in memory, memory winning."""
+    return memory.unionByName(persisted.join(memory.select(key), key, "left_anti"))
+
+
+def refreshed(files: DataFrame, new: DataFrame) -> DataFrame:
+    """A scan with one generated file's row replaced or added (by path, whatever its case)."""
+    names = new.select(S.ascii_lower(F.col("rel")).alias("_l"))
+    return files.join(F.broadcast(names.limit(1024)), S.ascii_lower(F.col("rel")) == F.col("_l"), "left_anti").unionByName(new)

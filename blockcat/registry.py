@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blockcat.operators.blocks import cut, digest
-from blockcat.plans import block_queries, catalog_queries, scalar_queries
+from blockcat.plans import block_queries, catalog_queries, more_queries, scalar_queries
 
 
 def block_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,7 +18,7 @@ def block_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.groupBy("lang").agg(F.count("*").alias("n_blocks"), F.sum(F.octet_length("data").cast("long")).alias("bytes"), F.countDistinct(digest(F.col("data"))).alias("n_distinct"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"block_catalog": block_catalog, **scalar_queries.QUERIES, **catalog_queries.QUERIES, **block_queries.QUERIES}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"block_catalog": block_catalog, **scalar_queries.QUERIES, **catalog_queries.QUERIES, **block_queries.QUERIES, **more_queries.QUERIES}
 
 ORACLE: dict[str, str] = {
     "block_catalog": """
@@ -30,4 +30,5 @@ ORACLE: dict[str, str] = {
     **scalar_queries.ORACLE,
     **catalog_queries.ORACLE,
     **block_queries.ORACLE,
+    **more_queries.ORACLE,
 }

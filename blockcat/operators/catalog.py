@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from blockcat.functions import scalars as S
 
+#: Roots that a look-up by title may have.
+MOST_ROOTS = 4096
+
 # Ends of names that tell what a source is.
 COMPRESSED_ENDS, IMAGE_ENDS = (".ffpfsc",), (".exfat", ".ffpfs", ".pfs", ".dat")
 
@@ -70,8 +73,17 @@ def same_mount(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def first_existing(titles: DataFrame, roots: DataFrame, files: DataFrame, template: Column) -> DataFrame:
-    """(title, path): the file of a name made from the title under the first root that has it. ``roots`` is a small, checked list."""
-    wanted = titles.select("title").distinct().join(F.broadcast(roots.limit(4096)), how="cross").withColumn("path", template)
+    """(title, path): the file of a name made from the title under the first root that has it.
+
+    ``roots`` is a setting of a few rows (more than ``MOST_ROOTS`` are refused); each title asks for its name under each.
+    """
+    few = roots.limit(MOST_ROOTS + 1).collect()
+    if len(few) > MOST_ROOTS:
+        raise ValueError(f"more than {MOST_ROOTS} roots")
+    if not few:
+        return titles.select("title", F.lit(None).cast("string").alias("path")).limit(0)
+    listed = F.array(*[F.struct(*[F.lit(r[c]).cast(kind).alias(c) for c, kind in roots.dtypes]) for r in few])
+    wanted = titles.select("title").distinct().select("title", F.inline(listed)).withColumn("path", template)
     have = wanted.join(files.select("path").distinct(), "path", "left_semi")
     return have.groupBy("title").agg(F.min_by("path", "pos").alias("path"))
 
@@ -154,4 +166,4 @@ def not_in_memory(persisted: DataFrame, memory: DataFrame, key: str = "key") ->
 def refreshed(files: DataFrame, new: DataFrame) -> DataFrame:
     """A scan with one generated file's row replaced or added (by path, whatever its case)."""
     names = new.select(S.ascii_lower(F.col("rel")).alias("_l"))
-    return files.join(F.broadcast(names.limit(1024)), S.ascii_lower(F.col("rel")) == F.col("_l"), "left_anti").unionByName(new)
+    return files.join(names, S.ascii_lower(F.col("rel")) == F.col("_l"), "left_anti").unionByName(new)

@@ -56,3 +56,18 @@ def test_path_index_round_trip(spark):
     df = spark.createDataFrame([("c", *r) for r in rows], "container string, rel string, size long, mtime long")
     assert bytes(pathindex.write_indexes(df).first().data) == data
     assert os.path.sep == "/"
+
+
+def test_inode_image_round_trip(spark):
+    from blockcat.sources import inodes
+
+    files = some_files()
+    data = inodes.write_image(files, 4096)
+    df = spark.createDataFrame([("one", data)], "image string, content binary")
+    rows = inodes.list_images(df).collect()
+    assert {r.rel: data[r.image_offset : r.image_offset + r.size] for r in rows} == files
+    assert len({r.inode for r in rows}) == len(files)
+    with pytest.raises(ValueError):
+        inodes.Reader(lambda o, n: bytes(n))
+    with pytest.raises(ValueError):
+        list(inodes.parse_entries(inodes.entry(1, 2, "x")[:20].ljust(24, b"\1")[:8] + bytes([9, 0, 0, 0, 17, 0, 0, 0]) + b"toolong!"))

@@ -30,7 +30,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from blockcat.llm.common import fresh, partitions, stored, text_bytes
@@ -199,15 +199,19 @@ def _centres(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array((some[:, None] ^ flips).reshape(-1).view(np.int64)), pa.array(np.repeat(some, len(flips)).view(np.int64))], names=["centre", "fp"])
 
 
+def _sha(text: Column) -> Column:
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256))
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): fp is the unsigned 64-bit SimHash as a signed long."""
+    """(doc_id, sha, fp): SHA-256 of the text, and its unsigned 64-bit SimHash as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.array([fingerprint(t) for t in text_bytes(b.column("text"))], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("sha"), pa.array(fps.view(np.int64))], names=["doc_id", "sha", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _sha(F.col("text")).alias("sha")).mapInArrow(run, "doc_id long, sha binary, fp long")
 
 
 def links(distinct: DataFrame) -> DataFrame:
@@ -233,23 +237,28 @@ def links(distinct: DataFrame) -> DataFrame:
     return near_links
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, fingerprint, component_id) for every document."""
+def _grouped(docs: DataFrame) -> DataFrame:
+    """(doc_id, sha, fp, root, component_id) for every document; root is the smallest fingerprint of its component."""
     prints = stored(fingerprints(docs), "fingerprints")
     distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
     grouped = stored(components(links(distinct)), "fingerprint-components")
     labelled = distinct.join(grouped, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     named = labelled.groupBy("root").agg(F.min("first").alias("component_id"))
-    member = stored(labelled.select("fp", "root").join(named, "root").select(F.col("fp").alias("_fp"), "component_id"), "members")
-    return prints.join(member, F.col("fp") == F.col("_fp")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    member = stored(labelled.select("fp", "root").join(named, "root").select(F.col("fp").alias("_fp"), "root", "component_id"), "members")
+    return prints.join(member, F.col("fp") == F.col("_fp")).drop("_fp")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """(doc_id, fingerprint, component_id) for every document."""
+    return _grouped(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay: one of each component, that of the smallest doc_id; all columns as they were."""
-    found = stored(near_duplicates(docs), "near-duplicates")
-    (key,) = fresh(docs, "_id")
-    stays = found.groupBy("doc_id").agg(F.bool_or(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("stays"))
-    gone = stays.filter("not stays").select(F.col("doc_id").alias(key))
-    kept = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col(key)), "left_anti")
+    """The rows of ``docs`` that stay, all columns as they were: of each component the row of the smallest doc_id (rows of
+    one doc_id are told apart by their texts, and equal ones are one)."""
+    own, key, sha = fresh(docs, "_own", "_id", "_sha")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sha"))
+    kept = stored(_grouped(docs).groupBy("root").agg(first.alias("r")).select(F.col("r.doc_id").alias(key), F.col("r.sha").alias(sha)), "kept")
+    found = docs.withColumn(own, _sha(F.col("text"))).join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col(key)) & (F.col(own) == F.col(sha)), "left_semi")
     repeated = docs.groupBy("doc_id").count().filter("count > 1").limit(1).count() > 0
-    return kept.dropDuplicates(["doc_id"]) if repeated else kept
+    return (found.dropDuplicates(["doc_id", own]) if repeated else found).drop(own)

@@ -39,8 +39,8 @@ COSINE = 0.95
 CODES, REACH, SEED = 6, 8, 20_240_229
 #: A cap is at least so many times as wide as the angle of two vectors that just link (only low dimensions come near).
 WIDEST = 1.6
-#: Rows of a filter compared at once; a larger one is split into pairs of blocks.
-BLOCK = 1024
+#: Rows of a filter compared at once; a larger one is split into pairs of blocks. Filters of up to SHORT rows are compared together.
+BLOCK, SHORT = 1024, 64
 
 
 def _cap(dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -138,47 +138,86 @@ def _compare(a: dict, b: dict | None, word: int, cosine: float) -> tuple[list, l
     return [(k[n > 0], n[n > 0]) for k, n in counts], [(nodes[nodes != root], root[nodes != root])]
 
 
+def _short(t: pa.Table, unit: np.ndarray, end: np.ndarray, cosine: float) -> tuple[list, list]:
+    """Links within short runs, all runs of a batch at once: each row with the next one, the one after that, and so on."""
+    key, copies = t.column("key").to_numpy(), t.column("copies").to_numpy()
+    at, shift, left, right = np.arange(len(key)), 0, [], []
+    while True:
+        shift += 1
+        at = at[at + shift < end[at]]
+        if not len(at):
+            break
+        hit = (np.einsum("ij,ij->i", unit[at], unit[at + shift]) >= cosine) & (key[at] != key[at + shift])
+        left.append(at[hit])
+        right.append(at[hit] + shift)
+    i, j = np.concatenate(left or [at]), np.concatenate(right or [at])
+    if not len(i):
+        return [], []
+    used = np.unique(np.concatenate([i, j]))
+    word = t.column("word").to_numpy()
+    lists = t.column("words").combine_chunks().take(pa.array(used)).to_pylist()
+    before = {r: frozenset(w for w in ws if w < word[r]) for r, ws in zip(used.tolist(), lists, strict=True)}
+    new = np.array([before[x].isdisjoint(before[y]) for x, y in zip(i.tolist(), j.tolist(), strict=True)])
+    counts = []
+    if new.any():
+        a, b = i[new], j[new]
+        keys, place = np.unique(np.concatenate([key[a], key[b]]), return_inverse=True)
+        counts.append((keys, np.bincount(place, weights=np.concatenate([copies[b], copies[a]])).astype(np.int64)))
+    nodes, root = roots(key[i], key[j])
+    return counts, [(nodes[nodes != root], root[nodes != root])]
+
+
 def _verify(dim: int, cosine: float):
     def rows(t: pa.Table) -> dict:
         return {"unit": _unit(_matrix(t.column("vector").combine_chunks(), dim)), "key": t.column("key").to_numpy(), "copies": t.column("copies").to_numpy(), "words": t.column("words").combine_chunks()}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(found: tuple[list, list]) -> Iterator[pa.RecordBatch]:
-            for kind, parts in enumerate(found):
-                for x, y in parts:
-                    if len(x):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), kind, dtype=np.int32)), pa.array(x.astype(np.int64)), pa.array(y.astype(np.int64))], names=["kind", "a", "b"])
-
-        def group(t: pa.Table) -> Iterator[pa.RecordBatch]:
-            word, left, right = (t.column(c)[0].as_py() for c in ("word", "left", "right"))
-            if left == right:
-                parts = [rows(t.slice(i, BLOCK)) for i in range(0, t.num_rows, BLOCK)]
-                for i, a in enumerate(parts):
-                    yield from out(_compare(a, None, word, cosine))
-                    for b in parts[i + 1 :]:
-                        yield from out(_compare(a, b, word, cosine))
-            else:
-                side = t.column("side").to_numpy()
-                cut = int(np.searchsorted(side, 1))
-                a, b = t.slice(0, cut), t.slice(cut)
-                for i in range(0, a.num_rows, BLOCK):
-                    x = rows(a.slice(i, BLOCK))
-                    for j in range(0, b.num_rows, BLOCK):
-                        yield from out(_compare(x, rows(b.slice(j, BLOCK)), word, cosine))
+    def out(found: tuple[list, list]) -> Iterator[pa.RecordBatch]:
+        for kind, parts in enumerate(found):
+            for x, y in parts:
+                if len(x):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), kind, dtype=np.int32)), pa.array(x.astype(np.int64)), pa.array(y.astype(np.int64))], names=["kind", "a", "b"])
+
+    def group(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        word, left, right = (t.column(c)[0].as_py() for c in ("word", "left", "right"))
+        if left == right:
+            parts = [rows(t.slice(i, BLOCK)) for i in range(0, t.num_rows, BLOCK)]
+            for i, a in enumerate(parts):
+                yield from out(_compare(a, None, word, cosine))
+                for b in parts[i + 1 :]:
+                    yield from out(_compare(a, b, word, cosine))
+        else:
+            cut = int(np.searchsorted(t.column("side").to_numpy(), 1))
+            a, b = t.slice(0, cut), t.slice(cut)
+            for i in range(0, a.num_rows, BLOCK):
+                x = rows(a.slice(i, BLOCK))
+                for j in range(0, b.num_rows, BLOCK):
+                    yield from out(_compare(x, rows(b.slice(j, BLOCK)), word, cosine))
+
+    def work(t: pa.Table, edges: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """``edges``: where runs begin, and the end of the last."""
+        sizes = np.diff(edges)
+        own = (sizes <= SHORT) & (t.column("left").to_numpy() == t.column("right").to_numpy())[edges[:-1]]
+        end = np.repeat(np.where(own, edges[1:], edges[:-1]), sizes)
+        yield from out(_short(t, _unit(_matrix(t.column("vector").combine_chunks(), dim)), end, cosine))
+        for s, n in zip(edges[:-1][~own].tolist(), sizes[~own].tolist(), strict=True):
+            if n > 1:
+                yield from group(t.slice(s, n))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
         for batch in batches:
             t = pa.Table.from_batches([batch])
-            held = t if held is None else pa.concat_tables([held, t]).combine_chunks()
+            held = t if held is None or not held.num_rows else pa.concat_tables([held, t]).combine_chunks()
+            if not held.num_rows:
+                continue
             ids = [held.column(c).to_numpy() for c in ("word", "left", "right")]
             new = np.flatnonzero(np.any([x[1:] != x[:-1] for x in ids], axis=0)) + 1
-            edges = [0, *new.tolist()]
-            for s, e in zip(edges[:-1], edges[1:], strict=True):
-                if e - s > 1:
-                    yield from group(held.slice(s, e - s))
-            held = held.slice(edges[-1])
-        if held is not None and held.num_rows > 1:
-            yield from group(held)
+            if len(new):  # the last run may go on in the next batch
+                last = int(new[-1])
+                yield from work(held.slice(0, last), np.concatenate([[0], new]))
+                held = held.slice(last)
+        if held is not None and held.num_rows:
+            yield from work(held, np.array([0, held.num_rows]))
 
     return run
 

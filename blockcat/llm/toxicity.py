@@ -1,28 +1,33 @@
 """Toxicity scores by the nearest labelled examples in exact TF-IDF cosine.
 
-Examples are a bounded sample of labelled rows (about ``EXAMPLES``, by hash of the id; folds 1 to 3). Terms are the words
-and beginnings of words that toxic examples have significantly more often than the others, and one more for the text's
-other words, counted by the ``REST``, so that how much of a text the terms are counts as well as which they are. Weights
-are occurrences times IDF, which comes from all documents. Examples that have any term form an inverted index: postings by term, in blocks of examples, each with the highest weight in it. A query adds
-up the block maxima of its terms into bounds, visits blocks from the highest bound down and stops when no bound reaches
-the k-th best cosine: the neighbours (ties with the k-th included) are exact. They vote, weighted by nearness; texts
-without any term get the rate of examples without. Votes are calibrated by isotonic regression on fold 4.
-
-The index is bounded by the sample, so it goes to all tasks; texts are read twice and never shuffled.
-
-Defined cases: null and empty texts have no terms and get the rate of those; without labels every score is 0.5 and
-predicted 1; several labels of a doc_id count as toxic if most are; rows of the same doc_id are scored each; an empty
+Examples are a bounded sample of labelled rows (about ``EXAMPLES``, by hash of the id; folds 1 to 3). Terms are all words
+and all beginnings of words (of ``PREFIXES`` characters); none is left out. A term's weight is its occurrences times its IDF times how
+surely toxic examples have it more often: z^2 / (z^2 + EVEN) of its log odds, never below ``LEAST``, so the rule is the same
+at every number of examples. IDF comes from all documents; terms that no example has can't match and add to a text's length only,
+with the IDF of a term that one document has.
+
+Examples form an inverted index: rows of weights for terms that many examples have, multiplied with many texts at once, and
+postings for the others. The cosine with every example is added up, as common terms leave no block of examples out of reach:
+the neighbours (ties with the k-th included) are exact. They vote, weighted by nearness. Votes are calibrated by isotonic
+regression on fold 4.
+
+Terms go by their 64-bit hashes. The index is bounded by the sample, so it goes to all tasks; texts are read twice and never shuffled.
+
+Defined cases: null and empty texts, and those that share no term with an example, get the rate of all examples; without labels every
+score is 0.5 and predicted 1; several labels of a doc_id count as toxic if most are; rows of the same doc_id are scored each; an empty
 table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,118 +35,171 @@ from blockcat.llm.calibration import CALIBRATE, HELD_OUT, calibrated, curve, fol
 from blockcat.llm.common import stored, text_bytes, words
 
 THRESHOLD = 0.5
-#: Examples at most, on average over hashes; neighbours; examples in a block; nearness of a cosine c: 1 / (1 - c + SOFT).
-EXAMPLES, NEIGHBOURS, BLOCK, SOFT = 8_000, 15, 64, 0.02
-#: A term: in this share of toxic examples at least, more often than in others, with this chi-square. Lengths of beginnings.
-SHARE, CHI, PREFIXES = 0.02, 50.0, range(4, 9)
-#: So many other words count as one occurrence of the last term.
-REST = 25
+#: Examples at most, on average over hashes; neighbours; nearness of a cosine c: 1 / (1 - c + SOFT).
+EXAMPLES, NEIGHBOURS, SOFT = 8_000, 15, 0.02
+#: A term of more than one in so many examples has a row of weights; texts are looked up so many at once.
+OFTEN, TEXTS = 8, 128
+#: Lengths of beginnings; the z^2 at which a term has about half its weight, and the share of it that every term keeps.
+PREFIXES, EVEN, LEAST = range(4, 9), 20.0, 0.1
 #: Words whose terms are kept per worker.
 KEEP_WORDS = 500_000
 
 
 def _candidates(word: bytes) -> list[str]:
-    """What may be terms of a word: its beginnings (marked by a hyphen) and itself."""
+    """The terms of a word: itself and its beginnings (marked by a hyphen)."""
     w = word.decode()
     return [w, *[f"{w[:k]}-" for k in PREFIXES if len(w) > k]]
 
 
+def _hashes(word: bytes) -> list[int]:
+    return [xxhash.xxh3_64_intdigest(c) >> 1 for c in _candidates(word)]
+
+
+def _spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each span, one after the other."""
+    return np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
+
+
+class Terms:
+    """Occurrences of terms in texts: those of a sorted vocabulary of hashes by place, others by -1 - hash."""
+
+    def __init__(self, vocabulary: np.ndarray):
+        self.vocabulary, self.kept = vocabulary, {}
+
+    def of(self, texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for i in range(0, len(texts), 256):
+            counts = [Counter(words(t)) for t in texts[i : i + 256]]
+            if len(self.kept) > KEEP_WORDS:
+                self.kept = {}
+            if new := list(set().union(*counts) - self.kept.keys()):
+                own = [_hashes(w) for w in new]
+                flat = np.array([h for hs in own for h in hs], dtype=np.int64)
+                at = np.searchsorted(self.vocabulary, flat)
+                known = at < len(self.vocabulary)
+                known[known] = self.vocabulary[at[known]] == flat[known]
+                places, k = np.where(known, at, -1 - flat).tolist(), 0
+                for w, hs in zip(new, own, strict=True):
+                    self.kept[w], k = places[k : k + len(hs)], k + len(hs)
+            for c in counts:
+                own = [self.kept[w] for w in c]
+                flat = np.fromiter(chain.from_iterable(own), np.int64)
+                terms, at = np.unique(flat, return_inverse=True)
+                yield terms, np.bincount(at, np.repeat(np.fromiter(c.values(), np.int64, len(c)), [len(x) for x in own])) if len(c) else np.zeros(0)
+
+
 class Index:
-    """Unit TF-IDF vectors of labelled examples, as postings in blocks with maxima."""
-
-    def __init__(self, examples: list[tuple[int, list[int], list[float], float]], idf: np.ndarray, rest: float):
-        # examples of like terms side by side, so blocks differ in their maxima
-        examples = sorted((e for e in examples if e[1]), key=lambda e: (sorted(e[1], key=lambda t: -idf[t]), e[0]))
-        self.idf, self.rest = idf, rest
-        self.ids = np.array([e[0] for e in examples], dtype=np.int64)
-        self.labels = np.array([e[3] for e in examples])
-        self.blocks = -(-len(examples) // BLOCK)
-        postings: dict[int, list[tuple[int, float]]] = defaultdict(list)
-        for n, (_, terms, tfs, _) in enumerate(examples):
-            for t, w in zip(terms, self.vector(terms, tfs).tolist(), strict=True):
-                postings[t].append((n, w))
-        self.postings: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        self.most: dict[int, np.ndarray] = {}
-        for t, rows in postings.items():
-            at, w = np.array([n for n, _ in rows]), np.array([w for _, w in rows])
-            self.postings[t] = (at, w, np.searchsorted(at, np.arange(self.blocks + 1) * BLOCK))
-            self.most[t] = np.zeros(self.blocks)
-            np.maximum.at(self.most[t], at // BLOCK, w)
-        self.seen: dict[tuple, tuple[float, str]] = {}
-
-    def vector(self, terms: list[int], tfs: list[float]) -> np.ndarray:
-        w = np.array(tfs) * self.idf[terms]
-        return w / np.linalg.norm(w)
+    """Unit TF-IDF vectors of labelled examples: a row for each term that many have, postings for the others."""
+
+    def __init__(self, examples: list[tuple[int, list[int], list[float], float]], idf: np.ndarray, rest: float, unknown: float = 0.0):
+        """``idf``: the weight of each term; ``unknown``: that of a term that isn't among them; ``rest``: the vote without neighbours."""
+        self.idf, self.rest, self.unknown = idf, rest, unknown
+        own = [(e, self.vector(e[1], e[2])) for e in examples if len(e[1])]
+        self.ids = np.array([e[0] for e, _ in own], dtype=np.int64)
+        self.labels = np.array([e[3] for e, _ in own])
+        sizes = [len(v) for _, v in own]
+        at = np.repeat(np.arange(len(own), dtype=np.int32), sizes)
+        term = np.concatenate([np.zeros(0, dtype=np.int32), *[np.asarray(e[1], dtype=np.int32) for e, _ in own]])
+        weight = np.concatenate([np.zeros(0), *[v for _, v in own]])
+        n = np.bincount(term, minlength=len(idf))
+        often = np.flatnonzero(n * OFTEN > len(own))
+        self.row = np.full(len(idf), -1)
+        self.row[often] = np.arange(len(often))
+        self.rows, dense = np.zeros((len(often), len(own))), self.row[term] >= 0
+        self.rows[self.row[term[dense]], at[dense]] = weight[dense]
+        term, at, weight = term[~dense], at[~dense], weight[~dense]
+        order = np.lexsort((at, term))
+        self.at, self.weight = at[order], weight[order]
+        self.cuts = np.searchsorted(term[order], np.arange(len(idf) + 1))
+
+    def vector(self, terms: list[int], tfs: list[float], others: float = 0.0) -> np.ndarray:
+        """The weights of terms in a text of length 1; ``others``: the squares of the weights of its other terms, summed."""
+        w = np.asarray(tfs, dtype=np.float64) * self.idf[np.asarray(terms, dtype=np.int64)]
+        return w / math.sqrt(float(w @ w) + others)
+
+    def cosines(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Of each query (terms, weights) with each example."""
+        q = np.zeros((len(queries), len(self.rows)))
+        for own, (terms, w) in zip(q, queries, strict=True):
+            row = self.row[terms]
+            own[row[row >= 0]] = w[row >= 0]
+        out = q @ self.rows
+        for own, (terms, w) in zip(out, queries, strict=True):
+            size = self.cuts[terms + 1] - self.cuts[terms]
+            span = _spans(self.cuts[terms], size)
+            own += np.bincount(self.at[span], np.repeat(w, size) * self.weight[span], len(own))
+        return out
+
+    def best(self, cos: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        kth = np.partition(cos, len(cos) - k)[len(cos) - k] if len(cos) > k else 0
+        at = np.flatnonzero((cos > 0) & (cos >= kth - 1e-9))
+        at = at[np.lexsort((self.ids[at], -cos[at]))]
+        return at, cos[at]
 
     def nearest(self, terms: list[int], tfs: list[float], k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
         """(examples, cosines) of the k nearest with a positive cosine, and of those as near as the k-th; best first."""
-        query = [(t, q) for t, q in zip(terms, self.vector(terms, tfs).tolist(), strict=True) if t in self.postings]
-        bounds = sum((q * self.most[t] for t, q in query), np.zeros(self.blocks))
-        found_at, found, kth = [np.zeros(0, dtype=np.int64)], [np.zeros(0)], 0.0
-        for b in np.argsort(-bounds, kind="stable").tolist():
-            if bounds[b] <= 0 or bounds[b] < kth - 1e-9:
-                break
-            sums = np.zeros(BLOCK)
-            for t, q in query:
-                at, w, cut = self.postings[t]
-                part = slice(cut[b], cut[b + 1])
-                sums[at[part] - b * BLOCK] += q * w[part]
-            own = np.flatnonzero(sums > 0)
-            found_at.append(own + b * BLOCK)
-            found.append(sums[own])
-            if (n := sum(map(len, found))) >= k:
-                both_at, both = np.concatenate(found_at), np.concatenate(found)
-                kth = float(np.partition(both, n - k)[n - k])
-                near = both >= kth - 1e-9
-                found_at, found = [both_at[near]], [both[near]]
-        at, cos = np.concatenate(found_at), np.concatenate(found)
-        order = np.lexsort((self.ids[at], -cos))
-        return at[order], cos[order]
-
-    def vote(self, terms: list[int], tfs: list[float]) -> tuple[float, str]:
-        """The weighted share of toxic neighbours, and the five nearest as id:label:cosine."""
-        if not terms:
-            return self.rest, ""
-        key = (*terms, -1, *tfs)
-        if key not in self.seen:
-            if len(self.seen) > 100_000:
-                self.seen.clear()
-            at, cos = self.nearest(terms, tfs)
+        return self.best(self.cosines([(np.asarray(terms, dtype=np.int64), self.vector(terms, tfs))])[0], k)
+
+    def votes(self, texts: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[float, str]]:
+        """Of each text (terms, occurrences): the weighted share of toxic neighbours, and the five nearest as id:label:cosine."""
+        queries = []
+        for terms, tfs in texts:
+            known = terms >= 0
+            others = float(((tfs[~known] * self.unknown) ** 2).sum())
+            queries.append((terms[known], self.vector(terms[known], tfs[known], others) if known.any() else np.zeros(0)))
+        out = []
+        for cos in self.cosines(queries):
+            at, cos = self.best(cos, NEIGHBOURS)
             w = 1 / (1 - np.minimum(cos, 1) + SOFT)
             share = float((w * self.labels[at]).sum() / w.sum()) if len(at) else self.rest
-            self.seen[key] = share, ",".join(f"{self.ids[a]}:{self.labels[a]:.0f}:{c:.4f}" for a, c in zip(at[:5].tolist(), cos[:5].tolist(), strict=True))
-        return self.seen[key]
+            out.append((share, ",".join(f"{self.ids[a]}:{self.labels[a]:.0f}:{c:.4f}" for a, c in zip(at[:5].tolist(), cos[:5].tolist(), strict=True))))
+        return out
+
 
+def surely(toxic: np.ndarray, clean: np.ndarray, all_toxic: int, all_clean: int) -> np.ndarray:
+    """How surely toxic examples have a term more often than others, from ``LEAST`` to 1, from the numbers that have it."""
+    a, b, c, d = toxic + 0.5, clean + 0.5, all_toxic - toxic + 0.5, all_clean - clean + 0.5
+    z = np.maximum(0, np.log(a * d / (b * c))) / np.sqrt(1 / a + 1 / b + 1 / c + 1 / d)
+    return LEAST + (1 - LEAST) * z * z / (z * z + EVEN)
 
-def _terms(examples: DataFrame) -> list[str]:
-    """Words and beginnings of words that tell toxic examples from others; of those that begin alike only the best."""
+
+def _learn(docs: DataFrame, examples: DataFrame) -> tuple[np.ndarray, Index]:
+    """The vocabulary of the examples (sorted hashes), and their index."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n: tuple[Counter[str], Counter[str]] = Counter(), Counter()
+        terms = Terms(np.zeros(0, dtype=np.int64))
+        for b in batches:
+            rows = list(terms.of(text_bytes(b.column("text"))))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), pa.array([-1 - t for t, _ in rows], type=pa.list_(pa.int64())), pa.array([n.astype(np.int32) for _, n in rows], type=pa.list_(pa.int32()))], names=["doc_id", "label", "terms", "tfs"])
+
+    # bounded by the sample
+    known = examples.mapInArrow(count, "doc_id long, label int, terms array<long>, tfs array<int>").toArrow().combine_chunks()
+    ids, labels = known.column("doc_id").to_numpy(), known.column("label").to_numpy().astype(np.int64)
+    lists = pa.concat_arrays(known.column("terms").chunks) if known.num_rows else pa.array([], type=pa.list_(pa.int64()))
+    sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    vocabulary, place = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+    tfs = pa.concat_arrays(known.column("tfs").chunks).flatten().to_numpy() if known.num_rows else np.zeros(0)
+    toxic, of = int(labels.sum()), np.repeat(labels, sizes)
+    have = [np.bincount(place[of == k], minlength=len(vocabulary)) for k in (1, 0)]
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, n, total = Terms(shared.value), np.zeros(len(shared.value), dtype=np.int64), 0
         for b in batches:
-            for text, label in zip(text_bytes(b.column("text")), b.column("label").to_pylist(), strict=True):
-                n[int(label)].update({c for w in set(words(text)) for c in _candidates(w)})
-                n[int(label)][""] += 1
-        own = list(n[0].keys() | n[1].keys())
-        for i in range(0, len(own), 100_000):
-            some = own[i : i + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(some, type=pa.string()), *[pa.array([c[w] for w in some], type=pa.int64()) for c in n]], names=["term", "clean", "toxic"])
-
-    counts = stored(examples.mapInArrow(count, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).filter("term = '' or toxic > 1"), "term-counts")
-    whole = counts.filter("term = ''").first()
-    if whole is None or not whole.toxic or not whole.clean:
-        return []
-    a, b, n = F.col("toxic").cast("double"), F.col("clean").cast("double"), float(whole.toxic + whole.clean)
-    cross = a * (whole.clean - b) - b * (whole.toxic - a)
-    chi = n * cross * cross / (float(whole.toxic) * whole.clean * (a + b) * F.greatest(F.lit(1.0), n - a - b))
-    chosen = counts.filter((F.col("term") != "") & (a >= max(3, SHARE * whole.toxic)) & (cross > 0)).withColumn("chi", chi).filter(F.col("chi") >= CHI)
-    out: list[str] = []
-    # at most 1 / SHARE times the candidates of a toxic example
-    for term in [r[0] for r in sorted(chosen.select("term", "chi").collect(), key=lambda r: (-r[1], -len(r[0]), r[0]))]:
-        start = term.rstrip("-")
-        if not any(start.startswith(x.rstrip("-")) or x.startswith(start) for x in out):
-            out.append(term)
-    return sorted(out)
+            for at, _ in terms.of(text_bytes(b.column("text"))):
+                n[at[at >= 0]] += 1
+            total += b.num_rows
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(n[at], total))], names=["term", "docs"])
+
+    sums = docs.select("text").mapInArrow(spread, "term int, docs long").groupBy("term").agg(F.sum("docs").alias("docs")).toArrow()  # a row a term of the sample
+    at, n = sums.column("term").to_numpy(), sums.column("docs").to_numpy()
+    total, spread_over = int(n[at < 0].sum()), np.zeros(len(vocabulary))
+    spread_over[at[at >= 0]] = n[at >= 0]
+    weights = (np.log((total + 1) / (spread_over + 1)) + 1) * surely(*have, toxic, len(labels) - toxic)
+    unknown = (math.log((total + 1) / 2) + 1) * LEAST
+    ends = np.cumsum(sizes)
+    rows = [(int(i), place[z - s : z], tfs[z - s : z], float(x)) for i, x, s, z in zip(ids, labels, sizes, ends, strict=True)]
+    return vocabulary, Index(rows, weights, (toxic + 0.5) / (len(labels) + 1), unknown)
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -157,41 +215,25 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     sample = learn if n <= EXAMPLES else learn.filter(F.pmod(F.xxhash64("_id", F.lit(3)), F.lit(1 << 30)) < int(EXAMPLES / n * (1 << 30)))
     sample = stored(sample.select("_id", "label"), "example-ids")  # about EXAMPLES rows at most: it is broadcast
     examples = docs.join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "label")
-    terms = _terms(examples)
-    place = {t: i for i, t in enumerate(terms)}
-
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[bytes, list[int]] = {}
-        none: list[int] = []
-        for b in batches:
-            rows: list[list[tuple[int, float]]] = []
-            for text in text_bytes(b.column("text")):
-                own = words(text)
-                if len(kept) > KEEP_WORDS:
-                    kept = {}
-                for w in own:
-                    if w not in kept:
-                        kept[w] = [place[c] for c in _candidates(w) if c in place] or none
-                hits = Counter([t for w in own if kept[w] for t in kept[w]])
-                rows.append([*sorted(hits.items()), (len(place), (len(own) - sum(hits.values())) / REST)] if hits else [])
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[pa.array([[x[k] for x in f] for f in rows], type=pa.list_(t)) for k, t in ((0, pa.int32()), (1, pa.float64()))]], names=["doc_id", "terms", "tfs"])
-
-    vectors = stored(docs.mapInArrow(find, "doc_id long, terms array<int>, tfs array<double>"), "term-vectors")
-    counts = {r[0]: r[1] for r in vectors.select(F.explode("terms").alias("t")).groupBy("t").count().collect()}  # at most a row a term
-    total = vectors.count()
-    idf = np.array([*[math.log((total + 1) / (counts.get(t, 0) + 1)) + 1 for t in range(len(terms))], 1.0])
-    known = vectors.join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).select("doc_id", "terms", "tfs", "label")
-    without = known.filter(F.size("terms") == 0).agg(F.count("*"), F.sum("label")).first()
-    rest = ((without[1] or 0) + 0.5) / (without[0] + 1)
-    index = Index([(r[0], r[1], r[2], float(r[3])) for r in known.filter(F.size("terms") > 0).collect()], idf, rest)  # bounded by the sample
-    shared = docs.sparkSession.sparkContext.broadcast(index)
+    shared = docs.sparkSession.sparkContext.broadcast(_learn(docs, examples))
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, index = shared.value
+        terms, seen = Terms(vocabulary), {}
         for b in batches:
-            votes = [shared.value.vote(t, f) for t, f in zip(b.column("terms").to_pylist(), b.column("tfs").to_pylist(), strict=True)]
+            texts = text_bytes(b.column("text"))
+            keys = [xxhash.xxh3_128_digest(t) for t in texts]
+            if len(seen) > 100_000:
+                seen = {}
+            new = {k: t for k, t in zip(keys, texts, strict=True) if k not in seen}  # equal texts once
+            todo = list(new)
+            for i in range(0, len(todo), TEXTS):
+                some = todo[i : i + TEXTS]
+                seen |= zip(some, index.votes(list(terms.of([new[k] for k in some]))), strict=True)
+            votes = [seen[k] for k in keys]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([v for v, _ in votes], type=pa.float64()), pa.array([e for _, e in votes], type=pa.string())], names=["doc_id", "raw", "evidence"])
 
-    voted = stored(vectors.mapInArrow(vote, "doc_id long, raw double, evidence string"), "votes")
+    voted = stored(docs.mapInArrow(vote, "doc_id long, raw double, evidence string"), "votes")
     test = voted.select("doc_id", "raw").join(marks.filter(F.col("fold") == CALIBRATE), F.col("doc_id") == F.col("_id")).select("raw", "label")
     rates = curve(test)
     found = voted.withColumn("score", calibrated(F.col("raw"), rates))

@@ -485,3 +485,22 @@ def test_nearest_examples_are_exact():
         want = set(np.flatnonzero((cos >= kth - 1e-9) & (cos > 0)).tolist())
         at, _ = index.nearest(terms, tfs)
         assert set(at.tolist()) == want
+
+
+def test_toxicity_of_few_examples_and_rare_terms(spark):
+    """Fifty examples, and toxic texts of which each word is in few: no term is left out."""
+    rng = random.Random(5)
+    docs, marks, kind = [], [], {}
+    for i in range(120):
+        words = [f"w{rng.randrange(300)}" for _ in range(25)]
+        kind[i] = i % 4 == 0
+        if kind[i]:
+            words += [f"réeux{rng.choice('abcdefghijkl')}{rng.randrange(50)}" for _ in range(4)]
+        docs.append((i, " ".join(words), "s"))
+        if i < 80:
+            marks.append((i, int(kind[i])))
+    got = toxicity.score(table(spark, docs), spark.createDataFrame(marks, "doc_id long, toxic int")).collect()
+    raw = {r.doc_id: r.vote for r in got if r.doc_id >= 80}
+    toxic, clean = [raw[i] for i in raw if kind[i]], [raw[i] for i in raw if not kind[i]]
+    assert np.mean([a > b for a in toxic for b in clean]) > 0.9
+    assert all(r.evidence for r in got)

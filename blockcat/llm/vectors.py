@@ -8,8 +8,9 @@ the best rest cannot lift. Near vectors share many filters, unrelated ones almos
 are verified by their cosine in double precision.
 
 The code grows with the number of vectors (about one filter per vector), the height follows from the number of filters a
-vector should reach on average, so a filter holds about as many vectors at every size. Several independent codes make up for vectors
-that one of them serves badly. The join is probabilistic; measured recall is in the README.
+vector should reach on average, so a filter holds about as many vectors at every size. Caps narrow as filters grow in number, so one
+code finds fewer of the pairs that just link: how many is counted on planted pairs, and so many independent codes are used that
+``RECALL`` is expected. The join is probabilistic; measured recall is in the README.
 
 Equal vectors are made one class first. A class's row carries the filters it is in, so each pair is counted in the
 first filter that it shares, without collecting pairs. In a filter, rows are compared in blocks; a filter of more than
@@ -35,8 +36,10 @@ from blockcat.llm.common import partitions, small, stored
 from blockcat.llm.components import components, roots
 
 COSINE = 0.95
-#: Independent codes, the filters of each that a vector reaches on average, and their seed.
+#: Independent codes at least, the filters of each that a vector reaches on average at least, and their seed.
 CODES, REACH, SEED = 6, 8, 20_240_229
+#: Two vectors that just link share a filter with this probability at least; more codes than MOST are replaced by a wider reach. Planted pairs a code.
+RECALL, MOST, PAIRS = 0.99, 24, 250
 #: A cap is at least so many times as wide as the angle of two vectors that just link (only low dimensions come near).
 WIDEST = 1.6
 #: Rows of a filter compared at once; a larger one is split into pairs of blocks. Filters of up to SHORT rows are compared together.
@@ -91,6 +94,37 @@ class Code:
         return row, word
 
 
+def planted(dim: int, cosine: float, n: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of unit vectors in random directions, at exactly this cosine."""
+    a, b = rng.standard_normal((2, n, dim))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (b * a).sum(axis=1, keepdims=True) * a
+    return a, cosine * a + math.sqrt(max(0.0, 1 - cosine * cosine)) * b / np.linalg.norm(b, axis=1, keepdims=True)
+
+
+def sharing(code: Code, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether each vector of ``a`` has a filter in common with that of ``b``."""
+    (left, x), (right, y) = code.decode(a), code.decode(b)
+    both = np.intersect1d(left * code.filters + x, right * code.filters + y)
+    return np.isin(np.arange(len(a)), both // code.filters)
+
+
+def choose(dim: int, n: int, cosine: float = COSINE, codes: int = CODES, reach: float = REACH, seed: int = SEED) -> list[Code]:
+    """So many codes, ``codes`` at least, that a pair at ``cosine`` shares a filter with probability ``RECALL``."""
+    while True:
+        out = [Code(dim, n, cosine, reach, seed + k) for k in range(codes)]
+        if dim < 2:
+            return out
+        rng = np.random.default_rng([dim, seed, 1])
+        rates = np.array([sharing(c, *planted(dim, cosine, PAIRS, rng)).mean() for c in out])
+        # a turned code serves all pairs alike, so codes miss independently; two standard errors are left as a margin
+        rate = float(rates.mean()) - 2 * math.sqrt(float(rates.mean()) * (1 - float(rates.mean())) / (PAIRS * codes))
+        need = 1 if rate >= RECALL else math.ceil(math.log(1 - RECALL) / math.log(1 - rate)) if rate > 0 else MOST + 1
+        if need <= max(codes, MOST) or reach * 2 >= out[0].filters:
+            return out + [Code(dim, n, cosine, reach, seed + k) for k in range(codes, min(need, max(codes, MOST)))]
+        reach *= 2
+
+
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim) if len(column) else np.zeros((0, dim))
 
@@ -247,7 +281,8 @@ def _of_one_length(valid: DataFrame, dim: int, cosine: float, codes: int, reach:
     named = valid.select("vec_id", F.xxhash64("vector").alias("key"), "vector")
     classes = stored(named.groupBy("key", "vector").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies")), "vector-classes")
     n = classes.count()
-    filters = [Code(dim, n, cosine, reach, seed + k) for k in range(codes)]
+    filters = choose(dim, n, cosine, codes, reach, seed)
+    codes = len(filters)
     number = "int" if codes * filters[0].filters < 1 << 31 else "long"
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

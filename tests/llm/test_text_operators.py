@@ -349,6 +349,14 @@ def test_vectors(spark, block):
     assert vectors.near_vectors(df.limit(0)).count() == 0
 
 
+def test_borderline_pairs_share_a_filter_at_every_size():
+    for n in (20_000, 1 << 22, 5_000_000, 100_000_000):
+        a, b = vectors.planted(64, 0.95, 400, np.random.default_rng(n))
+        assert np.allclose((a * b).sum(axis=1), 0.95)
+        shared = np.any([vectors.sharing(code, a, b) for code in vectors.choose(64, n)], axis=0)
+        assert shared.mean() > 0.975, n
+
+
 # --- licences and secrets
 
 

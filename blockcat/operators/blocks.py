@@ -5,7 +5,9 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -129,6 +131,26 @@ def first_difference(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_element_at(F.filter(places, lambda i: F.coalesce(F.substring(F.hex(a), i * 2 - 1, F.lit(2)) != F.substring(F.hex(b), i * 2 - 1, F.lit(2)), F.lit(True))), F.lit(1)) - 1, F.lit(-1)).cast("long")
 
 
+def first_differences(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """``pairs`` with ``first_diff``: the first byte at which two whole blocks differ, a shorter one differing where it ends; -1 if equal (null counts as empty)."""
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema.fields)
+
+    def one(x: bytes, y: bytes) -> int:
+        if x == y:
+            return -1
+        n = min(len(x), len(y))
+        other = np.flatnonzero(np.frombuffer(x, np.uint8, n) != np.frombuffer(y, np.uint8, n))
+        return int(other[0]) if len(other) else n
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right = (batch.column(c).to_pylist() for c in (a, b))
+            found = [one(x or b"", y or b"") for x, y in zip(left, right, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, type=pa.int64())], names=[*batch.schema.names, "first_diff"])
+
+    return pairs.mapInArrow(run, f"{kinds}, first_diff long")
+
+
 def verify_set(bad: DataFrame, totals: DataFrame, container: str) -> DataFrame:
     """Bad blocks and their neighbours, within the container, each once."""
     near = bad.join(totals, container).select(container, F.explode(F.sequence(F.greatest(F.lit(0).cast("long"), F.col("idx") - 1), F.least(F.col("blocks") - 1, F.col("idx") + 1))).alias("idx"))

@@ -153,10 +153,11 @@ def hash_mode(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT doc_id, (CASE WHEN strlen(text) = 0 THEN -1 WHEN doc_id % 2 = 0 THEN -1 ELSE least(doc_id % 20, least(strlen(text), 32)) END)::BIGINT AS first_diff FROM documents""")
 def first_difference(spark: SparkSession, d: str) -> DataFrame:
-    a = F.substring(F.col("text").cast("binary"), 1, 32)
+    a = F.col("text").cast("binary")
     at = (F.col("doc_id") % 20).cast("int")
-    b = F.when(F.col("doc_id") % 2 == 0, a).otherwise(F.concat(F.substring(a, F.lit(1), at), F.unhex(F.lit("00")), F.substring(a, at + 2, F.lit(32))))
-    return load(spark, d, "documents").select("doc_id", F.when(F.octet_length("text") == 0, F.lit(-1).cast("long")).otherwise(B.first_difference(a, b)).alias("first_diff"))
+    b = F.when(F.col("doc_id") % 2 == 0, a).otherwise(F.concat(F.substring(a, F.lit(1), at), F.unhex(F.lit("00")), F.substring(a, at + 2, F.octet_length("text"))))
+    both = B.first_differences(load(spark, d, "documents").select("doc_id", a.alias("a"), b.alias("b")), "a", "b")
+    return both.select("doc_id", F.when(F.octet_length("a") == 0, F.lit(-1).cast("long")).otherwise(F.col("first_diff")).alias("first_diff"))
 
 
 @query(f"WITH {FILES_SQL} SELECT container, lower(rel) AS folded, min(rel) AS rel, count(*) AS n FROM (SELECT container, rel FROM files UNION ALL SELECT container, upper(rel) FROM files WHERE doc_id % 9 = 0) GROUP BY 1, 2")

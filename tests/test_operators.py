@@ -166,3 +166,16 @@ def test_stored_is_raw_where_deflate_gains_little(spark):
     for k, r in rows.items():
         small = len(zlib.compress({"a": bytes(range(256)) * 4, "b": b"\0" * 1024}[k], 7))
         assert r.compressed == ((1024 - small) * 100 >= 1024 * 5)
+
+
+def test_first_differences_of_whole_blocks(spark):
+    rows, want = [], {}
+    for n, at in enumerate((0, 31, 32, 33, 1000, 40_000, 65_535)):
+        x = bytes(i % 251 for i in range(65_536))
+        rows.append((n, x, x[:at] + bytes([x[at] ^ 1]) + x[at + 1 :]))
+        rows.append((n + 100, x, x[:at]))
+        want |= {n: at, n + 100: at}
+    rows += [(200, x, x), (201, b"", b""), (202, None, b"z"), (203, None, None)]
+    want |= {200: -1, 201: -1, 202: 0, 203: -1}
+    got = B.first_differences(spark.createDataFrame(rows, "n int, a binary, b binary"), "a", "b").collect()
+    assert {r.n: r.first_diff for r in got} == want

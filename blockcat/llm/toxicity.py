@@ -1,21 +1,22 @@
-"""Toxicity scores by the nearest labelled examples in exact TF-IDF cosine.
+"""Toxicity scores by the nearest labelled examples in exact TF-IDF cosine, from a block-max inverted index.
 
 Examples are a bounded sample of labelled rows (about ``EXAMPLES``, by hash of the id; folds 1 to 3). Terms are all words
-and all beginnings of words (of ``PREFIXES`` characters); none is left out. A term's weight is its occurrences times its IDF times how
+and the beginnings (``STEM`` characters) of longer ones; none is left out. A term's weight is its occurrences times its IDF times how
 surely toxic examples have it more often: z^2 / (z^2 + EVEN) of its log odds, never below ``LEAST``, so the rule is the same
 at every number of examples. IDF comes from all documents; terms that no example has can't match and add to a text's length only,
 with the IDF of a term that one document has.
 
-Examples form an inverted index: rows of weights for terms that many examples have, multiplied with many texts at once, and
-postings for the others. The cosine with every example is added up, as common terms leave no block of examples out of reach:
-the neighbours (ties with the k-th included) are exact. They vote, weighted by nearness. Votes are calibrated by isotonic
-regression on fold 4.
+Examples form an inverted index cut into blocks of alike ones. Rare terms have postings, and what they add to a cosine is
+summed for all examples. Common terms have their greatest weight in each block: with these a block gets an upper bound, blocks
+are opened from the highest bound on, and those whose bound lies below the k-th best cosine so far are never opened. The
+neighbours (ties with the k-th included) are exact. They vote, weighted by nearness; the nearest are named as evidence. Votes
+are calibrated by isotonic regression on fold 4.
 
 Terms go by their 64-bit hashes. The index is bounded by the sample, so it goes to all tasks; texts are read twice and never shuffled.
 
 Defined cases: null and empty texts, and those that share no term with an example, get the rate of all examples; without labels every
-score is 0.5 and predicted 1; several labels of a doc_id count as toxic if most are; rows of the same doc_id are scored each; an empty
-table gives an empty result.
+score is 0.5 and predicted 1; several labels of a doc_id count as toxic if most are; rows of the same doc_id are scored each; a text
+of any length is read whole; an empty table gives an empty result; columns named like the added ones are not looked at.
 """
 
 from __future__ import annotations
@@ -39,16 +40,18 @@ THRESHOLD = 0.5
 EXAMPLES, NEIGHBOURS, SOFT = 8_000, 15, 0.02
 #: A term of more than one in so many examples has a row of weights; texts are looked up so many at once.
 OFTEN, TEXTS = 8, 128
-#: Lengths of beginnings; the z^2 at which a term has about half its weight, and the share of it that every term keeps.
-PREFIXES, EVEN, LEAST = range(4, 9), 20.0, 0.1
+#: Examples in a block of the index.
+BLOCK = 64
+#: Length of a beginning; the z^2 at which a term has about half its weight, and the share of it that every term keeps.
+STEM, EVEN, LEAST = 5, 20.0, 0.1
 #: Words whose terms are kept per worker.
 KEEP_WORDS = 500_000
 
 
 def _candidates(word: bytes) -> list[str]:
-    """The terms of a word: itself and its beginnings (marked by a hyphen)."""
+    """The terms of a word: itself and its beginning (marked by a hyphen)."""
     w = word.decode()
-    return [w, *[f"{w[:k]}-" for k in PREFIXES if len(w) > k]]
+    return [w, f"{w[:STEM]}-"] if len(w) > STEM else [w]
 
 
 def _hashes(word: bytes) -> list[int]:
@@ -87,57 +90,113 @@ class Terms:
                 yield terms, np.bincount(at, np.repeat(np.fromiter(c.values(), np.int64, len(c)), [len(x) for x in own])) if len(c) else np.zeros(0)
 
 
+def _alike(rows: np.ndarray, block: int) -> np.ndarray:
+    """An order of the rows in which alike ones are neighbours: halved along the direction in which they vary most, again and again."""
+    out, waiting = [], [np.arange(len(rows))]
+    while waiting:
+        own = waiting.pop()
+        if len(own) <= block or not rows.shape[1]:
+            out.append(own)
+            continue
+        x = rows[own] - rows[own].mean(axis=0)
+        way = x[np.argmax((x * x).sum(axis=1))]
+        for _ in range(8):
+            way = (x @ way) @ x
+            way /= np.linalg.norm(way) + 1e-300
+        own = own[np.argsort(x @ way, kind="stable")]
+        half = max(block, len(own) // 2 // block * block)
+        waiting += [own[half:], own[:half]]
+    return np.concatenate(out) if out else np.zeros(0, dtype=np.int64)
+
+
 class Index:
-    """Unit TF-IDF vectors of labelled examples: a row for each term that many have, postings for the others."""
-
-    def __init__(self, examples: list[tuple[int, list[int], list[float], float]], idf: np.ndarray, rest: float, unknown: float = 0.0):
-        """``idf``: the weight of each term; ``unknown``: that of a term that isn't among them; ``rest``: the vote without neighbours."""
-        self.idf, self.rest, self.unknown = idf, rest, unknown
-        own = [(e, self.vector(e[1], e[2])) for e in examples if len(e[1])]
-        self.ids = np.array([e[0] for e, _ in own], dtype=np.int64)
-        self.labels = np.array([e[3] for e, _ in own])
-        sizes = [len(v) for _, v in own]
-        at = np.repeat(np.arange(len(own), dtype=np.int32), sizes)
-        term = np.concatenate([np.zeros(0, dtype=np.int32), *[np.asarray(e[1], dtype=np.int32) for e, _ in own]])
-        weight = np.concatenate([np.zeros(0), *[v for _, v in own]])
-        n = np.bincount(term, minlength=len(idf))
-        often = np.flatnonzero(n * OFTEN > len(own))
-        self.row = np.full(len(idf), -1)
+    """Unit TF-IDF vectors of labelled examples, in blocks: postings of rare terms, and of each common term a row of weights
+    cut into blocks, with the greatest weight of every block."""
+
+    def __init__(self, ids: np.ndarray, labels: np.ndarray, sizes: np.ndarray, terms: np.ndarray, tfs: np.ndarray, idf: np.ndarray, rest: float, unknown: float = 0.0, block: int = BLOCK):
+        """``terms``, ``tfs``: those of the examples one after the other, ``sizes`` of each; ``idf``: the weight of each term;
+        ``unknown``: that of a term that isn't among them; ``rest``: the vote without neighbours."""
+        self.idf, self.rest, self.unknown, self.block = idf, rest, unknown, block
+        ids, labels = ids[sizes > 0], labels[sizes > 0]
+        sizes, n = sizes[sizes > 0], int((sizes > 0).sum())
+        at = np.repeat(np.arange(n, dtype=np.int32), sizes)
+        weight = tfs * idf[terms]
+        weight /= np.sqrt(np.bincount(at, weight * weight, n))[at]
+        df = np.bincount(terms, minlength=len(idf))
+        often = np.flatnonzero(df * OFTEN > n)
+        self.row = np.full(len(idf), -1, dtype=np.int32)
         self.row[often] = np.arange(len(often))
-        self.rows, dense = np.zeros((len(often), len(own))), self.row[term] >= 0
-        self.rows[self.row[term[dense]], at[dense]] = weight[dense]
-        term, at, weight = term[~dense], at[~dense], weight[~dense]
+        dense = self.row[terms] >= 0
+        rows = np.zeros((n, len(often)))
+        rows[at[dense], self.row[terms[dense]]] = weight[dense]
+        # alike examples share blocks, so that a block's greatest weights are near its members' own
+        order = _alike(rows, block)
+        place = np.empty(n, dtype=np.int32)
+        place[order] = np.arange(n)
+        self.ids, self.labels = ids[order], labels[order]
+        self.blocks = max(1, -(-n // block))
+        rows = np.concatenate([rows[order], np.zeros((self.blocks * block - n, len(often)))]).reshape(self.blocks, block, len(often))
+        self.greatest, self.rows = rows.max(axis=1).T.copy(), np.ascontiguousarray(rows.transpose(0, 2, 1))
+        term, at, weight = terms[~dense], place[at[~dense]], weight[~dense]
         order = np.lexsort((at, term))
         self.at, self.weight = at[order], weight[order]
-        self.cuts = np.searchsorted(term[order], np.arange(len(idf) + 1))
+        self.cuts = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(idf)))])
 
-    def vector(self, terms: list[int], tfs: list[float], others: float = 0.0) -> np.ndarray:
+    @classmethod
+    def of(cls, examples: list[tuple[int, list[int], list[float], float]], idf: np.ndarray, rest: float, unknown: float = 0.0, block: int = BLOCK) -> Index:
+        """From (id, terms, occurrences, label) of each example."""
+        flat = lambda k, kind: np.array([x for e in examples for x in e[k]], dtype=kind)
+        ids, labels, sizes = (np.array(x) for x in ([e[0] for e in examples], [e[3] for e in examples], [len(e[1]) for e in examples]))
+        return cls(ids, labels, sizes.astype(np.int64), flat(1, np.int64), flat(2, np.float64), idf, rest, unknown, block)
+
+    def vector(self, terms: np.ndarray, tfs: np.ndarray, others: float = 0.0) -> np.ndarray:
         """The weights of terms in a text of length 1; ``others``: the squares of the weights of its other terms, summed."""
         w = np.asarray(tfs, dtype=np.float64) * self.idf[np.asarray(terms, dtype=np.int64)]
         return w / math.sqrt(float(w @ w) + others)
 
-    def cosines(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """Of each query (terms, weights) with each example."""
-        q = np.zeros((len(queries), len(self.rows)))
-        for own, (terms, w) in zip(q, queries, strict=True):
+    def cosines(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int = NEIGHBOURS) -> np.ndarray:
+        """Of each query (terms, weights) with each example; minus one where the example's block can't hold one of the ``k``
+        nearest or one as near."""
+        n, size = len(self.ids), self.block
+        q, out = np.zeros((len(queries), self.rows.shape[1])), np.zeros((len(queries), self.blocks * size))
+        for own, part, (terms, w) in zip(q, out, queries, strict=True):
             row = self.row[terms]
             own[row[row >= 0]] = w[row >= 0]
-        out = q @ self.rows
-        for own, (terms, w) in zip(out, queries, strict=True):
-            size = self.cuts[terms + 1] - self.cuts[terms]
-            span = _spans(self.cuts[terms], size)
-            own += np.bincount(self.at[span], np.repeat(w, size) * self.weight[span], len(own))
-        return out
+            many = self.cuts[terms + 1] - self.cuts[terms]
+            span = _spans(self.cuts[terms], many)
+            part += np.bincount(self.at[span], np.repeat(w, many) * self.weight[span], len(part))  # rare terms: exact for all
+        cells = out.reshape(len(queries), self.blocks, size)
+        most = q @ self.greatest + cells.max(axis=2) + 2e-9  # no example of the block is nearer
+        order, closed = np.argsort(-most, axis=1), np.ones((len(queries), self.blocks), dtype=bool)
+        best = np.full((len(queries), k), -1.0)
+        done, step = 0, 2
+        while done < self.blocks:
+            want = order[:, done : done + step]
+            which, place = np.nonzero(np.take_along_axis(most, want, axis=1) >= np.maximum(best.min(axis=1), 1e-12)[:, None])
+            if not len(which):  # blocks come by their bounds: those after them are no nearer
+                break
+            block = want[which, place]
+            for b in np.unique(block).tolist():
+                own = which[block == b]
+                cells[own, b] += q[own] @ self.rows[b]
+            closed[which, block] = False
+            found = np.full((len(queries), want.shape[1], size), -1.0)
+            found[which, place] = cells[which, block]
+            both = np.concatenate([best, found.reshape(len(queries), -1)], axis=1)
+            best = -np.partition(-both, k - 1, axis=1)[:, :k]
+            done, step = done + step, step * 2
+        cells[closed] = -1.0
+        return out[:, :n]
 
     def best(self, cos: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         kth = np.partition(cos, len(cos) - k)[len(cos) - k] if len(cos) > k else 0
-        at = np.flatnonzero((cos > 0) & (cos >= kth - 1e-9))
+        at = np.flatnonzero((cos > 1e-12) & (cos >= kth - 1e-9))
         at = at[np.lexsort((self.ids[at], -cos[at]))]
         return at, cos[at]
 
     def nearest(self, terms: list[int], tfs: list[float], k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
         """(examples, cosines) of the k nearest with a positive cosine, and of those as near as the k-th; best first."""
-        return self.best(self.cosines([(np.asarray(terms, dtype=np.int64), self.vector(terms, tfs))])[0], k)
+        return self.best(self.cosines([(np.asarray(terms, dtype=np.int64), self.vector(terms, tfs))], k)[0], k)
 
     def votes(self, texts: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[float, str]]:
         """Of each text (terms, occurrences): the weighted share of toxic neighbours, and the five nearest as id:label:cosine."""
@@ -171,13 +230,15 @@ def _learn(docs: DataFrame, examples: DataFrame) -> tuple[np.ndarray, Index]:
             rows = list(terms.of(text_bytes(b.column("text"))))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), pa.array([-1 - t for t, _ in rows], type=pa.list_(pa.int64())), pa.array([n.astype(np.int32) for _, n in rows], type=pa.list_(pa.int32()))], names=["doc_id", "label", "terms", "tfs"])
 
-    # bounded by the sample
-    known = examples.mapInArrow(count, "doc_id long, label int, terms array<long>, tfs array<int>").toArrow().combine_chunks()
+    # bounded by the sample: a number and a half per term of an example
+    known = examples.mapInArrow(count, "doc_id long, label int, terms array<long>, tfs array<int>").toArrow()
     ids, labels = known.column("doc_id").to_numpy(), known.column("label").to_numpy().astype(np.int64)
-    lists = pa.concat_arrays(known.column("terms").chunks) if known.num_rows else pa.array([], type=pa.list_(pa.int64()))
-    sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-    vocabulary, place = np.unique(lists.flatten().to_numpy(), return_inverse=True)
-    tfs = pa.concat_arrays(known.column("tfs").chunks).flatten().to_numpy() if known.num_rows else np.zeros(0)
+    sizes = np.concatenate([np.zeros(0, dtype=np.int64), *[c.value_lengths().to_numpy() for c in known.column("terms").chunks]]).astype(np.int64)
+    hashes, tfs = (np.concatenate([np.zeros(0, dtype=kind), *[c.flatten().to_numpy() for c in known.column(name).chunks]]) for name, kind in (("terms", np.int64), ("tfs", np.int32)))
+    del known
+    vocabulary = np.unique(hashes)
+    place = np.searchsorted(vocabulary, hashes).astype(np.int32)
+    del hashes
     toxic, of = int(labels.sum()), np.repeat(labels, sizes)
     have = [np.bincount(place[of == k], minlength=len(vocabulary)) for k in (1, 0)]
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
@@ -197,9 +258,8 @@ def _learn(docs: DataFrame, examples: DataFrame) -> tuple[np.ndarray, Index]:
     spread_over[at[at >= 0]] = n[at >= 0]
     weights = (np.log((total + 1) / (spread_over + 1)) + 1) * surely(*have, toxic, len(labels) - toxic)
     unknown = (math.log((total + 1) / 2) + 1) * LEAST
-    ends = np.cumsum(sizes)
-    rows = [(int(i), place[z - s : z], tfs[z - s : z], float(x)) for i, x, s, z in zip(ids, labels, sizes, ends, strict=True)]
-    return vocabulary, Index(rows, weights, (toxic + 0.5) / (len(labels) + 1), unknown)
+    index = Index(ids, labels.astype(np.float64), sizes, place, tfs, weights, (toxic + 0.5) / (len(labels) + 1), unknown)
+    return vocabulary, index
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -478,7 +479,7 @@ def test_nearest_examples_are_exact():
         terms = sorted(rng.choice(12, rng.integers(0, 5), replace=False).tolist())
         examples.append((i, terms, rng.integers(1, 6, len(terms)).astype(float).tolist(), float(rng.random() < 0.3)))
     idf = rng.uniform(1, 5, 12)
-    index = toxicity.Index(examples, idf, 0.1)
+    index = toxicity.Index.of(examples, idf, 0.1)
     dense = np.zeros((len(index.ids), 12))
     known = {e[0]: e for e in examples}
     for n, i in enumerate(index.ids.tolist()):
@@ -512,3 +513,92 @@ def test_toxicity_of_few_examples_and_rare_terms(spark):
     toxic, clean = [raw[i] for i in raw if kind[i]], [raw[i] for i in raw if not kind[i]]
     assert np.mean([a > b for a in toxic for b in clean]) > 0.9
     assert all(r.evidence for r in got)
+
+
+def plain_toxicity(rows, marks):
+    """{doc_id: (vote, score)} from raw texts, with dictionaries: every cosine with every example."""
+    fold = lambda i: zlib.crc32(str(i).encode()) % 5
+    cut = lambda t: [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c < "\x80" else c for c in t)) if w]
+    terms = {i: Counter(x for w in cut(t or "") for x in ([w, w[:5] + "-"] if len(w) > 5 else [w])) for i, t in rows}
+    examples = [i for i, _ in rows if i in marks and fold(i) in (1, 2, 3)]
+    toxic = [i for i in examples if marks[i]]
+    known = set().union(*(terms[i] for i in examples))
+    weight = {}
+    for x in known:
+        df = sum(x in c for c in terms.values())
+        a, b = sum(x in terms[i] for i in toxic) + 0.5, sum(x in terms[i] for i in examples if not marks[i]) + 0.5
+        c, d = len(toxic) + 1 - a, len(examples) - len(toxic) + 1 - b
+        z = max(0, math.log(a * d / (b * c))) / math.sqrt(1 / a + 1 / b + 1 / c + 1 / d)
+        weight[x] = (math.log((len(rows) + 1) / (df + 1)) + 1) * (0.1 + 0.9 * z * z / (z * z + 20))
+    other = (math.log((len(rows) + 1) / 2) + 1) * 0.1
+    vector = {i: {x: n * weight.get(x, other) for x, n in c.items()} for i, c in terms.items()}
+    length = {i: math.sqrt(sum(v * v for v in c.values())) or 1 for i, c in vector.items()}
+    vote = {}
+    for i in terms:
+        cos = sorted(((sum(v * vector[e].get(x, 0) for x, v in vector[i].items() if x in known) / length[i] / length[e], e) for e in examples), reverse=True)
+        cos = [(c, e) for c, e in cos if c > 1e-12 and c >= cos[min(15, len(cos)) - 1][0] - 1e-9]
+        near = [(1 / (1 - min(1, c) + 0.02), marks[e]) for c, e in cos]
+        vote[i] = sum(w * m for w, m in near) / sum(w for w, _ in near) if near else (len(toxic) + 0.5) / (len(examples) + 1)
+    bins = [[0, 0] for _ in range(500)]
+    for i in vote:
+        if i in marks and fold(i) == 4:
+            b = bins[min(499, int(vote[i] * 500))]
+            b[0], b[1] = b[0] + marks[i], b[1] + 1
+    rates = plain_isotonic(bins)
+    score = {}
+    for i, v in vote.items():
+        at = min(499, max(0, v * 500 - 0.5))
+        low = int(at)
+        score[i] = rates[low] + (rates[min(499, low + 1)] - rates[low]) * (at - low)
+    return {i: (vote[i], score[i]) for i in vote}
+
+
+def plain_isotonic(bins):
+    """Smoothed rates of the isotonic fit by its min-max formula over filled bins; empty bins take the one before (the first ones the first)."""
+    filled = [(k, r, t) for k, (r, t) in enumerate(bins) if t]
+    fit = {}
+    for n, (k, _, _) in enumerate(filled):
+        fit[k] = max(min(sum(r for _, r, _ in filled[i : j + 1]) / sum(t for _, _, t in filled[i : j + 1]) for j in range(n, len(filled))) for i in range(n + 1))
+    level = {}
+    for k, r, t in filled:
+        a = level.setdefault(round(fit[k], 12), [0, 0])
+        a[0], a[1] = a[0] + r, a[1] + t
+    rate = {k: (level[round(fit[k], 12)][0] + 0.5) / (level[round(fit[k], 12)][1] + 1) for k in fit}
+    out, last = [], rate[min(rate)]
+    for k in range(len(bins)):
+        last = rate.get(k, last)
+        out.append(max([last, *out[-1:]]))
+    return out
+
+
+def test_toxicity_equals_a_plain_version(spark):
+    docs, marks, truth = labelled(spark, 400, 3)
+    docs = [(i, t, s) for i, t, s in docs if i is not None and i != 3 and len(t or "") < 10_000] + [(9000, "É" * 8 + " élan étoffée", "s"), (9001, "zzz yyy", "s")]
+    known = {i: m[2] for i, m in truth.items() if i not in (3, 5, 7)}
+    got = toxicity.score(table(spark, docs), spark.createDataFrame(list(known.items()), "doc_id long, toxic int")).collect()
+    want = plain_toxicity([(i, t) for i, t, _ in docs], known)
+    assert len(got) == len(docs)
+    for r in got:
+        assert (r.vote, r.score) == pytest.approx(want[r.doc_id], abs=1e-9)
+
+
+def test_bounds_leave_blocks_closed_and_neighbours_exact():
+    """Many blocks: some are never opened, and the nearest are those that a full comparison finds."""
+    rng = np.random.default_rng(8)
+    examples = []
+    for i in range(1200):
+        topic = 40 * (i % 6)
+        terms = np.unique(np.concatenate([topic + rng.integers(0, 40, 12), rng.integers(240, 900, 6)]))
+        examples.append((i, terms.tolist(), rng.integers(1, 4, len(terms)).astype(float).tolist(), float(i % 5 == 0)))
+    idf = rng.uniform(0.5, 3, 900)
+    index = toxicity.Index.of(examples, idf, 0.1, block=16)
+    dense = np.zeros((1200, 900))
+    for e in examples:
+        dense[e[0], e[1]] = index.vector(e[1], e[2])
+    queries = [(np.array(e[1]), index.vector(e[1], e[2])) for e in examples[:200]]
+    cos = index.cosines(queries)
+    assert (cos < 0).mean() > 0.3
+    full = dense[:200] @ dense.T
+    for row, own in zip(full, cos, strict=True):
+        want = set(np.flatnonzero(row >= np.sort(row)[-toxicity.NEIGHBOURS] - 1e-9).tolist())
+        assert set(index.ids[index.best(own, toxicity.NEIGHBOURS)[0]].tolist()) == want

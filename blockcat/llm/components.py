@@ -3,8 +3,9 @@
 Each round replaces edges by stars: every node links its larger neighbours, then its smaller ones, to the smallest node
 it knows (Kiveris et al., 2014). Rounds needed grow as the logarithm of the nodes; a round is one aggregation and one
 join on each side. Before a round each task cuts what it has down to a spanning forest, so repeated links and dense
-groups shrink before any shuffle. A node with very many neighbours is an ordinary skewed join key, which adaptive
-execution splits. Rounds are stored in shared storage, not in executors.
+groups shrink before any shuffle. The smallest neighbours are a table of one row per node; while it is
+small it is broadcast, so the links of a hub stay where they are, and beyond that a hub is a skewed key of a join of two
+stored tables, which adaptive execution splits. Rounds are stored in shared storage, not in executors.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockcat.llm.common import Stored
+from blockcat.llm.common import Stored, small
 
 #: Links that a task holds at once while cutting to a forest.
 FOREST_ROWS = 500_000
@@ -71,14 +72,18 @@ def components(links: DataFrame) -> DataFrame:
     before = None
     while True:
         both = now.df.unionByName(now.df.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
-        large = both.filter("b > a").join(least, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        # the smallest neighbours are stored and not part of the join's plan: few are broadcast, and else a hub's links are a
+        # skewed partition of a plain shuffle join, which adaptive execution splits
+        least = Stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m")), "links-least")
+        large = both.filter("b > a").join(small(least.df), F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.filter("a <> b").mapInArrow(_forest, "a long, b long")
         mid = Stored(large, "links-large")
         low = mid.df.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        first = low.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u")
-        star = low.join(first, F.col("a") == F.col("u")).select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
+        first = Stored(low.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u"), "links-first")
+        star = low.join(small(first.df), F.col("a") == F.col("u")).select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
         new = Stored(star.filter("a <> b").distinct(), "links-star")
+        for used in (least, first):
+            used.drop()
         mid.drop()
         now.drop()
         state = new.df.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()

@@ -7,43 +7,50 @@ products per block: combinations whose sum reaches the height are enumerated, bl
 the best rest cannot lift. Near vectors share many filters, unrelated ones almost none; candidates that share a filter
 are verified by their cosine in double precision.
 
-The code grows with the number of vectors (about one filter per vector), the height follows from the number of filters a
-vector should reach on average, so a filter holds about as many vectors at every size. Caps narrow as filters grow in number, so one
-code finds fewer of the pairs that just link: how many is counted on planted pairs, and so many independent codes are used that
-``RECALL`` is expected. The join is probabilistic; measured recall is in the README.
-
-Equal vectors are made one class first. A class's row carries the filters it is in, so each pair is counted in the
-first filter that it shares, without collecting pairs. In a filter, rows are compared in blocks; a filter of more than
-``BLOCK`` rows is split into blocks, each pair of blocks a task of its own. Links are counted where they are found; of a
-dense block only a spanning forest is passed on.
+The code grows with the number of vectors, so a filter holds about ``CROWD`` unrelated ones at every size: enough to compare
+them as one matrix product, so few that none is compared with a part of all. The height follows from the number of filters a
+vector should reach on average. Caps narrow as filters grow in number, so one code finds fewer of the pairs that just link: how
+many is counted on planted pairs, and so many independent codes are used that ``RECALL`` is expected. The join is
+probabilistic; measured recall is in the README. A length of up to ``BLOCK`` vectors has a single filter for all: exact.
+
+Equal vectors are made one class first, by themselves, not by a hash. A class's row carries the filters it is in, so each pair is
+counted in the first filter that it shares, without collecting pairs. In a filter, rows are compared in blocks; a filter of
+more than ``BLOCK`` rows is split into blocks, each pair of blocks a task of its own. Whether a pair links is decided by one sum of
+products wherever rounding could matter, so all filters agree. Links are counted where they are found; of a dense block only a
+spanning forest is passed on.
 
 Defined cases: vectors that are null or zero, or hold null or non-finite components, link with nothing and name
-themselves, as do vectors of another length than the most common one only among their own length; a repeated vec_id is
-a vector each time; an empty table gives an empty result.
+themselves; vectors of different lengths never link, and any number of lengths goes through together; a repeated vec_id is
+a vector each time; null vec_ids come below all others; an empty table gives an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blockcat.llm.common import partitions, small, stored
 from blockcat.llm.components import components, roots
 
 COSINE = 0.95
-#: Independent codes at least, the filters of each that a vector reaches on average at least, and their seed.
-CODES, REACH, SEED = 6, 8, 20_240_229
+#: Filters of a code that a vector reaches on average at least, unrelated vectors in a filter on average, and the codes' seed.
+REACH, CROWD, SEED = 2, 64, 20_240_229
 #: Two vectors that just link share a filter with this probability at least; more codes than MOST are replaced by a wider reach. Planted pairs a code.
 RECALL, MOST, PAIRS = 0.99, 24, 250
 #: A cap is at least so many times as wide as the angle of two vectors that just link (only low dimensions come near).
 WIDEST = 1.6
 #: Rows of a filter compared at once; a larger one is split into pairs of blocks. Filters of up to SHORT rows are compared together.
-BLOCK, SHORT = 1024, 64
+BLOCK, SHORT = 1024, 12
+#: Matrix products so near the cosine are not trusted.
+EDGE = 1e-9
+#: Lengths whose codes are chosen once for all tasks; those of rarer ones are chosen where they occur.
+COMMON = 8
 
 
 def _cap(dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -58,8 +65,9 @@ class Code:
 
     def __init__(self, dim: int, n: int, cosine: float = COSINE, reach: float = REACH, seed: int = SEED):
         rng = np.random.default_rng([dim, seed])
-        self.dim, self.blocks = dim, 1 if dim < 8 else 2 if n <= 1 << 22 or dim < 24 else 3
-        size = max(32, min(2048, math.ceil(max(n, 1) ** (1 / self.blocks))))
+        most = max(1, n) * reach / CROWD
+        self.dim, self.blocks = dim, 1 if dim < 8 else 2 if most <= 1 << 22 or dim < 24 else 3
+        size = max(4, math.ceil(most ** (1 / self.blocks)))
         angles, share = _cap(dim)
         narrow = float(np.interp(min(0.5, reach / size**self.blocks), share, angles))
         angle = max(narrow, WIDEST * math.acos(cosine))
@@ -109,22 +117,28 @@ def sharing(code: Code, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.isin(np.arange(len(a)), both // code.filters)
 
 
-def choose(dim: int, n: int, cosine: float = COSINE, codes: int = CODES, reach: float = REACH, seed: int = SEED) -> list[Code]:
-    """So many codes, ``codes`` at least, that a pair at ``cosine`` shares a filter with probability ``RECALL``."""
+@lru_cache(64)
+def choose(dim: int, n: int, cosine: float = COSINE, reach: float = REACH, seed: int = SEED) -> tuple[int, float]:
+    """(codes, reach): so many that a pair at ``cosine`` shares a filter with probability ``RECALL``."""
     while True:
-        out = [Code(dim, n, cosine, reach, seed + k) for k in range(codes)]
+        first = [Code(dim, n, cosine, reach, seed + k) for k in range(4)]
         if dim < 2:
-            return out
+            return 1, reach
         rng = np.random.default_rng([dim, seed, 1])
-        rates = np.array([sharing(c, *planted(dim, cosine, PAIRS, rng)).mean() for c in out])
+        rates = np.array([sharing(c, *planted(dim, cosine, PAIRS, rng)).mean() for c in first])
         # a turned code serves all pairs alike, so codes miss independently; two standard errors are left as a margin
-        rate = float(rates.mean()) - 2 * math.sqrt(float(rates.mean()) * (1 - float(rates.mean())) / (PAIRS * codes))
+        rate = float(rates.mean()) - 2 * math.sqrt(float(rates.mean()) * (1 - float(rates.mean())) / (PAIRS * len(first)))
         need = 1 if rate >= RECALL else math.ceil(math.log(1 - RECALL) / math.log(1 - rate)) if rate > 0 else MOST + 1
-        if need <= max(codes, MOST) or reach * 2 >= out[0].filters:
-            return out + [Code(dim, n, cosine, reach, seed + k) for k in range(codes, min(need, max(codes, MOST)))]
+        if need <= MOST or reach * 2 >= first[0].filters:
+            return min(need, MOST), reach
         reach *= 2
 
 
+@lru_cache(16)
+def codes_of(dim: int, n: int, codes: int, cosine: float, reach: float, seed: int) -> list[Code]:
+    return [Code(dim, n, cosine, reach, seed + k) for k in range(codes)]
+
+
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim) if len(column) else np.zeros((0, dim))
 
@@ -138,13 +152,28 @@ def _filters_before(rows: dict, which: np.ndarray, word: int) -> dict[int, froze
     return {r: frozenset(w for w in ws if w < word) for r, ws in zip(which.tolist(), rows["words"].take(pa.array(which)).to_pylist(), strict=True)}
 
 
+def _links(x: np.ndarray, y: np.ndarray, cosine: float) -> np.ndarray:
+    """Which rows of ``x`` link with which of ``y``: by a matrix product, and by ``_decided`` where that is too near to call."""
+    product = x @ y.T
+    hit = product >= cosine
+    i, j = np.nonzero(np.abs(product - cosine) < EDGE)
+    for k in range(0, len(i), 50_000):
+        a, b = i[k : k + 50_000], j[k : k + 50_000]
+        hit[a, b] = _decided(x[a], y[b], cosine)
+    return hit
+
+
+def _decided(x: np.ndarray, y: np.ndarray, cosine: float) -> np.ndarray:
+    """Whether rows link, pair by pair: the same sum of the same products in the same order wherever the pair is met."""
+    return (x * y).sum(axis=1) >= cosine
+
+
 def _compare(a: dict, b: dict | None, word: int, cosine: float) -> tuple[list, list]:
     """Links within rows ``a`` of a filter (or between ``a`` and ``b``): counts as (class, links), forest as (class, class)."""
     other = a if b is None else b
-    hit = a["unit"] @ other["unit"].T >= cosine
+    hit = _links(a["unit"], other["unit"], cosine)
     if b is None:
         np.fill_diagonal(hit, False)
-    hit &= a["key"][:, None] != other["key"][None, :]
     i, j = np.nonzero(hit)
     if not len(i):
         return [], []
@@ -161,81 +190,88 @@ def _compare(a: dict, b: dict | None, word: int, cosine: float) -> tuple[list, l
                 m[r, [own[w] for w in ws if w in own]] = 1
             return m
 
-        earlier = ((mask(left, len(a["key"])) @ mask(right, len(other["key"])).T) > 0)[i, j]
+        earlier = ((mask(left, len(a["id"])) @ mask(right, len(other["id"])).T) > 0)[i, j]
     new_i, new_j = i[~earlier], j[~earlier]
     counts = []
     if len(new_i):
-        counts.append((a["key"], np.bincount(new_i, weights=other["copies"][new_j], minlength=len(a["key"])).astype(np.int64)))
+        counts.append((a["id"], np.bincount(new_i, weights=other["copies"][new_j], minlength=len(a["id"])).astype(np.int64)))
         if b is not None:
-            counts.append((other["key"], np.bincount(new_j, weights=a["copies"][new_i], minlength=len(other["key"])).astype(np.int64)))
-    nodes, root = roots(a["key"][i], other["key"][j])
+            counts.append((other["id"], np.bincount(new_j, weights=a["copies"][new_i], minlength=len(other["id"])).astype(np.int64)))
+    nodes, root = roots(a["id"][i], other["id"][j])
     return [(k[n > 0], n[n > 0]) for k, n in counts], [(nodes[nodes != root], root[nodes != root])]
 
 
-def _short(t: pa.Table, unit: np.ndarray, end: np.ndarray, cosine: float) -> tuple[list, list]:
+def _short(rows: dict, end: np.ndarray, cosine: float) -> tuple[list, list]:
     """Links within short runs, all runs of a batch at once: each row with the next one, the one after that, and so on."""
-    key, copies = t.column("key").to_numpy(), t.column("copies").to_numpy()
-    at, shift, left, right = np.arange(len(key)), 0, [], []
+    unit, ids, copies, word = rows["unit"], rows["id"], rows["copies"], rows["word"]
+    at, shift, left, right = np.arange(len(ids)), 0, [], []
     while True:
         shift += 1
         at = at[at + shift < end[at]]
         if not len(at):
             break
-        hit = (np.einsum("ij,ij->i", unit[at], unit[at + shift]) >= cosine) & (key[at] != key[at + shift])
+        hit = np.concatenate([_decided(unit[x], unit[x + shift], cosine) for x in np.array_split(at, 1 + len(at) // 20_000)])
         left.append(at[hit])
         right.append(at[hit] + shift)
     i, j = np.concatenate(left or [at]), np.concatenate(right or [at])
     if not len(i):
         return [], []
     used = np.unique(np.concatenate([i, j]))
-    word = t.column("word").to_numpy()
-    lists = t.column("words").combine_chunks().take(pa.array(used)).to_pylist()
+    lists = rows["words"].take(pa.array(used)).to_pylist()
     before = {r: frozenset(w for w in ws if w < word[r]) for r, ws in zip(used.tolist(), lists, strict=True)}
     new = np.array([before[x].isdisjoint(before[y]) for x, y in zip(i.tolist(), j.tolist(), strict=True)])
     counts = []
     if new.any():
         a, b = i[new], j[new]
-        keys, place = np.unique(np.concatenate([key[a], key[b]]), return_inverse=True)
+        keys, place = np.unique(np.concatenate([ids[a], ids[b]]), return_inverse=True)
         counts.append((keys, np.bincount(place, weights=np.concatenate([copies[b], copies[a]])).astype(np.int64)))
-    nodes, root = roots(key[i], key[j])
+    nodes, root = roots(ids[i], ids[j])
     return counts, [(nodes[nodes != root], root[nodes != root])]
 
 
-def _verify(dim: int, cosine: float):
-    def rows(t: pa.Table) -> dict:
-        return {"unit": _unit(_matrix(t.column("vector").combine_chunks(), dim)), "key": t.column("key").to_numpy(), "copies": t.column("copies").to_numpy(), "words": t.column("words").combine_chunks()}
+def _part(rows: dict, start: int, end: int) -> dict:
+    return {k: v.slice(start, end - start) if isinstance(v, pa.Array) else v[start:end] for k, v in rows.items()}
 
+
+def _verify(cosine: float):
     def out(found: tuple[list, list]) -> Iterator[pa.RecordBatch]:
         for kind, parts in enumerate(found):
             for x, y in parts:
                 if len(x):
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), kind, dtype=np.int32)), pa.array(x.astype(np.int64)), pa.array(y.astype(np.int64))], names=["kind", "a", "b"])
 
-    def group(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        word, left, right = (t.column(c)[0].as_py() for c in ("word", "left", "right"))
-        if left == right:
-            parts = [rows(t.slice(i, BLOCK)) for i in range(0, t.num_rows, BLOCK)]
+    def group(own: dict) -> Iterator[pa.RecordBatch]:
+        n, word = len(own["id"]), int(own["word"][0])
+        if own["left"][0] == own["right"][0]:
+            parts = [_part(own, i, i + BLOCK) for i in range(0, n, BLOCK)]
             for i, a in enumerate(parts):
                 yield from out(_compare(a, None, word, cosine))
                 for b in parts[i + 1 :]:
                     yield from out(_compare(a, b, word, cosine))
         else:
-            cut = int(np.searchsorted(t.column("side").to_numpy(), 1))
-            a, b = t.slice(0, cut), t.slice(cut)
-            for i in range(0, a.num_rows, BLOCK):
-                x = rows(a.slice(i, BLOCK))
-                for j in range(0, b.num_rows, BLOCK):
-                    yield from out(_compare(x, rows(b.slice(j, BLOCK)), word, cosine))
+            cut = int(np.searchsorted(own["side"], 1))
+            for i in range(0, cut, BLOCK):
+                for j in range(cut, n, BLOCK):
+                    yield from out(_compare(_part(own, i, min(cut, i + BLOCK)), _part(own, j, j + BLOCK), word, cosine))
 
     def work(t: pa.Table, edges: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """``edges``: where runs begin, and the end of the last."""
+        """Runs of one length; ``edges``: where they begin, and the end of the last."""
+        rows = {c: t.column(c).to_numpy() for c in ("word", "left", "right", "side", "id", "copies")}
+        rows |= {"unit": _unit(_matrix(t.column("vector").combine_chunks(), int(t.column("dim")[0].as_py()))), "words": t.column("words").combine_chunks()}
         sizes = np.diff(edges)
-        own = (sizes <= SHORT) & (t.column("left").to_numpy() == t.column("right").to_numpy())[edges[:-1]]
+        own = (sizes <= SHORT) & (rows["left"] == rows["right"])[edges[:-1]]
         end = np.repeat(np.where(own, edges[1:], edges[:-1]), sizes)
-        yield from out(_short(t, _unit(_matrix(t.column("vector").combine_chunks(), dim)), end, cosine))
+        yield from out(_short(rows, end, cosine))
         for s, n in zip(edges[:-1][~own].tolist(), sizes[~own].tolist(), strict=True):
             if n > 1:
-                yield from group(t.slice(s, n))
+                yield from group(_part(rows, s, s + n))
+
+    def by_length(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        ids = [t.column(c).to_numpy() for c in ("dim", "word", "left", "right")]
+        edges = np.concatenate([[0], np.flatnonzero(np.any([x[1:] != x[:-1] for x in ids], axis=0)) + 1, [t.num_rows]])
+        cuts = np.concatenate([[0], np.flatnonzero(ids[0][1:] != ids[0][:-1]) + 1, [t.num_rows]])
+        for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            yield from work(t.slice(s, e - s), edges[(edges >= s) & (edges <= e)] - s)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -244,76 +280,74 @@ def _verify(dim: int, cosine: float):
             held = t if held is None or not held.num_rows else pa.concat_tables([held, t]).combine_chunks()
             if not held.num_rows:
                 continue
-            ids = [held.column(c).to_numpy() for c in ("word", "left", "right")]
+            ids = [held.column(c).to_numpy() for c in ("dim", "word", "left", "right")]
             new = np.flatnonzero(np.any([x[1:] != x[:-1] for x in ids], axis=0)) + 1
             if len(new):  # the last run may go on in the next batch
-                last = int(new[-1])
-                yield from work(held.slice(0, last), np.concatenate([[0], new]))
-                held = held.slice(last)
+                yield from by_length(held.slice(0, int(new[-1])))
+                held = held.slice(int(new[-1]))
         if held is not None and held.num_rows:
-            yield from work(held, np.array([0, held.num_rows]))
+            yield from by_length(held)
 
     return run
 
 
-def near_vectors(vectors: DataFrame, cosine: float = COSINE, codes: int = CODES, reach: float = REACH, seed: int = SEED, block: int = BLOCK) -> DataFrame:
+def near_vectors(vectors: DataFrame, cosine: float = COSINE, reach: float = REACH, seed: int = SEED, block: int = BLOCK) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of ``vectors`` (vec_id, embedding)."""
-    e = F.col("embedding")
+    spark, e = vectors.sparkSession, F.col("embedding")
     if dict(vectors.dtypes)["embedding"] not in ("array<float>", "array<double>"):
         e = e.cast("array<double>")
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), e.alias("vector"))
     fine = F.coalesce(F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("vector", lambda x: x != 0), F.lit(False))
-    valid = rows.filter(fine)
-    sizes = [r[0] for r in valid.select(F.size("vector").alias("d")).distinct().limit(65).collect()]
-    if len(sizes) > 64:
-        raise ValueError("vectors of more than 64 different lengths")
-    linked = None
-    for dim in sorted(sizes):
-        one = _of_one_length(valid.filter(F.size("vector") == dim), dim, cosine, codes, reach, seed, block)
-        linked = one if linked is None else linked.unionByName(one)
-    alone = rows.filter(~fine).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    return alone if linked is None else linked.unionByName(alone)
-
-
-def _of_one_length(valid: DataFrame, dim: int, cosine: float, codes: int, reach: float, seed: int, block: int) -> DataFrame:
-    spark = valid.sparkSession
-    # classes of equal vectors, named by a hash; the vectors themselves are what is grouped
-    named = valid.select("vec_id", F.xxhash64("vector").alias("key"), "vector")
-    classes = stored(named.groupBy("key", "vector").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies")), "vector-classes")
-    n = classes.count()
-    filters = choose(dim, n, cosine, codes, reach, seed)
-    codes = len(filters)
-    number = "int" if codes * filters[0].filters < 1 << 31 else "long"
+    # classes of equal vectors: found by a hash and the vectors themselves, numbered once they are written
+    named = rows.filter(fine).select("vec_id", F.xxhash64("vector").alias("key"), "vector")
+    classes = named.groupBy("key", "vector").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies"))
+    classes = stored(classes.select(F.monotonically_increasing_id().alias("id"), "key", F.size("vector").alias("dim"), "vector", "first", "copies"), "vector-classes")
+    sizes = stored(classes.groupBy("dim").agg(F.count("*").alias("n")), "vector-lengths")
+    common = [(r.dim, r.n) for r in sizes.orderBy(F.col("n").desc(), "dim").limit(COMMON).collect()]
+    plan = {dim: choose(dim, n, cosine, reach, seed) for dim, n in common if n > block}
+    kind = dict(rows.dtypes)["vector"]
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(0, b.num_rows, 512):
-                part = b.slice(i, 512)
-                unit = _unit(_matrix(part.column("vector"), dim))
-                found = [code.decode(unit) for code in filters]
-                row, word = np.concatenate([r for r, _ in found]), np.concatenate([w * codes + k for k, (_, w) in enumerate(found)])
-                order = np.lexsort((word, row))
-                row, word = row[order], word[order]
-                ends = np.searchsorted(row, np.arange(part.num_rows + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column("key"), part.column("vector"), part.column("copies"), pa.ListArray.from_arrays(pa.array(ends), pa.array(word, type=pa.int32() if number == "int" else pa.int64()))], names=["key", "vector", "copies", "words"])
-
-    coded = stored(classes.select("key", "vector", "copies").mapInArrow(decode, f"key long, vector {dict(valid.dtypes)['vector']}, copies long, words array<{number}>"), "vector-filters")
+            dims = b.column("dim").to_numpy()
+            for dim in np.unique(dims).tolist():
+                own = b.filter(pa.array(dims == dim))
+                n = int(own.column("n")[0].as_py())
+                codes, wide = (0, reach) if n <= block else plan.get(dim) or choose(dim, n, cosine, reach, seed)
+                filters = codes_of(dim, n, codes, cosine, wide, seed)
+                for i in range(0, own.num_rows, 512):
+                    part = own.slice(i, 512)
+                    if filters:
+                        unit = _unit(_matrix(part.column("vector"), dim))
+                        found = [code.decode(unit) for code in filters]
+                        row, word = np.concatenate([r for r, _ in found]), np.concatenate([w * codes + k for k, (_, w) in enumerate(found)])
+                        order = np.lexsort((word, row))
+                        row, word = row[order], word[order]
+                    else:  # few vectors: one filter has them all
+                        row, word = np.arange(part.num_rows), np.zeros(part.num_rows, dtype=np.int64)
+                    ends = np.searchsorted(row, np.arange(part.num_rows + 1)).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([part.column("id"), part.column("dim"), part.column("vector"), part.column("copies"), pa.ListArray.from_arrays(pa.array(ends), pa.array(word))], names=["id", "dim", "vector", "copies", "words"])
+
+    counted = classes.select("id", "dim", "vector", "copies").join(small(sizes), "dim").select("id", "dim", "n", "vector", "copies")
+    coded = stored(counted.mapInArrow(decode, f"id long, dim int, vector {kind}, copies long, words array<long>"), "vector-filters")
     # filters of more than a block of rows are dealt out as pairs of blocks
-    full = coded.select(F.explode("words").alias("w")).groupBy("w").count().filter(F.col("count") > block).select("w", F.ceil(F.col("count") / block).cast("int").alias("pieces"))
+    full = coded.select(F.col("dim").alias("d"), F.explode("words").alias("w")).groupBy("d", "w").count().filter(F.col("count") > block).select("d", "w", F.ceil(F.col("count") / block).cast("int").alias("pieces"))
     full = stored(full, "full-filters")
-    placed = coded.select("key", "vector", "copies", "words", F.explode("words").alias("word")).join(small(full), F.col("word") == F.col("w"), "left")
-    own = F.pmod(F.xxhash64("key", F.lit(7)), F.col("pieces")).cast("int")
+    placed = coded.select("id", "dim", "vector", "copies", "words", F.explode("words").alias("word")).join(small(full), (F.col("dim") == F.col("d")) & (F.col("word") == F.col("w")), "left")
+    own = F.pmod(F.xxhash64("id", F.lit(7)), F.col("pieces")).cast("int")
     pairs = F.when(F.col("pieces").isNull(), F.array(F.struct(F.lit(0).alias("left"), F.lit(0).alias("right"), F.lit(0).alias("side")))).otherwise(
         F.transform(F.sequence(F.lit(0), F.col("pieces") - 1), lambda p: F.struct(F.least(p, F.col("own")).alias("left"), F.greatest(p, F.col("own")).alias("right"), (F.col("own") > p).cast("int").alias("side")))
     )
-    dealt = placed.withColumn("own", own).withColumn("pair", F.explode(pairs)).select("word", "pair.left", "pair.right", "pair.side", "key", "vector", "copies", "words")
-    work = dealt.repartition(partitions(spark), "word", "left", "right").sortWithinPartitions("word", "left", "right", "side")
-    found = stored(work.mapInArrow(_verify(dim, cosine), "kind int, a long, b long"), "vector-links")
-    counts = found.filter("kind = 0").groupBy(F.col("a").alias("_ckey")).agg(F.sum("b").alias("links"))
-    grouped = components(found.filter("kind = 1").select("a", "b")).select(F.col("node").alias("_gkey"), "root")
-    whole = classes.select("key", "first", "copies").join(counts, F.col("key") == F.col("_ckey"), "left").join(grouped, F.col("key") == F.col("_gkey"), "left")
-    whole = stored(whole.select("key", "first", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "key").alias("root")), "vector-classes-linked")
-    least = whole.groupBy("root").agg(F.min("first").alias("component_id")).withColumnRenamed("root", "_root")
-    label = stored(whole.join(least, F.col("root") == F.col("_root")).select(F.col("key").alias("_key"), "n_links", "component_id"), "vector-labels")
-    out = valid.select("vec_id", F.xxhash64("vector").alias("key")).join(label, F.col("key") == F.col("_key"))
-    return out.select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    dealt = placed.withColumn("own", own).withColumn("pair", F.explode(pairs)).select("dim", "word", "pair.left", "pair.right", "pair.side", "id", "vector", "copies", "words")
+    work = dealt.repartition(partitions(spark), "dim", "word", "left", "right").sortWithinPartitions("dim", "word", "left", "right", "side")
+    found = stored(work.mapInArrow(_verify(cosine), "kind int, a long, b long"), "vector-links")
+    counts = found.filter("kind = 0").groupBy(F.col("a").alias("_cid")).agg(F.sum("b").alias("links"))
+    grouped = components(found.filter("kind = 1").select("a", "b")).select(F.col("node").alias("_gid"), "root")
+    whole = classes.select("id", "key", "vector", "first", "copies").join(counts, F.col("id") == F.col("_cid"), "left").join(grouped, F.col("id") == F.col("_gid"), "left")
+    whole = stored(whole.select("key", "vector", "first", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "id").alias("root")), "vector-classes-linked")
+    least = stored(whole.groupBy("root").agg(F.min("first").alias("component_id")).withColumnRenamed("root", "_root"), "vector-components")
+    label = stored(whole.join(least, F.col("root") == F.col("_root")).select(F.col("key").alias("_key"), F.col("vector").alias("_vector"), "n_links", "component_id"), "vector-labels")
+    linked = named.join(label, (F.col("key") == F.col("_key")) & (F.col("vector") == F.col("_vector")))
+    linked = linked.select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    alone = rows.filter(~fine).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    return linked.unionByName(alone)

@@ -354,10 +354,50 @@ def test_borderline_pairs_share_a_filter_at_every_size():
     for n in (20_000, 1 << 22, 5_000_000, 100_000_000):
         a, b = vectors.planted(64, 0.95, 400, np.random.default_rng(n))
         assert np.allclose((a * b).sum(axis=1), 0.95)
-        shared = np.any([vectors.sharing(code, a, b) for code in vectors.choose(64, n)], axis=0)
+        codes, reach = vectors.choose(64, n)
+        shared = np.any([vectors.sharing(code, a, b) for code in vectors.codes_of(64, n, codes, 0.95, reach, vectors.SEED)], axis=0)
         assert shared.mean() > 0.975, n
 
 
+def test_vectors_of_many_lengths_and_repeated_ids(spark):
+    """More lengths than any code is chosen for, equal vec_ids of different vectors, and null ids."""
+    rng = np.random.default_rng(4)
+    rows, want = [], {}
+    for dim in range(1, 91):
+        x = rng.standard_normal(dim)
+        rows += [(10 * dim, x.tolist()), (10 * dim + 1, (x * 2).tolist()), (10 * dim + 2, (-x).tolist())]
+        want |= {10 * dim: (1, 10 * dim), 10 * dim + 1: (1, 10 * dim), 10 * dim + 2: (0, 10 * dim + 2)}
+    one, two = [1.0] + [0.0] * 99, [0.0] * 99 + [1.0]
+    rows += [(5, one), (5, two), (6, [3 * v for v in two]), (None, [-v for v in two])]
+    got = vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        if r.vec_id in want:
+            assert (r.n_links, r.component_id) == want[r.vec_id]
+    assert Counter((r.n_links, r.component_id) for r in got if r.vec_id in (5, 6)) == Counter({(0, 5): 1, (1, 5): 2})
+
+
+def test_vectors_that_share_a_hash_stay_apart(spark, monkeypatch):
+    monkeypatch.setattr(vectors.F, "xxhash64", lambda *cols: vectors.F.lit(1).cast("long"))
+    x = vector_rows(spark, 64, 8)[:40].astype(np.float64)
+    got = {r.vec_id: r for r in vectors.near_vectors(spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "vec_id long, embedding array<double>")).collect()}
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hit = unit @ unit.T >= 0.95
+    np.fill_diagonal(hit, False)
+    assert len(got) == 40 and hit.any()
+    assert [got[i].n_links for i in range(40)] == hit.sum(axis=1).tolist()
+
+
+def test_all_filters_agree_on_pairs_at_the_threshold():
+    a, b = vectors.planted(64, 0.95, 4000, np.random.default_rng(5))
+    one = vectors._decided(a, b, 0.95)
+    assert 0.1 < one.mean() < 0.9  # rounding decides
+    for size in (1, 3, 64, 500):
+        for k in range(0, 1000, size):
+            assert (np.diag(vectors._links(a[k : k + size], b[k : k + size], 0.95)) == one[k : k + size]).all()
+            assert (np.diag(vectors._links(b[k : k + size], a[k : k + size], 0.95)) == one[k : k + size]).all()
+
+
 # --- licences and secrets
 
 

@@ -159,9 +159,9 @@ def text_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-_WORD_BYTES = bytes(c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in (x + 32 if 0x41 <= x <= 0x5A else x for x in range(256)))
+WORD_BYTES = bytes(c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in (x + 32 if 0x41 <= x <= 0x5A else x for x in range(256)))
 
 
 def words(text: bytes) -> list[bytes]:
     """Lower-cased (A-Z) words: runs of letters a-z, digits and whatever isn't ASCII."""
-    return text.translate(_WORD_BYTES).split()
+    return text.translate(WORD_BYTES).split()

@@ -22,9 +22,8 @@ of any length is read whole; an empty table gives an empty result; columns named
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blockcat.llm.calibration import CALIBRATE, HELD_OUT, calibrated, curve, fold
-from blockcat.llm.common import stored, text_bytes, words
+from blockcat.llm.common import WORD_BYTES, stored, text_bytes
 
 THRESHOLD = 0.5
 #: Examples at most, on average over hashes; neighbours; nearness of a cosine c: 1 / (1 - c + SOFT).
@@ -44,18 +43,12 @@ OFTEN, TEXTS = 8, 128
 BLOCK = 64
 #: Length of a beginning; the z^2 at which a term has about half its weight, and the share of it that every term keeps.
 STEM, EVEN, LEAST = 5, 20.0, 0.1
-#: Words whose terms are kept per worker.
-KEEP_WORDS = 500_000
+#: Bytes of texts whose terms are taken at once.
+AT_ONCE = 1 << 19
 
-
-def _candidates(word: bytes) -> list[str]:
-    """The terms of a word: itself and its beginning (marked by a hyphen)."""
-    w = word.decode()
-    return [w, f"{w[:STEM]}-"] if len(w) > STEM else [w]
-
-
-def _hashes(word: bytes) -> list[int]:
-    return [xxhash.xxh3_64_intdigest(c) >> 1 for c in _candidates(word)]
+# Fixed numbers of the terms' hashes.
+_ODD, _STEM_MARK = 0x2545F4914F6CDD1D, 0x5851F42D4C957F2D
+_BYTES = np.random.default_rng(1).integers(1, 1 << 63, 256, dtype=np.uint64)
 
 
 def _spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -63,31 +56,87 @@ def _spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
 
 
+@lru_cache(4)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of an odd number and of its inverse, modulo 2**64."""
+    return tuple(np.concatenate([np.ones(1, dtype=np.uint64), np.cumprod(np.full(n - 1, x % (1 << 64), dtype=np.uint64))]) for x in (_ODD, pow(_ODD, -1, 1 << 64)))
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+    return ((h ^ (h >> np.uint64(29))) >> np.uint64(1)).astype(np.int64)
+
+
+def _words(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(start, hash) of all terms of a text that ends in a space: of words, and of the beginnings of longer ones.
+
+    A hash is a polynomial of the term's bytes, taken for all terms at once from running sums over the text.
+    """
+    data = np.frombuffer(text.translate(WORD_BYTES), dtype=np.uint8)
+    inside = data != 0x20
+    edges = np.flatnonzero(np.diff(inside, prepend=False))
+    start, end = edges[::2], edges[1::2]
+    up, down = _powers(1 << max(20, len(data).bit_length()))
+    sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(_BYTES[data] * up[: len(data)])])
+    h = (sums[end] - sums[start]) * down[start]
+    first = np.flatnonzero((data & 0xC0) != 0x80)  # of each character
+    at = np.searchsorted(first, start)
+    far = np.append(first, np.full(STEM + 1, len(data)))[at + STEM]
+    long = far < end
+    stem = (sums[far[long]] - sums[start[long]]) * down[start[long]]
+    return np.concatenate([start, start[long]]), np.concatenate([_mixed(h), _mixed(stem ^ np.uint64(_STEM_MARK))])
+
+
 class Terms:
     """Occurrences of terms in texts: those of a sorted vocabulary of hashes by place, others by -1 - hash."""
 
     def __init__(self, vocabulary: np.ndarray):
-        self.vocabulary, self.kept = vocabulary, {}
+        self.vocabulary = vocabulary
 
     def of(self, texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        for i in range(0, len(texts), 256):
-            counts = [Counter(words(t)) for t in texts[i : i + 256]]
-            if len(self.kept) > KEEP_WORDS:
-                self.kept = {}
-            if new := list(set().union(*counts) - self.kept.keys()):
-                own = [_hashes(w) for w in new]
-                flat = np.array([h for hs in own for h in hs], dtype=np.int64)
-                at = np.searchsorted(self.vocabulary, flat)
-                known = at < len(self.vocabulary)
-                known[known] = self.vocabulary[at[known]] == flat[known]
-                places, k = np.where(known, at, -1 - flat).tolist(), 0
-                for w, hs in zip(new, own, strict=True):
-                    self.kept[w], k = places[k : k + len(hs)], k + len(hs)
-            for c in counts:
-                own = [self.kept[w] for w in c]
-                flat = np.fromiter(chain.from_iterable(own), np.int64)
-                terms, at = np.unique(flat, return_inverse=True)
-                yield terms, np.bincount(at, np.repeat(np.fromiter(c.values(), np.int64, len(c)), [len(x) for x in own])) if len(c) else np.zeros(0)
+        """(terms, occurrences) of each text."""
+        group, size = [], 0
+        for text in texts:
+            group.append(text)
+            size += len(text)
+            if size > AT_ONCE or len(group) == 256:
+                yield from self._of(group)
+                group, size = [], 0
+        yield from self._of(group)
+
+    def _of(self, texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        if not texts:
+            return
+        docs, hashes = [], []
+        for at, piece in self._pieces(texts):
+            start, h = _words(piece)
+            docs.append(np.searchsorted(at[1], start, side="right") - 1 + at[0])
+            hashes.append(h)
+        distinct, place = np.unique(np.concatenate(hashes), return_inverse=True)
+        at = np.searchsorted(self.vocabulary, distinct)
+        known = at < len(self.vocabulary)
+        known[known] = self.vocabulary[at[known]] == distinct[known]
+        terms = np.where(known, at, -1 - distinct)
+        keys, counts = np.unique(np.concatenate(docs) * max(1, len(distinct)) + place, return_counts=True)
+        terms, cuts = terms[keys % max(1, len(distinct))], np.searchsorted(keys, np.arange(len(texts) + 1) * max(1, len(distinct)))
+        for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            yield terms[a:z], counts[a:z]
+
+    @staticmethod
+    def _pieces(texts: list[bytes]) -> Iterator[tuple[tuple[int, np.ndarray], bytes]]:
+        """((number of the first text, start of each text), joined bytes): several texts, or a part of a very long one, cut before a space."""
+        if len(texts) > 1 and sum(map(len, texts)) > 2 * AT_ONCE:  # the last one is long
+            yield from Terms._pieces(texts[:-1])
+            yield from (((len(texts) - 1, at), piece) for (_, at), piece in Terms._pieces(texts[-1:]))
+        elif len(texts) > 1 or len(texts[0]) <= 2 * AT_ONCE:
+            yield (0, np.cumsum([0, *[len(t) + 1 for t in texts[:-1]]])), b" ".join(texts) + b" "
+        else:
+            start = 0
+            while start < len(texts[0]):
+                end = texts[0].find(b" ", start + AT_ONCE)
+                end = len(texts[0]) if end < 0 else end
+                yield (0, np.zeros(1, dtype=np.int64)), texts[0][start:end] + b" "
+                start = end
 
 
 def _alike(rows: np.ndarray, block: int) -> np.ndarray:
@@ -110,8 +159,8 @@ def _alike(rows: np.ndarray, block: int) -> np.ndarray:
 
 
 class Index:
-    """Unit TF-IDF vectors of labelled examples, in blocks: postings of rare terms, and of each common term a row of weights
-    cut into blocks, with the greatest weight of every block."""
+    """TF-IDF vectors of labelled examples, in blocks: postings of rare terms, and of each common term a row of occurrences
+    cut into blocks, with the greatest weight in every block. Postings hold occurrences; weights and lengths are applied to sums."""
 
     def __init__(self, ids: np.ndarray, labels: np.ndarray, sizes: np.ndarray, terms: np.ndarray, tfs: np.ndarray, idf: np.ndarray, rest: float, unknown: float = 0.0, block: int = BLOCK):
         """``terms``, ``tfs``: those of the examples one after the other, ``sizes`` of each; ``idf``: the weight of each term;
@@ -120,26 +169,28 @@ class Index:
         ids, labels = ids[sizes > 0], labels[sizes > 0]
         sizes, n = sizes[sizes > 0], int((sizes > 0).sum())
         at = np.repeat(np.arange(n, dtype=np.int32), sizes)
-        weight = tfs * idf[terms]
-        weight /= np.sqrt(np.bincount(at, weight * weight, n))[at]
+        length = np.sqrt(np.bincount(at, (tfs * idf[terms]) ** 2, n))
+        tfs = tfs.astype(np.uint16 if tfs.max(initial=0) < 1 << 16 else np.uint32)
         df = np.bincount(terms, minlength=len(idf))
         often = np.flatnonzero(df * OFTEN > n)
         self.row = np.full(len(idf), -1, dtype=np.int32)
         self.row[often] = np.arange(len(often))
         dense = self.row[terms] >= 0
-        rows = np.zeros((n, len(often)))
-        rows[at[dense], self.row[terms[dense]]] = weight[dense]
+        counts = np.zeros((n, len(often)), dtype=tfs.dtype)
+        counts[at[dense], self.row[terms[dense]]] = tfs[dense]
         # alike examples share blocks, so that a block's greatest weights are near its members' own
-        order = _alike(rows, block)
-        place = np.empty(n, dtype=np.int32)
+        order = _alike(counts * idf[often] / length[:, None], block)
+        place = np.empty(n, dtype=np.uint16 if n < 1 << 16 else np.uint32)
         place[order] = np.arange(n)
         self.ids, self.labels = ids[order], labels[order]
         self.blocks = max(1, -(-n // block))
-        rows = np.concatenate([rows[order], np.zeros((self.blocks * block - n, len(often)))]).reshape(self.blocks, block, len(often))
-        self.greatest, self.rows = rows.max(axis=1).T.copy(), np.ascontiguousarray(rows.transpose(0, 2, 1))
-        term, at, weight = terms[~dense], place[at[~dense]], weight[~dense]
+        self.length = np.concatenate([length[order], np.ones(self.blocks * block - n)])
+        rows = np.concatenate([counts[order], np.zeros((self.blocks * block - n, len(often)), dtype=tfs.dtype)]).reshape(self.blocks, block, len(often))
+        self.greatest = np.array([(x * idf[often] / z[:, None]).max(axis=0) for x, z in zip(rows, self.length.reshape(self.blocks, block), strict=True)]).T.copy()
+        self.rows = np.ascontiguousarray(rows.transpose(0, 2, 1))
+        term, at, tfs = terms[~dense], place[at[~dense]], tfs[~dense]
         order = np.lexsort((at, term))
-        self.at, self.weight = at[order], weight[order]
+        self.at, self.tfs = at[order], tfs[order]
         self.cuts = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(idf)))])
 
     @classmethod
@@ -164,11 +215,14 @@ class Index:
             own[row[row >= 0]] = w[row >= 0]
             many = self.cuts[terms + 1] - self.cuts[terms]
             span = _spans(self.cuts[terms], many)
-            part += np.bincount(self.at[span], np.repeat(w, many) * self.weight[span], len(part))  # rare terms: exact for all
+            part[:] = np.bincount(self.at[span], np.repeat(w * self.idf[terms], many) * self.tfs[span], len(part))  # rare terms: exact for all
+        out /= self.length
         cells = out.reshape(len(queries), self.blocks, size)
         most = q @ self.greatest + cells.max(axis=2) + 2e-9  # no example of the block is nearer
         order, closed = np.argsort(-most, axis=1), np.ones((len(queries), self.blocks), dtype=bool)
         best = np.full((len(queries), k), -1.0)
+        q *= self.idf[self.row >= 0]
+        length = self.length.reshape(self.blocks, size)
         done, step = 0, 2
         while done < self.blocks:
             want = order[:, done : done + step]
@@ -178,7 +232,7 @@ class Index:
             block = want[which, place]
             for b in np.unique(block).tolist():
                 own = which[block == b]
-                cells[own, b] += q[own] @ self.rows[b]
+                cells[own, b] += q[own] @ self.rows[b].astype(np.float64) / length[b]
             closed[which, block] = False
             found = np.full((len(queries), want.shape[1], size), -1.0)
             found[which, place] = cells[which, block]

@@ -5,12 +5,13 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from blockcat.functions import scalars as S
+from blockcat.operators.shared import small, stored, sum_before, value_before
+
 BLOCK = 65_536
 LEVEL = 7
 
@@ -30,15 +31,13 @@ def digest(data: Column) -> Column:
 
 
 def offsets(blocks: DataFrame, container: str, length: str, start: int = 0) -> DataFrame:
-    """``off``: where each block's stored bytes begin, containers apart."""
-    ahead = Window.partitionBy(container).orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
-    return blocks.withColumn("off", F.lit(start).cast("long") + F.coalesce(F.sum(length).over(ahead), F.lit(0)))
+    """``off``: where each block's stored bytes begin, containers apart; a container of any size spreads over many tasks."""
+    return sum_before(blocks.drop("off"), container, "idx", length, "off").withColumn("off", F.lit(start).cast("long") + F.col("off"))
 
 
 def not_monotone(blocks: DataFrame, container: str) -> DataFrame:
     """Blocks that begin before the one ahead of them."""
-    before = F.lag("off").over(Window.partitionBy(container).orderBy("idx"))
-    return blocks.withColumn("_before", before).filter("_before > off").drop("_before")
+    return value_before(blocks, container, "idx", "off", "_before").filter("_before > off").drop("_before")
 
 
 def overlaps(intervals: DataFrame, container: str, block: int = BLOCK) -> DataFrame:
@@ -64,43 +63,45 @@ def encode(blocks: DataFrame, block: int = BLOCK, level: int = LEVEL, percent: i
     names = [c for c in blocks.columns if c != "data"]
     kinds = ", ".join(f"`{c}` {dict(blocks.dtypes)[c]}" for c in names)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             stored, packed = [], []
-            raw = b["force_raw"] if "force_raw" in b else [False] * len(b)
-            for data, keep in zip(b["data"], raw, strict=True):
-                full = bytes(data).ljust(block, b"\0")
+            raw = b.column("force_raw").to_pylist() if "force_raw" in names else [False] * b.num_rows
+            for data, keep in zip(b.column("data"), raw, strict=True):
+                full = data.as_py().ljust(block, b"\0")
                 out = full if keep else zlib.compress(full, level)
                 small = not keep and (block - len(out)) * 100 >= block * percent
                 stored.append(out if small else full)
                 packed.append(small)
-            yield b[names].assign(stored=stored, compressed=packed)
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], pa.array(stored, type=pa.binary()), pa.array(packed, type=pa.bool_())], names=[*names, "stored", "compressed"])
+
+    return blocks.mapInArrow(run, f"{kinds}, stored binary, compressed boolean")
 
-    return blocks.mapInPandas(run, f"{kinds}, stored binary, compressed boolean")
+
+def inflate(stored: bytes | None, block: int = BLOCK) -> tuple[bytes | None, str | None]:
+    """(data, error): of exactly a block's length it is raw, else it must inflate to that."""
+    if not stored or len(stored) > block:
+        return None, "bad stored length"
+    if len(stored) == block:
+        return stored, None
+    try:
+        out = zlib.decompress(stored)
+    except zlib.error:
+        return None, "bad stream"
+    return (out, None) if len(out) == block else (None, "bad block length")
 
 
 def decode(blocks: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Adds ``data`` (the whole block) and ``error`` from ``stored``: of exactly a block's length it is raw, else it must inflate to that."""
+    """Adds ``data`` (the whole block) and ``error`` from ``stored``."""
     names = [c for c in blocks.columns if c != "stored"]
     kinds = ", ".join(f"`{c}` {dict(blocks.dtypes)[c]}" for c in names)
 
-    def one(stored: bytes) -> tuple[bytes | None, str | None]:
-        if not stored or len(stored) > block:
-            return None, "bad stored length"
-        if len(stored) == block:
-            return stored, None
-        try:
-            out = zlib.decompress(stored)
-        except zlib.error:
-            return None, "bad stream"
-        return (out, None) if len(out) == block else (None, "bad block length")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [one(bytes(x)) for x in b["stored"]]
-            yield b[names].assign(data=[d for d, _ in got], error=[e for _, e in got])
+            got = [inflate(x.as_py(), block) for x in b.column("stored")]
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], pa.array([d for d, _ in got], type=pa.binary()), pa.array([e for _, e in got], type=pa.string())], names=[*names, "data", "error"])
 
-    return blocks.mapInPandas(run, f"{kinds}, data binary, error string")
+    return blocks.mapInArrow(run, f"{kinds}, data binary, error string")
 
 
 def hash_mode(stored: DataFrame, sidecar: DataFrame, container: str) -> DataFrame:
@@ -111,44 +112,33 @@ def hash_mode(stored: DataFrame, sidecar: DataFrame, container: str) -> DataFram
 
 
 def compare(expected: DataFrame, live: DataFrame, container: str) -> DataFrame:
-    """(container, idx, state): matched by hash, matched by bytes though hashes differ, or bad; missing blocks are bad.
+    """(container, idx, state, first_diff): matched by hash, matched by bytes though hashes differ, or bad; missing blocks are bad.
 
-    Digests are joined first; only blocks whose digests differ have their bytes compared.
+    ``expected`` has the stored digest (sha) and the bytes (data), ``live`` the bytes that are there now. Digests are taken
+    where the bytes lie and 32 bytes a block are joined. Bytes move only for blocks whose digests differ: their keys, few
+    where little is damaged, are joined to either side (broadcast when a count shows that they are). ``first_diff`` is the
+    first byte at which a bad block differs (null where it is missing).
     """
-    both = expected.select(container, "idx", F.col("sha").alias("_want"), F.col("data").alias("_stored")).join(live.select(container, "idx", F.col("data").alias("_live")), [container, "idx"], "left")
-    state = F.when(digest(F.col("_live")) == F.col("_want"), "matched").when(F.col("_live") == F.col("_stored"), "matched-by-bytes").otherwise("bad")
-    return both.select(container, "idx", state.alias("state"))
+    want = expected.select(container, "idx", F.unhex("sha").alias("_want"), F.lit(True).alias("_known"))
+    have = live.select(container, "idx", F.unhex(digest(F.col("data"))).alias("_have"))
+    states = stored(want.join(have, [container, "idx"], "left").select(container, "idx", F.coalesce(F.col("_want") == F.col("_have"), F.lit(False)).alias("same"), F.col("_have").isNotNull().alias("there")), "digests")
+    fine = states.filter("same").select(container, "idx", F.lit("matched").alias("state"), F.lit(None).cast("long").alias("first_diff"))
+    gone = states.filter("not there").select(container, "idx", F.lit("bad").alias("state"), F.lit(None).cast("long").alias("first_diff"))
+    doubt = small(states.filter("not same and there").select(container, "idx"))
+    left = expected.select(container, "idx", F.col("data").alias("_a")).join(doubt, [container, "idx"], "left_semi")
+    right = live.select(container, "idx", F.col("data").alias("_b")).join(doubt, [container, "idx"], "left_semi")
+    both = left.join(right, [container, "idx"]).select(container, "idx", S.first_difference(F.col("_a"), F.col("_b")).alias("first_diff"))
+    told = both.select(container, "idx", F.when(F.col("first_diff") < 0, "matched-by-bytes").otherwise("bad").alias("state"), F.when(F.col("first_diff") >= 0, F.col("first_diff")).alias("first_diff"))
+    return fine.unionByName(gone).unionByName(told)
 
 
 def outcome_counts(states: DataFrame, container: str) -> DataFrame:
     return states.groupBy(container).agg(F.count("*").alias("checked"), F.count_if(F.col("state") != "bad").alias("matched"), F.count_if(F.col("state") != "matched").alias("hash_mismatched"), F.count_if(F.col("state") == "bad").alias("bad"))
 
 
-def first_difference(a: Column, b: Column) -> Column:
-    """The first place at which two short values differ, a shorter one differing where it ends; -1 if equal. For blocks use ``first_differences``."""
-    n = F.greatest(F.octet_length(a), F.octet_length(b))
-    places = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    return F.coalesce(F.try_element_at(F.filter(places, lambda i: F.coalesce(F.substring(F.hex(a), i * 2 - 1, F.lit(2)) != F.substring(F.hex(b), i * 2 - 1, F.lit(2)), F.lit(True))), F.lit(1)) - 1, F.lit(-1)).cast("long")
-
-
 def first_differences(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """``pairs`` with ``first_diff``: the first byte at which two whole blocks differ, a shorter one differing where it ends; -1 if equal (null counts as empty)."""
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema.fields)
-
-    def one(x: bytes, y: bytes) -> int:
-        if x == y:
-            return -1
-        n = min(len(x), len(y))
-        other = np.flatnonzero(np.frombuffer(x, np.uint8, n) != np.frombuffer(y, np.uint8, n))
-        return int(other[0]) if len(other) else n
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            left, right = (batch.column(c).to_pylist() for c in (a, b))
-            found = [one(x or b"", y or b"") for x, y in zip(left, right, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, type=pa.int64())], names=[*batch.schema.names, "first_diff"])
-
-    return pairs.mapInArrow(run, f"{kinds}, first_diff long")
+    return pairs.withColumn("first_diff", S.first_difference(F.col(a), F.col(b)))
 
 
 def verify_set(bad: DataFrame, totals: DataFrame, container: str) -> DataFrame:
@@ -161,14 +151,14 @@ def repaired_offsets(blocks: DataFrame, bad: DataFrame, container: str, block: i
     """Offsets after bad blocks are rewritten raw: ``new_len`` and ``new_off``."""
     mark = bad.select(container, "idx").distinct().withColumn("_bad", F.lit(True))
     rows = blocks.join(mark, [container, "idx"], "left").withColumn("new_len", F.when(F.col("_bad"), F.lit(block)).otherwise(F.col("stored_len")).cast("long")).drop("_bad")
-    return offsets(rows.withColumnRenamed("off", "old_off"), container, "new_len", start).withColumnRenamed("off", "new_off")
+    return sum_before(rows.withColumnRenamed("off", "old_off"), container, "idx", "new_len", "new_off").withColumn("new_off", F.lit(start).cast("long") + F.col("new_off"))
 
 
 def copy_ranges(blocks: DataFrame, bad: DataFrame, container: str) -> DataFrame:
     """Runs of good blocks as single copies: (container, first, blocks, old_off, new_off, size)."""
     good = blocks.join(bad.select(container, "idx").distinct(), [container, "idx"], "left_anti")
-    run = F.col("idx") - F.row_number().over(Window.partitionBy(container).orderBy("idx"))
-    return good.withColumn("_run", run).groupBy(container, "_run").agg(F.min("idx").alias("first"), F.count("*").alias("blocks"), F.min("old_off").alias("old_off"), F.min("new_off").alias("new_off"), F.sum("new_len").alias("size")).drop("_run")
+    ranked = sum_before(good.withColumn("_one", F.lit(1)), container, "idx", "_one", "_rank")
+    return ranked.withColumn("_run", F.col("idx") - F.col("_rank")).groupBy(container, "_run").agg(F.min("idx").alias("first"), F.count("*").alias("blocks"), F.min("old_off").alias("old_off"), F.min("new_off").alias("new_off"), F.sum("new_len").alias("size")).drop("_run")
 
 
 def apply_strategy(blocks: DataFrame, container: str) -> DataFrame:
@@ -182,7 +172,8 @@ def changed_blocks(patches: DataFrame, container: str, block: int = BLOCK) -> Da
 
 
 def patched(blocks: DataFrame, patches: DataFrame, container: str, block: int = BLOCK) -> DataFrame:
-    """Blocks that patches (off, size, bytes, seq) change, with the new data; later patches win byte by byte."""
+    """Blocks that patches (off, size, bytes, seq) change, with the new data; later patches win byte by byte. What lies beyond
+    a block's own bytes is dropped: a patch never lengthens content."""
     part = overlaps(patches, container, block)
     part = part.select(container, "idx", "seq", (F.col("lo") - F.col("idx") * block).alias("at"), F.substring("bytes", (F.col("lo") - F.col("off") + 1).cast("int"), (F.col("hi") - F.col("lo")).cast("int")).alias("piece"))
     edits = part.groupBy(container, "idx").agg(F.array_sort(F.collect_list(F.struct("seq", "at", "piece"))).alias("edits"))
@@ -190,7 +181,8 @@ def patched(blocks: DataFrame, patches: DataFrame, container: str, block: int =
 
     def edit(data: Column, e: Column) -> Column:
         at, n = e["at"].cast("int"), F.octet_length(e["piece"])
-        return F.concat(F.substring(data, F.lit(1), at), e["piece"], F.substring(data, at + n + 1, F.lit(block)))
+        new = F.concat(F.substring(data, F.lit(1), at), e["piece"], F.substring(data, at + n + 1, F.lit(block)))
+        return F.when(at < F.octet_length(data), F.substring(new, F.lit(1), F.octet_length(data))).otherwise(data)
 
     return rows.withColumn("data", F.aggregate("edits", F.col("data"), edit)).drop("edits")
 
@@ -214,5 +206,5 @@ def virtual_blocks(segments: DataFrame, totals: DataFrame, container: str, block
 
 def contiguous(chain: DataFrame, container: str) -> DataFrame:
     """Whether each file's clusters (place, cluster) follow one another."""
-    after = F.lead("cluster").over(Window.partitionBy(container).orderBy("place"))
-    return chain.withColumn("_next", after).groupBy(container).agg(F.coalesce(F.bool_and(F.col("_next").isNull() | (F.col("_next") == F.col("cluster") + 1)), F.lit(True)).alias("contiguous"))
+    linked = value_before(chain, container, "place", "cluster", "_before")
+    return linked.groupBy(container).agg(F.bool_and(F.col("_before").isNull() | (F.col("_before") + 1 == F.col("cluster"))).alias("contiguous"))

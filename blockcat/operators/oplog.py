@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from blockcat.operators.shared import value_before
+
 
 def latest(log: DataFrame, keys: Sequence[str], order: Sequence[str], rest: Sequence[str]) -> DataFrame:
     """The last line of each key: an aggregation, combined before the shuffle."""
@@ -24,9 +26,33 @@ def cache_state(log: DataFrame, key: str, order: Sequence[str], rest: Sequence[s
     return latest(log, [key], order, ["valid", *rest]).filter("valid <> 0").drop("valid")
 
 
-def least_recent_out(entries: DataFrame, measured: str, key: str, keep: int = 256) -> DataFrame:
-    """The ``keep`` entries measured last."""
-    return entries.orderBy(F.col(measured).desc(), key).limit(keep)
+def least_recent_out(entries: DataFrame, measured: str, key: str, keep: int = 256, busy: Column | None = None) -> DataFrame:
+    """The ``keep`` entries measured last; those that are ``busy`` (waiting for or under measurement) are never put out for others."""
+    order = [F.col(measured).desc(), F.col(key)]
+    return entries.orderBy(*([] if busy is None else [busy.desc()]), *order).limit(keep)
+
+
+def next_queued(operations: DataFrame) -> DataFrame:
+    """The operation to start next: of those queued the one with the smallest seq, if none is running."""
+    first = operations.agg(F.min(F.when(F.col("status") == "queued", F.col("seq"))).alias("seq"), F.coalesce(F.bool_or(F.col("status") == "running"), F.lit(False)).alias("busy"))
+    return first.filter("not busy and seq is not null").select("seq")
+
+
+def slot_to_reuse(operations: DataFrame, slots: int = 64) -> DataFrame:
+    """(seq) of the operation whose slot a new one takes: none while slots are free, else the oldest that is neither running nor queued."""
+    done = F.min(F.when(~F.col("status").isin("running", "queued"), F.col("seq")))
+    return operations.agg(F.count("*").alias("n"), done.alias("seq")).filter((F.col("n") >= slots) & F.col("seq").isNotNull()).select("seq")
+
+
+def stale_reads(reads: DataFrame, container: str) -> DataFrame:
+    """Blocks read through a mount (container, idx, sha, verified), with ``trusted``: only after a verified block of the
+    container, and not where a block's digest is that of the one before it, as a stale read repeats what it gave before."""
+    started = reads.filter("verified").groupBy(container).agg(F.min("idx").alias("_from"))
+    numbered = reads.withColumn("_head", F.conv(F.substring("sha", 1, 15), 16, 10).cast("long"))
+    before = value_before(numbered, container, "idx", "_head", "_last")
+    rows = before.join(started, container, "left")
+    trusted = F.coalesce((F.col("idx") >= F.col("_from")) & ~F.coalesce(F.col("_last") == F.col("_head"), F.lit(False)), F.lit(False))
+    return rows.withColumn("trusted", trusted).drop("_head", "_last", "_from")
 
 
 def queue_order(events: DataFrame, keep: int = 128) -> DataFrame:

@@ -1,6 +1,6 @@
 """The order in which files go through a limited amount of space.
 
-By path, a file's credit is what the files before it have gained: a window. The greedy order depends on each choice, so
+By path, a file's credit is what the files before it have gained: a running total. The greedy order depends on each choice, so
 it is a fold over one container's files, with heaps instead of a search per step.
 """
 
@@ -9,10 +9,11 @@ from __future__ import annotations
 import heapq
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockcat.operators.layout import path_order
+from blockcat.operators import layout
+from blockcat.operators.shared import fresh, sum_before
 
 # Budget and reserve where none are given.
 BUDGET, RESERVE = 1 << 30, 128 << 20
@@ -26,11 +27,11 @@ def start_credit(budget: int = 0, reserve: int = 0) -> int:
 
 def by_path(files: DataFrame, container: str, credit: int) -> DataFrame:
     """``credit`` before each file, and ``reverse_required`` where its predicted size exceeds that."""
-    ahead = Window.partitionBy(container).orderBy(*path_order()).rowsBetween(Window.unboundedPreceding, -1)
-    gain = F.greatest(F.lit(0).cast("long"), F.col("size") - F.col("predicted"))
-    rows = files.withColumn("credit", F.lit(credit).cast("long") + F.coalesce(F.sum(gain).over(ahead), F.lit(0)))
-    order = F.row_number().over(Window.partitionBy(container).orderBy(*path_order())).cast("long") - 1
-    return rows.withColumn("schedule_order", order).withColumn("reverse_required", F.col("predicted") > F.col("credit"))
+    gain, order = fresh(files, "_gain", "_order")
+    rows = files.withColumn(gain, F.greatest(F.lit(0).cast("long"), F.col("size") - F.col("predicted")))
+    rows = layout.by_path(rows, container).withColumnRenamed("before", order)
+    rows = sum_before(rows, container, order, gain, "credit").withColumn("credit", F.lit(credit).cast("long") + F.col("credit"))
+    return rows.drop(gain).withColumnRenamed(order, "schedule_order").withColumn("reverse_required", F.col("predicted") > F.col("credit"))
 
 
 def greedy_order(sizes: list[int], predicted: list[int], names: list[str], credit: int) -> list[tuple[int, bool]]:

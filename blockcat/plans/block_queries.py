@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blockcat.functions import scalars as S
 from blockcat.operators import blocks as B
 from blockcat.operators import index, layout, oplog, schedule
+from blockcat.operators.shared import shared_folder, stored, value_before
+from blockcat.plans import pipelines
+from blockcat.sources import sinks
+from blockcat.sources.blockstore import BlockStore
 from blockcat.plans.inputs import BLOCKS_SQL, FILES_SQL, PREDICTED_SQL, blocks, files, load
 
 QUERIES, ORACLE = {}, {}
@@ -124,7 +130,7 @@ def _live(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 _STATE = "(CASE WHEN pos % 17 = 0 OR pos % 13 = 0 THEN 'bad' WHEN pos % 11 = 0 THEN 'matched-by-bytes' ELSE 'matched' END)"
 
 
-@query(f"WITH {BLOCKS_SQL} SELECT container, idx, {_STATE} AS state FROM (SELECT container, idx, container * 7 + idx AS pos FROM blocks)")
+@query(f"WITH {BLOCKS_SQL} SELECT container, idx, {_STATE} AS state, (CASE WHEN pos % 17 > 0 AND pos % 13 = 0 THEN 0 END)::BIGINT AS first_diff FROM (SELECT container, idx, container * 7 + idx AS pos FROM blocks)")
 def verify_two_stage(spark: SparkSession, d: str) -> DataFrame:
     return B.compare(*_live(spark, d), "container")
 
@@ -151,13 +157,15 @@ def hash_mode(spark: SparkSession, d: str) -> DataFrame:
     return B.hash_mode(orders, side, "container")
 
 
-@query("""SELECT doc_id, (CASE WHEN strlen(text) = 0 THEN -1 WHEN doc_id % 2 = 0 THEN -1 ELSE least(doc_id % 20, least(strlen(text), 32)) END)::BIGINT AS first_diff FROM documents""")
+@query("""SELECT doc_id, (CASE WHEN coalesce(strlen(text), 0) = 0 OR doc_id % 3 = 0 THEN -1 ELSE doc_id * 7919 % strlen(text) END)::BIGINT AS first_diff FROM documents""")
 def first_difference(spark: SparkSession, d: str) -> DataFrame:
+    """Whole texts against copies that differ at some byte of the whole, or end there."""
     a = F.col("text").cast("binary")
-    at = (F.col("doc_id") % 20).cast("int")
-    b = F.when(F.col("doc_id") % 2 == 0, a).otherwise(F.concat(F.substring(a, F.lit(1), at), F.unhex(F.lit("00")), F.substring(a, at + 2, F.octet_length("text"))))
-    both = B.first_differences(load(spark, d, "documents").select("doc_id", a.alias("a"), b.alias("b")), "a", "b")
-    return both.select("doc_id", F.when(F.octet_length("a") == 0, F.lit(-1).cast("long")).otherwise(F.col("first_diff")).alias("first_diff"))
+    at = (F.col("doc_id") * 7919 % F.octet_length("text")).cast("int")
+    head = F.substring(a, F.lit(1), at)
+    other = F.when(F.col("doc_id") % 3 == 1, F.concat(head, F.unhex(F.lit("00")), F.substring(a, at + 2, F.octet_length("text")))).otherwise(head)
+    b = F.when((F.col("doc_id") % 3 == 0) | (F.octet_length("text") == 0), a).otherwise(other)
+    return B.first_differences(load(spark, d, "documents").select("doc_id", a.alias("a"), b.alias("b")), "a", "b").select("doc_id", "first_diff")
 
 
 @query(f"WITH {FILES_SQL} SELECT container, lower(rel) AS folded, min(rel) AS rel, count(*) AS n FROM (SELECT container, rel FROM files UNION ALL SELECT container, upper(rel) FROM files WHERE doc_id % 9 = 0) GROUP BY 1, 2")
@@ -179,10 +187,12 @@ def inode_numbers(spark: SparkSession, d: str) -> DataFrame:
     return layout.inode_numbers(f.select("container", S.parent(F.col("rel")).alias("rel")).distinct(), f, "container", 3)
 
 
-@query(f"""WITH {FILES_SQL}, f AS (SELECT container, CASE WHEN doc_id % 12 = 5 THEN 'p' || doc_id || '.prx' ELSE rel END AS rel, size, doc_id FROM files)
-    SELECT *, row_number() OVER (PARTITION BY container ORDER BY regexp_matches(lower(rel), '^[^/]*\\.s?prx$'), lower(rel), rel) - 1 AS place FROM f""")
+@query(f"""WITH {FILES_SQL}, f AS (SELECT container, CASE WHEN doc_id % 12 = 5 THEN 'p' || doc_id || '.prx' WHEN doc_id % 97 = 0 THEN 'AMPR_emu.index' ELSE rel END AS rel, size, doc_id FROM files)
+    SELECT *, row_number() OVER (PARTITION BY container ORDER BY regexp_matches(lower(rel), '^[^/]*\\.s?prx$') OR lower(rel) = 'ampr_emu.index', doc_id) - 1 AS place FROM f""")
 def tail_partition(spark: SparkSession, d: str) -> DataFrame:
-    return layout.tail_order(files(spark, d).withColumn("rel", F.when(F.col("doc_id") % 12 == 5, F.concat(F.lit("p"), F.col("doc_id").cast("string"), F.lit(".prx"))).otherwise(F.col("rel"))), "container")
+    """Files in the order they are given (here of their ids), those of the tail moved behind the others."""
+    rel = F.when(F.col("doc_id") % 12 == 5, F.concat(F.lit("p"), F.col("doc_id").cast("string"), F.lit(".prx"))).when(F.col("doc_id") % 97 == 0, "AMPR_emu.index").otherwise(F.col("rel"))
+    return layout.tail_order(files(spark, d).withColumn("rel", rel), "container", "doc_id")
 
 
 @query("""WITH free AS (SELECT l_suppkey AS volume, o AS cluster FROM (SELECT DISTINCT l_suppkey FROM lineitem) s, unnest(range(200)) AS u(o)
@@ -222,9 +232,9 @@ def size_cache_state(spark: SparkSession, d: str) -> DataFrame:
     return oplog.cache_state(log, "user_id", ["event_id"], ["event_type"])
 
 
-@query("""SELECT event_id, ts FROM events ORDER BY ts DESC, event_id LIMIT 256""")
+@query("""SELECT event_id, ts FROM events ORDER BY (event_id % 50 = 7) DESC, ts DESC, event_id LIMIT 256""")
 def lru_keep(spark: SparkSession, d: str) -> DataFrame:
-    return oplog.least_recent_out(load(spark, d, "events").select("event_id", "ts"), "ts", "event_id")
+    return oplog.least_recent_out(load(spark, d, "events").select("event_id", "ts"), "ts", "event_id", busy=F.col("event_id") % 50 == 7)
 
 
 @query("""SELECT user_id::VARCHAR AS path, max(CASE WHEN event_id % 5 = 0 THEN event_id END) AS first_at, min(event_id) AS arrived FROM events GROUP BY user_id ORDER BY first_at DESC NULLS LAST, arrived, path LIMIT 128""")
@@ -281,19 +291,14 @@ def unpack_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return back.groupBy("container").agg(F.count("*").alias("blocks"), F.sum(F.col("len").cast("long")).alias("bytes"), F.bool_and(same).alias("same"))
 
 
-@query(None)
-def pack_blocks(spark: SparkSession, d: str) -> DataFrame:
-    packed = B.encode(blocks(spark, d), 1024)
-    return B.offsets(packed.select("container", "idx", "compressed", F.octet_length("stored").cast("long").alias("stored_len")), "container", "stored_len", 1024)
-
-
-_PATCH = """patch AS (SELECT doc_id AS container, doc_id % 900 AS off, 'PATCH' || lpad((doc_id % 10)::VARCHAR, 95, 'x') AS bytes FROM documents WHERE doc_id % 3 = 0 AND strlen(text) > 2048)"""
+_PATCH = """patch AS (SELECT doc_id AS container, doc_id * 7919 % strlen(text) AS off, 'PATCH' || lpad((doc_id % 10)::VARCHAR, 95, 'x') AS bytes FROM documents WHERE strlen(text) > 0)"""
 
 
 def _patches(spark: SparkSession, d: str) -> DataFrame:
-    docs = load(spark, d, "documents").filter("doc_id % 3 = 0 and octet_length(text) > 2048")
+    """A patch for every document, within its bytes or beyond its end."""
+    docs = load(spark, d, "documents").filter("octet_length(text) > 0")
     data = F.concat(F.lit("PATCH"), F.lpad((F.col("doc_id") % 10).cast("string"), 95, "x"))
-    return docs.select(F.col("doc_id").alias("container"), (F.col("doc_id") % 900).alias("off"), F.lit(100).cast("long").alias("size"), data.cast("binary").alias("bytes"), F.lit(1).alias("seq"))
+    return docs.select(F.col("doc_id").alias("container"), (F.col("doc_id") * 7919 % F.octet_length("text")).alias("off"), F.lit(100).cast("long").alias("size"), data.cast("binary").alias("bytes"), F.lit(1).alias("seq"))
 
 
 @query(f"WITH {_PATCH} SELECT DISTINCT container, n AS idx FROM patch, unnest(range(off // 1024, (off + 99) // 1024 + 1)) AS u(n)")
@@ -301,7 +306,131 @@ def changed_blocks(spark: SparkSession, d: str) -> DataFrame:
     return B.changed_blocks(_patches(spark, d), "container", 1024)
 
 
-@query(f"""WITH {_PATCH}, whole AS (SELECT container, off, (encode(d.text))[1:off] || encode(bytes) || (encode(d.text))[off + 101:] AS body FROM patch JOIN documents d ON d.doc_id = container)
-    SELECT container, n AS idx, sha256(body[n * 1024 + 1 : (n + 1) * 1024]) AS sha FROM whole, unnest(range(off // 1024, (off + 99) // 1024 + 1)) AS u(n)""")
+_PATCHED = "whole AS (SELECT container, off, ((encode(d.text))[1:off] || encode(bytes) || (encode(d.text))[off + 101:])[1:strlen(d.text)] AS body FROM patch JOIN documents d ON d.doc_id = container)"
+
+
+@query(f"""WITH {_PATCH}, {_PATCHED}
+    SELECT container, n AS idx, sha256(body[n * 1024 + 1 : (n + 1) * 1024]) AS sha FROM whole, unnest(range(off // 1024, least((off + 99) // 1024, (octet_length(body) - 1) // 1024) + 1)) AS u(n)""")
 def patch_blocks(spark: SparkSession, d: str) -> DataFrame:
     return B.patched(blocks(spark, d), _patches(spark, d), "container", 1024).select("container", "idx", B.digest(F.col("data")).alias("sha"))
+
+
+def _packed(spark: SparkSession, d: str) -> DataFrame:
+    """All documents but null ones as containers of packed blocks."""
+    docs = load(spark, d, "documents").filter("octet_length(text) > 0")
+    return pipelines.pack(docs.select(F.col("doc_id").alias("container"), F.col("text").cast("binary").alias("body")), 1024)
+
+
+def _told(unpacked: DataFrame) -> DataFrame:
+    return unpacked.select("container", F.octet_length("body").cast("long").alias("bytes"), F.sha2("body", 256).alias("sha"), "error")
+
+
+_TOLD = "SELECT doc_id AS container, strlen(text)::BIGINT AS bytes, sha256(text) AS sha, NULL::VARCHAR AS error FROM documents WHERE strlen(text) > 0"
+
+
+@query("""SELECT doc_id AS container, ((strlen(text) + 1023) // 1024)::BIGINT AS blocks, (CASE WHEN (strlen(text) + 1023) // 1024 + 1 <= 0 THEN 0 ELSE 1024 + (greatest(0, 8 * ((strlen(text) + 1023) // 1024 + 1)) + 1023) // 1024 * 1024 END)::BIGINT AS first_off,
+    true AS in_order FROM documents WHERE strlen(text) > 0""")
+def pack_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Packed containers: blocks, where the first one is stored, and whether each begins where the one before it ends."""
+    rows = value_before(_packed(spark, d).withColumn("end", F.col("off") + F.col("stored_len")), "container", "idx", "end", "before")
+    return rows.groupBy("container").agg(F.count("*").alias("blocks"), F.min("off").alias("first_off"), F.bool_and(F.col("before").isNull() | (F.col("before") == F.col("off"))).alias("in_order"))
+
+
+@query(_TOLD)
+def unpack_bodies(spark: SparkSession, d: str) -> DataFrame:
+    return _told(pipelines.unpack(_packed(spark, d), 1024))
+
+
+@query(_TOLD)
+def repair_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Blocks damaged in the store, found by their digests and replaced from the source: what is unpacked is the source again."""
+    packed = _packed(spark, d)
+    at = F.col("container") * 7 + F.col("idx")
+    hurt = packed.withColumn("stored", F.when(at % 5 == 0, F.concat(F.lit("?").cast("binary"), F.substring("stored", 2, 2000))).otherwise(F.col("stored"))).withColumn("sha", F.when(at % 5 == 0, F.sha2(F.lit("?"), 256)).otherwise(F.col("sha")))
+    source = blocks(spark, d)
+    states = pipelines.verify(hurt, source, 1024)
+    return _told(pipelines.unpack(pipelines.repair(hurt, states, source, 1024), 1024))
+
+
+@query(f"WITH {_PATCH}, {_PATCHED} SELECT container, octet_length(body)::BIGINT AS bytes, sha256(body) AS sha, NULL::VARCHAR AS error FROM whole")
+def patch_offsets(spark: SparkSession, d: str) -> DataFrame:
+    """Patched containers, checked to be in order and unpacked."""
+    after = pipelines.patch(_packed(spark, d), _patches(spark, d), 1024)
+    torn = B.not_monotone(after, "container").select("container").distinct()
+    return _told(pipelines.unpack(after.join(torn, "container", "left_anti"), 1024))
+
+
+@query("""SELECT doc_id AS container, strlen(text)::BIGINT AS source_size, CASE WHEN need <= doc_id % 5 * 4096 THEN 'verified' ELSE 'no-space' END AS outcome
+    FROM (SELECT *, (strlen(text) + 1023) // 1024 * 1024 + 1024 + (8 * ((strlen(text) + 1023) // 1024 + 1) + 1023) // 1024 * 1024 AS need FROM documents WHERE strlen(text) > 0)""")
+def compress_report(spark: SparkSession, d: str) -> DataFrame:
+    docs = load(spark, d, "documents").filter("octet_length(text) > 0").select(F.col("doc_id").alias("container"), F.col("text").cast("binary").alias("body"))
+    _, report = pipelines.compress(docs, docs.select("container", (F.col("container") % 5 * 4096).alias("free")), 1024)
+    return report.select("container", "source_size", "outcome")
+
+
+@query("""SELECT doc_id AS container, r AS rel, sha256(CASE r WHEN 'a' THEN (encode(text))[1:strlen(text) // 3] WHEN 'b' THEN (encode(text))[strlen(text) // 3 + 1:] ELSE encode('') END) AS sha, NULL::VARCHAR AS error
+    FROM documents, unnest(['a', 'b', 'empty']) AS u(r) WHERE strlen(text) > 0""")
+def extract_files(spark: SparkSession, d: str) -> DataFrame:
+    """Three files in each packed image: its first third, the rest, and an empty one."""
+    n = F.octet_length("text").cast("long")
+    third = F.call_function("div", n, F.lit(3))
+    own = lambda rel, off, size: F.struct(F.lit(rel).alias("rel"), off.alias("image_offset"), size.alias("size"))
+    zero = F.lit(0).cast("long")
+    plan = load(spark, d, "documents").filter("octet_length(text) > 0").select(F.col("doc_id").alias("container"), F.inline(F.array(own("a", zero, third), own("b", third, n - third), own("empty", zero, zero))))
+    return pipelines.extract(_packed(spark, d), plan, 1024).select("container", "rel", F.sha2("body", 256).alias("sha"), "error")
+
+
+@query(f"""WITH {BLOCKS_SQL}, s AS (SELECT container, container * 7 + idx AS pos FROM blocks), c AS (SELECT container, count_if(pos % 17 = 0 OR pos % 13 = 0) AS bad, count_if(pos % 11 = 0) AS stale FROM s GROUP BY container)
+    SELECT container, CASE WHEN bad > 0 THEN 'bad-blocks' ELSE 'ok' END AS status, bad::BIGINT AS bad FROM c""")
+def repair_summaries(spark: SparkSession, d: str) -> DataFrame:
+    counts = pipelines.outcome(B.compare(*_live(spark, d), "container"))
+    rows = sinks.repair_summary(counts).withColumn("s", F.from_json("summary", "struct<status:string,rawMismatches:long>"))
+    return rows.select("container", "s.status", F.col("s.rawMismatches").alias("bad"))
+
+
+@query(f"""WITH {_STORED}, {_REPAIR} SELECT container, count(*) AS blocks, sum(stored_len)::BIGINT AS old, sum(new_len)::BIGINT AS new, list(idx ORDER BY idx) FILTER ((container + idx) % 5 = 0)::VARCHAR AS bad,
+    (min(old_off) FILTER ((container + idx) % 5 = 0))::BIGINT AS first_bad FROM rep GROUP BY container HAVING count_if((container + idx) % 5 = 0) > 0""")
+def patch_requests(spark: SparkSession, d: str) -> DataFrame:
+    rows = B.offsets(_stored(spark, d), "container", "stored_len", 1024)
+    asked = sinks.patch_request(rows, rows.filter((F.col("container") + F.col("idx")) % 5 == 0), 65_536)
+    told = asked.withColumn("r", F.from_json("request", "struct<blockCount:long,oldStoredSize:long,newStoredSize:long,badBlocks:array<struct<block:long,storedOffset:long>>>"))
+    numbers = F.concat(F.lit("["), F.array_join(F.col("r.badBlocks.block").cast("array<string>"), ", "), F.lit("]"))
+    return told.select("container", F.col("r.blockCount").alias("blocks"), F.col("r.oldStoredSize").alias("old"), F.col("r.newStoredSize").alias("new"), numbers.alias("bad"), F.col("r.badBlocks")[0]["storedOffset"].alias("first_bad"))
+
+
+@query("""WITH c AS (SELECT doc_id AS container, (strlen(text) + 1023) // 1024 AS n, strlen(text) AS logical, sha256((encode(text))[1:1024]) AS first FROM documents WHERE strlen(text) > 0)
+    SELECT container, CASE container % 5 WHEN 0 THEN 'missing' WHEN 1 THEN 'invalid' WHEN 2 THEN 'stale' WHEN 3 THEN 'invalid' ELSE 'used' END AS mode, CASE WHEN container % 5 = 4 THEN first END AS first FROM c""")
+def sidecar_modes(spark: SparkSession, d: str) -> DataFrame:
+    """Binary sidecars that are missing, of a wrong magic, of another size, cut off, or fine."""
+    parts = blocks(spark, d).groupBy("container").agg(F.array_sort(F.collect_list(F.struct("idx", F.unhex(B.digest(F.col("data"))).alias("h")))).alias("h"), F.sum(F.octet_length("data")).cast("long").alias("logical"), F.count("*").alias("blocks"))
+    number = S.to_little_endian
+    k = F.col("container") % 5
+    head = F.concat(F.when(k == 1, F.lit("?").cast("binary")).otherwise(F.lit("P").cast("binary")), F.lit("FSCVHS1").cast("binary"), number(F.lit(1), 4), number(F.lit(4096), 4), number(F.lit(1024), 8), number(F.col("logical") + F.when(k == 2, 1).otherwise(0), 8), number(F.col("logical"), 8), number(F.col("blocks"), 8), number(F.lit(0), 4), number(F.lit(1), 4))
+    body = F.unhex(F.array_join(F.transform("h", lambda x: F.hex(x["h"])), ""))
+    whole = F.concat(F.rpad(head, 4096, F.unhex(F.lit("00"))), body)
+    files_ = parts.filter(k > 0).select("container", F.when(k == 3, F.substring(whole, F.lit(1), F.octet_length(whole) - 1)).otherwise(whole).alias("content"))
+    told = sinks.read_sidecars(files_, parts.select("container", "blocks", "logical", F.col("logical").alias("nested")), 1024)
+    return told.select("container", "mode", F.col("digests")[0].alias("first"))
+
+
+@query("""SELECT doc_id::VARCHAR AS container, strlen(text)::BIGINT AS bytes, sha256(text) AS sha, NULL::VARCHAR AS error FROM documents WHERE strlen(text) > 0""")
+def container_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Documents packed, written to container files, read back block by block, and unpacked. The folder must be mounted everywhere."""
+    folder = f"{shared_folder(spark).removeprefix('file://').removeprefix('file:')}/containers-{uuid.uuid4().hex[:8]}"
+    packed = _packed(spark, d).withColumn("container", F.col("container").cast("string"))
+    sizes = load(spark, d, "documents").filter("octet_length(text) > 0").select(F.col("doc_id").cast("string").alias("container"), F.octet_length("text").cast("long").alias("size"))
+    written = stored(sinks.write_containers(packed.join(sizes, "container"), folder, 1024), "written")
+    spark.dataSource.register(BlockStore)
+    back = spark.read.format("blockcat_blocks").option("blocks", "64").load(folder).join(written.select("container").distinct(), "container", "left_semi")
+    lens = back.join(sizes, "container").withColumn("len", F.least(F.lit(1024).cast("long"), F.col("size") - F.col("idx") * 1024))
+    return _told(pipelines.unpack(lens.select("container", "idx", "len", "stored"), 1024))
+
+
+@query(f"""WITH {FILES_SQL}, r AS (SELECT container, rel FROM files UNION ALL SELECT container, upper(rel) FROM files WHERE doc_id % 9 = 0), k AS (SELECT container, lower(rel) AS f, min(rel) AS rel FROM r GROUP BY 1, 2)
+    SELECT container, rel FROM k""")
+def index_records(spark: SparkSession, d: str) -> DataFrame:
+    """The records of path indexes, the index's own name left out."""
+    f = files(spark, d).select("container", "rel", "size", F.lit(0).cast("long").alias("mtime"))
+    more = f.unionByName(files(spark, d).filter("doc_id % 9 = 0").select("container", S.ascii_upper(F.col("rel")).alias("rel"), "size", F.lit(0).cast("long").alias("mtime")))
+    own = f.select("container").distinct().select("container", F.lit("Ampr_Emu.index").alias("rel"), F.lit(1).cast("long").alias("size"), F.lit(0).cast("long").alias("mtime"))
+    return pipelines.build_index(more.unionByName(own)).select("container", "rel")

@@ -1,7 +1,8 @@
 """Block containers: a header, a table of offsets, then the stored blocks.
 
 A block stored at its full size is raw; a shorter one is deflated. ``pack`` makes a container from encoded blocks,
-``BlockStore`` reads containers as a data source (a row per block), checking magic, sizes and the order of offsets.
+``BlockStore`` reads containers as a data source (a row per block), checking magic, sizes and the order of offsets. A container
+is read by as many tasks as it has runs of ``RUN`` blocks; each reads its part of the table and its bytes.
 """
 
 from __future__ import annotations
@@ -9,6 +10,8 @@ from __future__ import annotations
 import glob
 import os
 import struct
+import sys
+from array import array
 from collections.abc import Iterator, Sequence
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -17,6 +20,9 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 MAGIC, ZERO, VERSION, TABLE = 0x43534650, 0, 6, 0x400
 _HEAD = struct.Struct("<IIIIQQQQ")
 
+#: Blocks that one task reads.
+RUN = 4096
+
 SCHEMA = "container string, idx long, off long, stored_len long, is_raw boolean, stored binary"
 
 
@@ -26,57 +32,93 @@ def header_span(blocks: int, block: int) -> int:
     return block + -(-over // block) * block
 
 
+def header(offsets: Sequence[int], block: int, size: int) -> bytes:
+    """What stands before the data: the header and the table of offsets (the first is where the data begins)."""
+    head = _HEAD.pack(MAGIC, ZERO, VERSION, block, block, TABLE, offsets[0], size)
+    table = array("Q", offsets)
+    return (head.ljust(TABLE, b"\0") + (table if sys.byteorder == "little" else table.byteswap() or table).tobytes()).ljust(offsets[0], b"\0")
+
+
 def pack(stored: Sequence[bytes], block: int, size: int) -> bytes:
     """A container of stored blocks in order; ``size`` is that of the content."""
-    start = header_span(len(stored), block)
-    offsets = [start]
+    offsets = [header_span(len(stored), block)]
     for s in stored:
         if not 0 < len(s) <= block:
             raise ValueError("a stored block is empty or too long")
         offsets.append(offsets[-1] + len(s))
-    head = _HEAD.pack(MAGIC, ZERO, VERSION, block, block, TABLE, start, size)
-    table = struct.pack(f"<{len(offsets)}Q", *offsets)
-    return (head.ljust(TABLE, b"\0") + table).ljust(start, b"\0") + b"".join(stored)
+    return header(offsets, block, size) + b"".join(stored)
+
+
+def read_header(data: bytes) -> tuple[int, int, int]:
+    """(block, content size, where the data begins) of a container's first bytes; raises if it isn't one."""
+    if len(data) < _HEAD.size:
+        raise ValueError("too short")
+    magic, _, version, block, wide, table, start, size = _HEAD.unpack_from(data)
+    if magic != MAGIC or version != VERSION or block != wide or not block or table != TABLE:
+        raise ValueError("not a block container")
+    if start != header_span(-(-size // block), block):
+        raise ValueError("bad header")
+    return block, size, start
+
+
+def _table(data: bytes, first: int) -> list[int]:
+    """Offsets from a part of the table; raises if they are out of order."""
+    offsets = list(struct.unpack(f"<{len(data) // 8}Q", data))
+    if any(b < a for a, b in zip(offsets, offsets[1:], strict=False)):
+        raise ValueError(f"offsets are out of order after block {first}")
+    return offsets
 
 
 def read_offsets(data: bytes) -> tuple[int, int, list[int]]:
     """(block, content size, offsets) of a container's beginning; raises if it isn't one."""
     if len(data) < TABLE:
         raise ValueError("too short")
-    magic, _, version, block, wide, table, start, size = _HEAD.unpack_from(data)
-    if magic != MAGIC or version != VERSION or block != wide or not block:
-        raise ValueError("not a block container")
+    block, size, start = read_header(data)
     n = -(-size // block)
-    if start != header_span(n, block) or len(data) < table + 8 * (n + 1):
+    if len(data) < TABLE + 8 * (n + 1):
         raise ValueError("bad header")
-    offsets = list(struct.unpack_from(f"<{n + 1}Q", data, table))
-    if offsets[0] != start or any(b < a for a, b in zip(offsets, offsets[1:], strict=False)):
+    offsets = _table(data[TABLE : TABLE + 8 * (n + 1)], 0)
+    if offsets[0] != start:
         raise ValueError("offsets are out of order")
     return block, size, offsets
 
 
-class Container(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+class Blocks(InputPartition):
+    """A run of a container's blocks; ``at`` is where the container begins in its file."""
+
+    def __init__(self, path: str, first: int, count: int, at: int = 0):
+        self.path, self.first, self.count, self.at = path, first, count, at
 
 
 class BlockStoreReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
-        self.path = options["path"]
+        self.path, self.run = options["path"], int(options.get("blocks", RUN))
 
-    def partitions(self) -> list[Container]:
+    def partitions(self) -> list[Blocks]:
+        """Runs of blocks of every container, from its header alone."""
         found = sorted(glob.glob(os.path.join(self.path, "*"))) if os.path.isdir(self.path) else sorted(glob.glob(self.path))
-        return [Container(p) for p in found if os.path.isfile(p)]
-
-    def read(self, part: Container) -> Iterator[tuple]:
+        out = []
+        for path in found:
+            if os.path.isfile(path):
+                with open(path, "rb") as f:
+                    block, size, _ = read_header(f.read(_HEAD.size))
+                n = -(-size // block)
+                out += [Blocks(path, i, min(self.run, n - i)) for i in range(0, n, self.run)]
+        return out
+
+    def read(self, part: Blocks) -> Iterator[tuple]:
         with open(part.path, "rb") as f:
-            head = f.read(TABLE)
-            if len(head) < _HEAD.size:
-                raise ValueError("too short")
-            start = _HEAD.unpack_from(head)[6]
-            block, _, offsets = read_offsets(head + f.read(max(0, start - len(head))))
-            f.seek(offsets[0])
-            for i, (a, b) in enumerate(zip(offsets, offsets[1:], strict=False)):
+            f.seek(part.at)
+            block, _, start = read_header(f.read(_HEAD.size))
+            f.seek(part.at + TABLE + 8 * part.first)
+            table = f.read(8 * (part.count + 1))
+            if len(table) < 8 * (part.count + 1):
+                raise ValueError("bad header")
+            offsets = _table(table, part.first)
+            if part.first == 0 and offsets[0] != start:
+                raise ValueError("offsets are out of order")
+            f.seek(part.at + offsets[0])
+            for i, (a, b) in enumerate(zip(offsets, offsets[1:], strict=False), part.first):
                 stored = f.read(b - a)
                 if len(stored) != b - a or b - a > block:
                     raise ValueError(f"block {i} is cut off or too long")

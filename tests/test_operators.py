@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from blockcat.functions import scalars as S
 from blockcat.operators import blocks as B
-from blockcat.operators import index, layout, oplog, schedule
+from blockcat.operators import catalog, index, layout, oplog, schedule, shared
 from blockcat.plans import pipelines
 
 
@@ -111,10 +111,45 @@ def test_verify_and_repair(spark):
     hurt = live.withColumn("data", F.when(F.col("idx") == 0, F.lit(b"?")).otherwise(F.col("data")))
     states = pipelines.verify(packed, hurt, 1024)
     assert {(r.container, r.idx) for r in states.filter("state = 'bad'").collect()} == {(r.container, 0) for r in packed.select("container").distinct().collect()}
-    rows = pipelines.repair(packed, states, 1024).collect()
+    rows = pipelines.repair_offsets(packed, states, 1024).collect()
     assert all(r.new_len == 1024 for r in rows if r.idx == 0)
 
 
+def test_repair_gives_containers_that_can_be_written(spark):
+    df, bodies = files(spark)
+    packed = pipelines.pack(df, 1024).cache()
+    live = B.cut(df, "container", "body", 1024)
+    damaged = packed.withColumn("stored", F.when(F.col("idx") % 2 == 0, F.lit(b"junk")).otherwise(F.col("stored"))).withColumn("sha", F.when(F.col("idx") % 2 == 0, F.sha2(F.lit("x"), 256)).otherwise(F.col("sha")))
+    source = live.filter("not (container = 'c5' and idx = 2)")
+    states = pipelines.verify(damaged, live, 1024)
+    mended = pipelines.repair(damaged, states, source, 1024)
+    back = {r.container: r for r in pipelines.unpack(mended, 1024).collect()}
+    assert {k: bytes(r.body) for k, r in back.items() if r.error is None} == {k: v for k, v in bodies.items() if v and k != "c5"}
+    assert back["c5"].error and [(r.container, r.idx) for r in pipelines.unrepaired(states, source).collect()] == [("c5", 2)]
+    ends = {}
+    for r in sorted(mended.collect(), key=lambda r: (r.container, r.idx)):
+        assert r.off == ends.get(r.container, r.off)
+        ends[r.container] = r.off + r.stored_len
+
+
+def test_one_container_in_many_chunks(spark):
+    rng = random.Random(7)
+    rows = [("one", i, rng.randrange(1, 50)) for i in rng.sample(range(2000), 900)] + [(None, i, 1) for i in range(5)]
+    df = spark.createDataFrame(rows, "container string, idx long, n int").repartition(7)
+    got = {(r.container, r.idx): (r.before, r.last) for r in shared.value_before(shared.sum_before(df, "container", "idx", "n", "before", 64), "container", "idx", "n", "last", 64).collect()}
+    for name in ("one", None):
+        total, last = 0, None
+        for _, i, n in sorted((r for r in rows if r[0] == name), key=lambda r: r[1]):
+            assert got[name, i] == (total, last)
+            total, last = total + n, n
+    paths = spark.createDataFrame([("one", f"{rng.choice('aAbB')}/f{i}", i) for i in range(400)], "container string, rel string, size long")
+    starts = layout.block_starts(paths, "container", 100, True).collect()
+    at = 0
+    for r in sorted(starts, key=lambda r: (r.rel.lower(), r.rel)):
+        assert r.block_start == at
+        at += r.blocks
+
+
 def test_patch_changes_only_what_it_meets(spark):
     df, bodies = files(spark)
     packed = pipelines.pack(df, 1024).cache()
@@ -179,3 +214,78 @@ def test_first_differences_of_whole_blocks(spark):
     want |= {200: -1, 201: -1, 202: 0, 203: -1}
     got = B.first_differences(spark.createDataFrame(rows, "n int, a binary, b binary"), "a", "b").collect()
     assert {r.n: r.first_diff for r in got} == want
+
+
+def test_paths_by_their_last_bytes(spark):
+    """What a pattern that ends in a dollar sign would let through."""
+    rows = {"/a/.": False, "/a\n": False, "/.": True, "/..": False, "/a/..": False, "/a": True, "a": False, "/a\\": False, "/" + "n" * 1023: False, "/" + "n" * 1022: True}
+    df = spark.createDataFrame([(k,) for k in rows], "p string")
+    assert {r.p: r.s for r in df.select("p", S.path_safe(F.col("p")).alias("s")).collect()} == rows
+    df = spark.createDataFrame([("PPSA01234",), ("PPSA01234\n",)], "t string")
+    assert [r[0] for r in df.select(S.title_id_valid(F.col("t"))).collect()] == [True, False]
+    assert [r[0] for r in df.select(S.sha256_valid(F.concat(F.sha2("t", 256), F.substring("t", 10, 1)))).collect()] == [True, False]
+
+
+def test_wide_sizes(spark):
+    df = spark.createDataFrame([(10**16, 950), (4 * 10**16, 950), (2**62, 500)], "s long, r int")
+    assert [r[0] for r in df.select(S.predicted_stored(F.col("s"), F.col("r"))).collect()] == [95 * 10**14, 4 * 10**16, 2**62]
+    df = spark.createDataFrame([(2**55 + 1, 1), (2**63 - 1, 2), (5, 0)], "a long, b long")
+    assert [r[0] for r in df.select(S.ceil_div(F.col("a"), F.col("b"))).collect()] == [2**55 + 1, 2**62, 0]
+
+
+def test_checksum_leaves_places_out(spark):
+    raw = bytes(range(1, 200))
+    h = 0
+    for i, b in enumerate(raw):
+        if i not in (4, 100, 101):
+            h = ((h >> 1 | (h & 1) << 31) + b) % 2**32
+    df = spark.createDataFrame([(raw,), (None,)], "c binary")
+    assert [r[0] for r in df.select(S.checksum32(F.col("c"), (100, 4, 101))).collect()] == [h, None]
+
+
+def test_many_roots(spark):
+    """More roots than a driver should list; each title is asked of those that have a file of its name."""
+    roots = spark.range(6000).select(F.concat(F.lit("/r"), F.col("id").cast("string")).alias("root"), (-F.col("id")).alias("pos"))
+    files_ = spark.createDataFrame([("/r10/a.x",), ("/r5999/a.x",), ("/r7/b.x",), ("/none/c.x",)], "path string")
+    titles = spark.createDataFrame([("a",), ("b",), ("c",)], "title string")
+    got = catalog.first_existing(titles, roots, files_, F.concat("title", F.lit(".x")))
+    assert {r.title: r.path for r in got.collect()} == {"a": "/r5999/a.x", "b": "/r7/b.x"}
+
+
+def test_scan_cache(spark):
+    now, scans = [0.0], []
+
+    def scan():
+        scans.append(1)
+        return spark.range(len(scans))
+
+    cache = catalog.ScanCache(scan, 10, lambda: now[0])
+    assert cache.get().count() == cache.get().count() == 1
+    now[0] = 9.9
+    assert cache.get().count() == 1 and cache.get(force=True).count() == 2
+    now[0] = 20
+    assert cache.get().count() == 3
+    cache.invalidate()
+    assert cache.get().count() == 4
+
+
+def test_scratch_keeps_what_it_is_told(spark):
+    from pathlib import Path
+
+    with shared.scratch() as keep:
+        gone = shared.Stored(spark.range(3), "gone")
+        keep.append(shared.Stored(spark.range(4), "kept"))
+    there = lambda x: Path(x.path.removeprefix("file:")).exists()
+    assert not there(gone) and there(keep[0]) and keep[0].df.count() == 4
+
+
+def test_tail_run_beyond_the_cap(spark):
+    df = spark.range(6000).select(F.lit("v").alias("volume"), F.col("id").alias("cluster"), F.lit(False).alias("used"))
+    assert layout.tail_run(df, 4097, 0).count() == 0
+    assert layout.tail_run(df, 4096, 5).first()["count"] == 4096
+
+
+def test_index_refuses_what_it_cannot_hold(spark):
+    df = spark.createDataFrame([("c", "a\tb", 1, 1)], "container string, rel string, size long, mtime long")
+    with pytest.raises(Exception, match="can't be indexed"):
+        pipelines.build_index(df).collect()

@@ -69,3 +69,31 @@ def test_streams_agree_with_batches(spark, tmp_path):
     q = logs.latest(stream, ["op_id"], ["seq"], ["event"]).writeStream.format("memory").queryName("latest").outputMode("complete").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert {(r.op_id, r.seq, r.event) for r in spark.table("latest").collect()} == {("a", 4, "finish"), ("b", 3, "start")}
+
+
+def test_containers_are_read_in_runs_and_bodies_written(spark, tmp_path):
+    bodies = {"one": os.urandom(9000) + b"x" * 9000, "two": b"y" * 100}
+    df = spark.createDataFrame(list(bodies.items()), "container string, body binary")
+    packed = pipelines.pack(df, 1024)
+    sizes = spark.createDataFrame([(k, len(v)) for k, v in bodies.items()], "container string, size long")
+    sinks.write_containers(packed.join(sizes, "container"), str(tmp_path / "c"), 1024).collect()
+    spark.dataSource.register(BlockStore)
+    got = spark.read.format("blockcat_blocks").option("blocks", "5").load(str(tmp_path / "c"))
+    assert got.rdd.getNumPartitions() == 5
+    assert {(r.container, r.idx): bytes(r.stored) for r in got.collect()} == {(r.container, r.idx): bytes(r.stored) for r in packed.collect()}
+    assert {r.container: r.bytes for r in sinks.write_bodies(packed, str(tmp_path / "b"), 1024).collect()} == {k: len(v) for k, v in bodies.items()}
+    assert {p: (tmp_path / "b" / p).read_bytes() for p in bodies} == bodies and len(os.listdir(tmp_path / "b")) == 2
+    bad = packed.withColumn("stored", packed["stored"].substr(1, 3))
+    with pytest.raises(Exception, match="bad stream"):
+        sinks.write_bodies(bad, str(tmp_path / "d"), 1024).collect()
+
+
+def test_sidecar_bytes(spark):
+    import hashlib
+
+    digests = [hashlib.sha256(bytes([i])).digest() for i in range(3)]
+    data = sinks.sidecar_bytes(digests, 1024, 3000, 3000)
+    stored = spark.createDataFrame([("a", 3, 3000, 3000), ("b", 3, 3001, 3000), ("c", 4, 3000, 3000), ("d", 1, 1, 1)], "container string, blocks long, logical long, nested long")
+    got = {r.container: r for r in sinks.read_sidecars(spark.createDataFrame([(k, data) for k in "abc"], "container string, content binary"), stored, 1024).collect()}
+    assert {k: r["mode"] for k, r in got.items()} == {"a": "used", "b": "stale", "c": "invalid", "d": "missing"}
+    assert got["a"].digests == [d.hex() for d in digests]

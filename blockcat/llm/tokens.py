@@ -2,16 +2,18 @@
 
 Where a vocabulary's pre-tokenizer never joins characters across white space, a text's ids are those of its
 white-space-separated chunks, one after the other. Chunks repeat: encoding each distinct one once is several times as
-fast as encoding every text. A new chunk of plain lower-case letters (with a full stop or comma after it) is one
-pre-token that the normaliser leaves alone, so it goes straight to the library's model; other chunks take the whole
-way. Both short cuts are tried on a few strings when a vocabulary is loaded, and left out if its ids differ; tests
-compare whole texts.
+fast as encoding every text. A new chunk of lower-case letters, digits and ASCII signs but apostrophes is left alone by the
+normaliser and cut into runs of letters, single digits and runs of signs; each part goes straight to the library's model.
+Other chunks take the whole way. Both short cuts are tried on a few strings when a vocabulary is loaded, and left out if its
+ids differ; tests compare whole texts.
 """
 
 from __future__ import annotations
 
 import os
 import re
+import sys
+from array import array
 from collections.abc import Iterable
 
 import numpy as np
@@ -21,9 +23,10 @@ KEEP_CHUNKS = 400_000
 #: Longer chunks are encoded each time, not kept.
 LONG_CHUNK = 64
 
-#: Lower-case letters that have no decomposition to undo, then what may follow.
-_PLAIN = re.compile("([a-zß-öø-ÿ]+)([.,]?)")
-_PROBES = ("the", "der,", "été.", "straße", "señor,", "zzxqj", "a", "unquestionably.")
+#: Lower-case letters that have no decomposition to undo, digits, and signs; and the parts that a chunk of them has.
+_PLAIN = re.compile("[a-z0-9ß-öø-ÿ!-&(-/:-@\\[-`{-~]+")
+_PARTS = re.compile("[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+_PROBES = ("the", "der,", "été.", "straße", "señor,", "zzxqj", "a", "unquestionably.", "x***", "12,5%", "a1b", "$$$", "http://a.b/c?d=e_f", "{`~|}", "é&ü")
 
 _encoders: dict[str, Encoder] = {}
 
@@ -35,6 +38,19 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
+class _Known(dict):
+    """Ids by chunk; a chunk that isn't known is learnt when it is asked for."""
+
+    def __init__(self, learn):
+        self.learn = learn
+
+    def __missing__(self, chunk: bytes) -> bytes:
+        ids = self.learn(chunk)
+        if len(chunk) <= LONG_CHUNK:
+            self[chunk] = ids
+        return ids
+
+
 class Encoder:
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -42,32 +58,33 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.letters = self.tokenizer.model, _byte_letters()
-        self.after = {c: self.encode_whole(c) for c in ("", ".", ",")}
-        self.new: dict[bytes, bytes] = {}
+        self.special = [t.content.encode().lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.new = _Known(self._learn)
         self.old: dict[bytes, bytes] = {}
+        self.by_model = False
         self.by_chunk = self.encode_whole(" ".join(_PROBES) + "\n\t" + _PROBES[0].upper()) == b"".join(map(self.encode_whole, [*_PROBES, _PROBES[0]]))
-        self.by_model = self.by_chunk and all(self._plain(p) == self.encode_whole(p) for p in _PROBES)
+        self.by_model = self.by_chunk and array("I").itemsize == 4 and sys.byteorder == "little" and all(self._plain(p) == self.encode_whole(p) for p in _PROBES)
 
     def encode_whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _plain(self, chunk: str) -> bytes | None:
-        if not (m := _PLAIN.fullmatch(chunk)):
-            return None
-        word = m[1] if m[1].isascii() else m[1].encode().decode("latin-1").translate(self.letters)
-        return np.array([t.id for t in self.model.tokenize(word)], dtype="<u4").tobytes() + self.after[m[2]]
-
-    def _learn(self, chunks: set[bytes]) -> None:
-        ask = []
-        for c in chunks:
-            if (ids := self.old.get(c)) is not None or (self.by_model and (ids := self._plain(c.decode())) is not None):
-                self.new[c] = ids
-            else:
-                ask.append(c)
-        for i in range(0, len(ask), 4096):
-            part = ask[i : i + 4096]
-            for c, e in zip(part, self.tokenizer.encode_batch_fast([c.decode() for c in part], add_special_tokens=False), strict=True):
-                self.new[c] = np.array(e.ids, dtype="<u4").tobytes()
+    def _part(self, part: str) -> bytes:
+        word = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
+
+    def _plain(self, chunk: str) -> bytes:
+        parts = _PARTS.findall(chunk)
+        if len(parts) == 1:
+            return self._part(chunk)
+        return b"".join([self.new[p.encode()] if self.by_model else self._part(p) for p in parts])
+
+    def _learn(self, chunk: bytes) -> bytes:
+        if (ids := self.old.get(chunk)) is not None:
+            return ids
+        text = chunk.decode()
+        if self.by_model and _PLAIN.fullmatch(text) and not (b"<" in chunk and any(s in chunk for s in self.special)):
+            return self._plain(text)
+        return self.encode_whole(text)
 
     def encode(self, texts: Iterable[bytes]) -> Iterable[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers. Texts are UTF-8."""
@@ -75,17 +92,10 @@ class Encoder:
             if not self.by_chunk:
                 yield self.encode_whole(text.decode())
                 continue
+            if len(self.new) > KEEP_CHUNKS // 2:
+                self.old, self.new = dict(self.new), _Known(self._learn)
             # the vocabulary is lower case; a special token's letters must stay as they are
-            chunks = (text if b"<|" in text else text.lower()).split()
-            if missing := {c for c in chunks if c not in self.new}:
-                if len(self.new) > KEEP_CHUNKS // 2:
-                    self.old, self.new = self.new, {}
-                    missing = set(chunks)
-                self._learn({c for c in missing if len(c) <= LONG_CHUNK})
-                get = self.new.get
-                yield b"".join([ids if (ids := get(c)) is not None else self.encode_whole(c.decode()) for c in chunks])
-            else:
-                yield b"".join(map(self.new.__getitem__, chunks))
+            yield b"".join(map(self.new.__getitem__, (text if b"<|" in text else text.lower()).split()))
 
 
 def encoder(path: str) -> Encoder:

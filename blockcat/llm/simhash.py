@@ -12,13 +12,15 @@ is verified by counting the differing bits.
 
 Fingerprints are made distinct first, so copies cost one row. Rows that share a key meet in one task as a sorted run.
 Short runs are compared pair by pair; in runs of up to ``DENSE`` rows only a spanning forest is passed on, never all
-pairs. A longer run is not compared at all: its fingerprints go to a second, exact join by all centres within two bits
-(any two that link share one), each centre linking its fingerprints to the smallest. That costs 2,081 rows for each,
-whatever the run's size, so no group grows with its square and none has a cap.
+pairs. A longer run is not compared at all. If it is one of fuzzy keys, as most are once there are very many fingerprints, it is
+dealt anew with a third segment's keys: two that differ in one bit at most in both segments of the key, and do not agree in
+both, have at most three differing bits left, so one more segment has one at most. What is still longer, a dense group, goes to
+a second, exact join by all centres within two bits (any two that link share one), each centre linking its fingerprints to the
+smallest. That costs 2,081 rows for each, whatever the run's size, so no group grows with its square and none has a cap.
 
 Defined cases: null and empty texts have fingerprint zero and link like any other; texts of fewer words than a shingle
-are one shingle; a repeated doc_id gives a row each time; an empty table gives an empty result; null doc_ids never name
-a component unless no other member has an id.
+are one shingle; a text of any length is read whole; a repeated doc_id gives a row each time; an empty table gives an empty
+result; null doc_ids never name a component unless no other member has an id; columns named like the added ones stay as they are.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from blockcat.llm.common import fresh, partitions, stored, text_bytes
+from blockcat.llm.common import first_of_each, fresh, partitions, stored, text_bytes
 from blockcat.llm.components import components, roots
 
 SHINGLE = 4
@@ -129,11 +131,17 @@ def _dense_links(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return fps[pairs[:, 0]], fps[pairs[:, 1]]
 
 
-def _links_in_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b) links of rows sorted by key; (a, null) for fingerprints in runs too long to compare here."""
+def _links_in_runs(batches: Iterator[pa.RecordBatch], refine: bool = False) -> Iterator[pa.RecordBatch]:
+    """(a, b, k) links of rows sorted by key; (a, null, k) for fingerprints in runs too long to compare here: with their key
+    if a third segment may part them (``refine``, fuzzy keys), else with none."""
 
-    def out(a: np.ndarray, b: np.ndarray | None) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.nulls(len(a), pa.int64()) if b is None else pa.array(b.view(np.int64))], names=["a", "b"])
+    def out(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.nulls(len(a), pa.int64())], names=["a", "b", "k"])
+
+    def too_long(k: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+        fuzzy = refine and int(k[0]) >> 33 in (6, 7)
+        fp = fp if fuzzy else np.unique(fp)
+        return pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), pa.nulls(len(fp), pa.int64()), pa.array(k) if fuzzy else pa.nulls(len(fp), pa.int64())], names=["a", "b", "k"])
 
     def work(k: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
         run = k >> 1
@@ -164,7 +172,7 @@ def _links_in_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         if long_run >= 0 and len(k):
             n = int(np.searchsorted(k >> 1, long_run, side="right"))
             if n:
-                yield out(np.unique(fp[:n]), None)
+                yield too_long(k[:n], fp[:n])
             k, fp, long_run = k[n:], fp[n:], -1 if n < len(fp) else long_run
         if not len(k):
             continue
@@ -173,13 +181,13 @@ def _links_in_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         start = int(np.searchsorted(run, run[-1]))  # the last run may go on in the next batch
         ready_k, ready_fp, held_k, held_fp = k[:start], fp[:start], k[start:], fp[start:]
         if len(held_k) > DENSE:
-            yield out(np.unique(held_fp), None)
+            yield too_long(held_k, held_fp)
             held_k, held_fp, long_run = held_k[:0], held_fp[:0], int(run[-1])
         if len(ready_k):
             heads = np.flatnonzero(np.concatenate([[True], ready_k[1:] >> 1 != ready_k[:-1] >> 1]))
             sizes = np.diff(np.append(heads, len(ready_k)))
             for s, n in zip(heads[sizes > DENSE].tolist(), sizes[sizes > DENSE].tolist(), strict=True):
-                yield out(np.unique(ready_fp[s : s + n]), None)
+                yield too_long(ready_k[s : s + n], ready_fp[s : s + n])
             if (sizes > DENSE).any():
                 own = np.repeat(sizes <= DENSE, sizes)
                 ready_k, ready_fp = ready_k[own], ready_fp[own]
@@ -189,6 +197,22 @@ def _links_in_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield from work(held_k, held_fp)
 
 
+def _refined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(k, fp): rows of fuzzy runs under their key and a third segment's, its own first. Only a row that owns both is asked for."""
+    keys, count = golay_keys()
+    for batch in batches:
+        k, fp = batch.column("k").to_numpy(), batch.column("fp").to_numpy().view(np.uint64)
+        for i in range(0, len(k), 16_384):
+            own, some = k[i : i + 16_384], fp[i : i + 16_384]
+            for third in (0, 1):
+                place = np.where(own >> 33 == 6, 2 + third, third).astype(np.uint64)  # the segments that the key lacks
+                seg = (some >> (place * np.uint64(16)) & np.uint64(0xFFFF)).astype(np.int64)
+                for j in range(6):
+                    at = np.flatnonzero(count[seg] > j)
+                    key = ((own[at] >> 1) << 14) | (third << 13) | (keys[seg[at], j] << 1) | np.maximum(own[at] & 1, int(j > 0))
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(some[at].view(np.int64))], names=["k", "fp"])
+
+
 def _centres(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     one = [1 << i for i in range(64)]
     flips = np.array([0, *one, *[a ^ b for a, b in itertools.combinations(one, 2)]], dtype=np.uint64)
@@ -225,9 +249,17 @@ def links(distinct: DataFrame) -> DataFrame:
                 key, at = fuzzy_keys(some)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(some[at].view(np.int64))], names=["k", "fp"])
 
-    rows = distinct.select("fp").mapInArrow(keyed, "k long, fp long")
     n = partitions(distinct.sparkSession)
-    found = stored(rows.repartition(n, F.expr("shiftright(k, 1)")).sortWithinPartitions("k").mapInArrow(_links_in_runs, "a long, b long"), "simhash-links")
+
+    def compared(rows: DataFrame, refine: bool, label: str) -> DataFrame:
+        sorted_rows = rows.repartition(n, F.expr("shiftright(k, 1)")).sortWithinPartitions("k")
+        return stored(sorted_rows.mapInArrow(lambda batches: _links_in_runs(batches, refine), "a long, b long, k long"), label)
+
+    found = compared(distinct.select("fp").mapInArrow(keyed, "k long, fp long"), True, "simhash-links")
+    again = found.filter("b is null and k is not null")
+    if again.limit(1).count():
+        again = again.select("k", F.col("a").alias("fp")).repartition(n).mapInArrow(_refined, "k long, fp long")
+        found = found.filter("b is not null or k is null").unionByName(compared(again, False, "simhash-refined"))
     far = stored(found.filter("b is null").select(F.col("a").alias("fp")).distinct(), "simhash-dense")
     near_links = found.filter("b is not null").select("a", "b")
     if far.limit(1).count():
@@ -261,4 +293,4 @@ def dedup(docs: DataFrame) -> DataFrame:
     kept = stored(_grouped(docs).groupBy("root").agg(first.alias("r")).select(F.col("r.doc_id").alias(key), F.col("r.sha").alias(sha)), "kept")
     found = docs.withColumn(own, _sha(F.col("text"))).join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col(key)) & (F.col(own) == F.col(sha)), "left_semi")
     repeated = docs.groupBy("doc_id").count().filter("count > 1").limit(1).count() > 0
-    return (found.dropDuplicates(["doc_id", own]) if repeated else found).drop(own)
+    return first_of_each(found, ["doc_id", own], docs.columns) if repeated else found.drop(own)

@@ -1,28 +1,14 @@
-"""What the text operators share: intermediate tables in shared storage, and running totals over sorted frames.
-
-Intermediate results are Parquet tables under the folder named by ``spark.checkpoint.dir``, which the driver and all
-executors share: a lost executor costs a re-read, never a wrong answer. A local temporary folder serves only where the
-session names none (tests on one machine).
-"""
+"""What the text operators share: tables, words, and the core's stored frames and running totals (``operators.shared``)."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-from collections.abc import Callable, Iterator, Sequence
-
-import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Most rows that a side table may have to be broadcast (rows here are a few numbers wide: at most a few MB).
-BROADCAST_ROWS = 50_000
+from blockcat.operators.shared import Stored, fresh, partitions, running_totals, scratch, shared_folder, small, stored
 
-_root: dict[str, str] = {}
+__all__ = ["Stored", "WORD_BYTES", "first_of_each", "fresh", "partitions", "running_totals", "scratch", "shared_folder", "small", "stored", "table", "text_bytes", "words", "words_count"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,123 +16,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """This application's folder below spark.checkpoint.dir; one of its own only where that is unset."""
-    app = spark.sparkContext.applicationId
-    if app not in _root:
-        base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="blockcat-")
-        _root[app] = f"{base.rstrip('/')}/blockcat-{uuid.uuid4().hex[:12]}"
-        atexit.register(lambda: _delete_quietly(spark, _root[app]))
-    return _root[app]
-
-
-def _delete_quietly(spark: SparkSession, path: str) -> None:
-    try:
-        delete(spark, path)
-    except Exception:  # the session may be gone at exit; the folder is then left to the cluster's clean-up
-        pass
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
-class Stored:
-    """A frame written once to shared storage: ``df`` reads it back, ``drop()`` deletes it."""
-
-    def __init__(self, df: DataFrame, label: str):
-        self.spark, self.path = df.sparkSession, f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex[:8]}"
-        df.write.parquet(self.path)
-        self.df = self.spark.read.schema(df.schema).parquet(self.path)
-
-    def drop(self) -> None:
-        delete(self.spark, self.path)
-
-
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """The frame, written once and read again: its cost is not paid twice, and its values no longer change."""
-    return Stored(df, label).df
-
-
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """The frame with a broadcast hint if a count shows at most ``limit`` rows; else as it is, for a shuffled join."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
-
-
-def fresh(df: DataFrame, *names: str) -> list[str]:
-    """The names, with underscores added where ``df`` has such columns (in whatever case)."""
-    taken, out = {c.lower() for c in df.columns}, []
-    for name in names:
-        while name.lower() in taken:
-            name += "_"
-        out.append(name)
-    return out
-
-
-def partitions(spark: SparkSession) -> int:
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-
-def changes(column: pa.Array, before: object, any_before: bool) -> np.ndarray:
-    """True where a value differs from the one before it (null equals null); ``before`` precedes the first."""
-    n = len(column)
-    out = np.ones(n, dtype=bool)
-    if n > 1:
-        a, b = column.slice(1), column.slice(0, n - 1)
-        out[1:] = np.where(_np(pc.is_null(a)) | _np(pc.is_null(b)), _np(pc.is_null(a)) != _np(pc.is_null(b)), _np(pc.fill_null(pc.not_equal(a, b), False)))
-    if n and any_before:
-        out[0] = column[0].as_py() != before
-    return out
-
-
-def _np(x: pa.Array) -> np.ndarray:
-    return x.to_numpy(zero_copy_only=False)
-
-
-def _local_totals(group: str | None, value: str | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pid, total, last, seen = TaskContext.get().partitionId(), 0, None, False
-        for b in batches:
-            n = b.num_rows
-            if not n:
-                continue
-            v = np.ones(n, dtype=np.int64) if value is None else b.column(value).to_numpy(zero_copy_only=False).astype(np.int64)
-            before = np.cumsum(v) - v
-            if group is None:
-                out, total = before + total, total + int(v.sum())
-            else:
-                new = changes(b.column(group), last, seen)
-                heads = np.flatnonzero(new)
-                base = np.zeros(n, dtype=np.int64)  # what to take off: the sum before the row's group began
-                base[heads] = before[heads]
-                at = np.maximum.accumulate(np.where(new, np.arange(n), -1))
-                out = before - np.where(at >= 0, base[np.maximum(at, 0)], 0) + np.where(at >= 0, 0, total)
-                total, last, seen = int(out[-1] + v[-1]), b.column(group)[n - 1].as_py(), True
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(n, pid, dtype=np.int32)), pa.array(out)], names=[*b.schema.names, "_part", "_before"])
-
-    return run
-
-
-def running_totals(df: DataFrame, order: Sequence[str], value: str | None = None, group: str | None = None, label: str = "totals") -> DataFrame:
-    """``df`` with ``before``: the sum of ``value`` (rows, if None) over the rows that precede in ``order`` (within ``group``,
-    which must be the first of ``order``).
-
-    Rows are range-partitioned on all of ``order``, so one group spreads over as many tasks as it needs; each task sums
-    what it has, and the tasks' totals (one row per task and group in it) give the offsets. Range partitioning reads
-    its input twice, so ``df`` should be a stored or cheap frame. Nulls sort first and form one group.
-    """
-    spark = df.sparkSession
-    dealt = df.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    local = stored(dealt.mapInArrow(_local_totals(group, value), f"{kinds}, _part int, _before long"), label)
-    keys = ["_part"] + ([group] if group else [])
-    sums = local.groupBy(*keys).agg((F.sum(value) if value else F.count("*")).alias("_sum"))
-    ahead = (Window.partitionBy(group) if group else Window.partitionBy(F.lit(0))).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = stored(sums.withColumn("_offset", F.coalesce(F.sum("_sum").over(ahead), F.lit(0))).select(*[F.col(k).alias(f"_o{k}") for k in keys], "_offset"), f"{label}-offsets")
-    same = [F.col(k).eqNullSafe(F.col(f"_o{k}")) for k in keys]
-    on = same[0] if len(same) == 1 else same[0] & same[1]
-    return local.join(small(offsets), on, "left").withColumn("before", F.col("_before") + F.coalesce("_offset", F.lit(0))).select(*df.columns, "before")
+def first_of_each(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """One row for each value of the keys, with these columns: the row that sorts first by the others, so that reruns agree
+    (any row, if there are columns such as maps that have no order). Rows are combined before the shuffle."""
+    named = [F.col(f"`{c}`") for c in columns]
+    rest = [c for c in df.columns if c not in keys]
+    if any("map<" in kind or kind == "variant" for _, kind in df.dtypes):
+        return df.dropDuplicates(keys).select(*named)
+    (row,) = fresh(df, "_first_row")
+    first = df.groupBy(*keys).agg(F.min(F.struct(*[F.col(f"`{c}`") for c in rest])).alias(row)) if rest else df.distinct()
+    return first.select(*[F.col(f"`{c}`") if c in keys else F.col(f"{row}.`{c}`").alias(c) for c in columns])
 
 
 def words_count(text: Column) -> Column:

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from blockcat.llm.common import Stored, fresh, partitions, small, stored
+from blockcat.llm.common import first_of_each, Stored, fresh, partitions, small, stored
 
 BLOCK_BYTES = 1024
 
@@ -134,4 +134,4 @@ def dedup(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     rows = docs.withColumn(own, F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
     found = rows.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col(key)) & (F.col(own) == F.col(sha)), "left_semi")
     repeated = docs.groupBy("doc_id").count().filter("count > 1").limit(1).count() > 0
-    return (found.dropDuplicates(["doc_id", own]) if repeated else found).drop(own)
+    return first_of_each(found, ["doc_id", own], docs.columns) if repeated else found.drop(own)

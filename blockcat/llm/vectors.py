@@ -305,6 +305,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, reach: float = REAC
     sizes = stored(classes.groupBy("dim").agg(F.count("*").alias("n")), "vector-lengths")
     common = [(r.dim, r.n) for r in sizes.orderBy(F.col("n").desc(), "dim").limit(COMMON).collect()]
     plan = {dim: choose(dim, n, cosine, reach, seed) for dim, n in common if n > block}
+    narrow = max([n for _, n in common], default=0) < 1 << 24  # the filters of all codes then have numbers below 2**31
     kind = dict(rows.dtypes)["vector"]
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -326,10 +327,10 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, reach: float = REAC
                     else:  # few vectors: one filter has them all
                         row, word = np.arange(part.num_rows), np.zeros(part.num_rows, dtype=np.int64)
                     ends = np.searchsorted(row, np.arange(part.num_rows + 1)).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([part.column("id"), part.column("dim"), part.column("vector"), part.column("copies"), pa.ListArray.from_arrays(pa.array(ends), pa.array(word))], names=["id", "dim", "vector", "copies", "words"])
+                    yield pa.RecordBatch.from_arrays([part.column("id"), part.column("dim"), part.column("vector"), part.column("copies"), pa.ListArray.from_arrays(pa.array(ends), pa.array(word, type=pa.int32() if narrow else pa.int64()))], names=["id", "dim", "vector", "copies", "words"])
 
     counted = classes.select("id", "dim", "vector", "copies").join(small(sizes), "dim").select("id", "dim", "n", "vector", "copies")
-    coded = stored(counted.mapInArrow(decode, f"id long, dim int, vector {kind}, copies long, words array<long>"), "vector-filters")
+    coded = stored(counted.mapInArrow(decode, f"id long, dim int, vector {kind}, copies long, words array<{'int' if narrow else 'long'}>"), "vector-filters")
     # filters of more than a block of rows are dealt out as pairs of blocks
     full = coded.select(F.col("dim").alias("d"), F.explode("words").alias("w")).groupBy("d", "w").count().filter(F.col("count") > block).select("d", "w", F.ceil(F.col("count") / block).cast("int").alias("pieces"))
     full = stored(full, "full-filters")

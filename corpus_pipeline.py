@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir), where docs is what the stage before it left, read from Parquet, and returns a
 frame; all but the last return the columns of ``documents``.
+
+Defined cases: null and empty texts are scored by the classifier like any other; those it keeps are equal to each other, so one
+stays; mixing leaves out texts without words. Texts are read whole, however long. Rows of one doc_id are told apart by
+their texts; of rows alike in both, the one that sorts first by its other columns stays. Null doc_ids and sources are values
+like others. Columns beyond those of ``documents`` are carried along, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -12,7 +17,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from blockcat.llm import exact_dedup, mixing, packing, quality, simhash
-from blockcat.llm.common import stored, table
+from blockcat.llm.common import Stored, scratch, table
 from blockcat.llm.queries import TOKENIZER
 
 
@@ -55,7 +60,12 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the whole table ``documents``."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"after-{name}")
+        with scratch() as keep:  # once a stage's result is written, what it was made from goes
+            after = Stored(stage(spark, docs, sf_dir), f"after-{name}")
+            keep.append(after)
+        if before is not None:
+            before.drop()
+        docs, before = after.df, after
     return STAGES[-1][1](spark, docs, sf_dir)

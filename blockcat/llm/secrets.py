@@ -11,8 +11,9 @@ The linking is an interval join, each candidate's interval widened by the reach
 sorted intervals of each part. All parts of a credential lie in one document, so it runs where the text is: nothing is
 shuffled, and a lookup takes the logarithm of the document's candidates, however many there are.
 
-Defined cases: null and empty texts have no findings; offsets are code points, ends exclusive; a repeated row is
-reported as often; an empty table gives an empty result.
+Defined cases: null and empty texts have no findings; a text of any length is read whole; offsets are code points, ends
+exclusive; equal spans of one kind are listed as often; a repeated row is reported as often; an empty table gives an empty
+result; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -65,7 +66,8 @@ def _mixed(word: str) -> bool:
 
 
 def weak_spans(text: str, base: list[Span]) -> list[Span]:
-    """Candidates that count only beside a complement, those within a base finding left out."""
+    """Candidates that count only beside a complement. One that only overlaps a base finding is a part like any other; one
+    that lies wholly within a base finding is left out, as that finding is itself a part."""
     out: list[Span] = []
     low = text.lower()
     if any(w in low for w in _ID_WORDS):
@@ -76,8 +78,8 @@ def weak_spans(text: str, base: list[Span]) -> list[Span]:
     if "://" in text:
         out += [(m.start(), m.end(), "url") for m in _URL.finditer(text)]
     base = sorted(base)
-    starts, reach = [s for s, _, _ in base], list(accumulate((e for _, e, _ in base), max))
-    return [x for x in out if (i := bisect.bisect_left(starts, x[1])) == 0 or reach[i - 1] <= x[0]]
+    starts, ends = [s for s, _, _ in base], list(accumulate((e for _, e, _ in base), max))
+    return [x for x in out if (i := bisect.bisect_right(starts, x[0])) == 0 or ends[i - 1] < x[1]]
 
 
 class _Part:

@@ -3,14 +3,15 @@
 A text is described by statistics of its whole: lengths, shares of kinds of characters, repetition of words, of runs of
 three words and of lines. Standardised, they go through random Fourier features, whose inner products approximate a
 Gaussian kernel. Ridge regression on these needs only sums over labelled rows (a matrix as large as the features
-squared); each task adds up its rows', and the sums are added in two steps, so the driver gets a fixed number of
+squared); each task adds up its rows', and the sums are added in a tree, so a task and the driver get a bounded number of
 matrices whatever the input's size. The raw score is then calibrated by isotonic regression on labelled rows that the
 regression didn't see.
 
 All labelled rows outside the held-out fold are used: folds 1 to 3 for the regression, 4 for the calibration. Neither
 labels nor lang, source or doc_id enter a score.
 
-Defined cases: null and empty texts have statistics like any other (all zero) and get a score; without labels every
+Defined cases: null and empty texts have statistics like any other (all zero) and get a score; a text of any length is read whole;
+without labels every
 score is 0.5; several labels of a doc_id count by their mean; rows of the same doc_id are scored each; an empty table
 gives an empty result; columns named like the added ones are not looked at.
 """
@@ -18,7 +19,7 @@ gives an empty result; columns named like the added ones are not looked at.
 from __future__ import annotations
 
 import operator
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +33,8 @@ from blockcat.llm.common import fresh, stored, text_bytes
 THRESHOLD = 0.3
 #: Random features, width of the kernel in units of the square root of the statistics' number, ridge per labelled row.
 FEATURES, WIDTH, RIDGE, SEED = 192, 0.7, 1e-3, 11
-#: Matrices that are added up at the end.
-GROUPS = 32
+#: Matrices that one task, or the driver, adds up.
+FAN = 32
 
 _KINDS = (range(0x41, 0x5B), range(0x61, 0x7B), range(0x30, 0x3A), b" ", b"\n", b".", b",", b"!?", b"|<>{}[]=;/\\", b"*$%&#@~^_+", range(0x80, 0x100))
 _TABLE = np.zeros((256, len(_KINDS)))
@@ -84,8 +85,8 @@ class Model:
         return np.clip(self.features(x) @ self.weights, -0.5, 1.5) / 2 + 0.25  # 0 to 1
 
 
-def _total(rows: DataFrame, shape: tuple[int, ...], of) -> np.ndarray:
-    """The sum over all rows of what ``of`` makes of a batch: by task, then by group of tasks, then of the groups."""
+def total(rows: DataFrame, shape: tuple[int, ...], of: Callable[[pa.RecordBatch], np.ndarray], fan: int = FAN) -> np.ndarray:
+    """The sum over all rows of what ``of`` makes of a batch: by task, then by up to ``fan`` tasks together, level after level."""
 
     def by_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, some = np.zeros(shape), False
@@ -93,19 +94,23 @@ def _total(rows: DataFrame, shape: tuple[int, ...], of) -> np.ndarray:
             if b.num_rows:
                 out, some = out + of(b), True
         if some:
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % GROUPS]), pa.array([out.tobytes()], type=pa.binary())], names=["g", "part"])
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([out.tobytes()], type=pa.binary())], names=["g", "part"])
 
     def by_group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = None
+        sums: dict[int, np.ndarray] = {}
         for b in batches:
-            for x in b.column("part"):
+            for g, x in zip(b.column("g").to_pylist(), b.column("part"), strict=True):
                 own = np.frombuffer(x.as_py(), dtype=np.float64)
-                out = own.copy() if out is None else out + own
-        if out is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], type=pa.binary())], names=["part"])
+                sums[g] = sums[g] + own if g in sums else own
+        for g, x in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([g]), pa.array([x.tobytes()], type=pa.binary())], names=["g", "part"])
 
-    parts = rows.mapInArrow(by_task, "g long, part binary").repartition(GROUPS, "g").mapInArrow(by_group, "part binary").collect()
-    return sum((np.frombuffer(r[0], dtype=np.float64) for r in parts), np.zeros(int(np.prod(shape)))).reshape(shape)
+    tasks = rows.rdd.getNumPartitions()
+    parts = rows.mapInArrow(by_task, "g long, part binary")
+    while tasks > fan:
+        tasks = -(-tasks // fan)
+        parts = parts.withColumn("g", F.expr(f"g div {fan}")).repartition(tasks, "g").mapInArrow(by_group, "g long, part binary")
+    return sum((np.frombuffer(r[0], dtype=np.float64) for r in parts.select("part").collect()), np.zeros(int(np.prod(shape)))).reshape(shape)  # at most `fan` rows
 
 
 def fit(labelled: DataFrame) -> Model | None:
@@ -116,7 +121,7 @@ def fit(labelled: DataFrame) -> Model | None:
         x = _rows(b)
         return np.concatenate([[len(x)], x.sum(axis=0), (x * x).sum(axis=0)])
 
-    m = _total(labelled, (2 * k + 1,), moments)
+    m = total(labelled, (2 * k + 1,), moments)
     if not m[0]:
         return None
     mean = m[1 : k + 1] / m[0]
@@ -126,7 +131,7 @@ def fit(labelled: DataFrame) -> Model | None:
         z = model.features(_rows(b))
         return z.T @ np.column_stack([z, b.column("label").to_numpy(zero_copy_only=False)])
 
-    s = _total(labelled, (FEATURES + 1, FEATURES + 2), normal)
+    s = total(labelled, (FEATURES + 1, FEATURES + 2), normal)
     ridge = RIDGE * m[0] * np.eye(FEATURES + 1) / FEATURES
     ridge[0, 0] = 1e-9
     model.weights = np.linalg.solve(s[:, :-1] + ridge, s[:, -1])

@@ -1,6 +1,6 @@
 """Token ids in binary files of patched frame-of-reference blocks.
 
-A file holds one segment, all integers little-endian:
+A file holds up to ``SEGMENTS`` segments, each followed by a line feed. A segment, all integers little-endian:
 
     magic "BCTOK1\\0\\0" | u64 partition | u64 number in it | u64 documents | u64 ids | u64 blocks | u64 exceptions
     documents x (i64 doc_id, u64 its ids; bit 63 of the latter set for a null doc_id)
@@ -14,11 +14,13 @@ packed as zero. The block index gives random access: to read ids from place p on
 
 Documents are range-partitioned by doc_id (boundaries from a quantile sketch of that column alone), so only ids cross
 the shuffle, two bytes each where the vocabulary allows. Each task sorts its documents and cuts segments. Spark's text
-writer puts one segment into one file (plus a last line feed), in any store that Spark can write, and commits a task's
-files only once; ``binaryFile`` reads them. File names ascend with doc_id, as do (partition, number) in the headers.
+writer writes them: it passes bytes through as they are (a cast from binary checks nothing) and ends each with a line feed; it
+works in any store that Spark can write, and commits a task's files only once. No codec is applied, whatever the session says.
+``binaryFile`` reads them, a file of some 32 MB at a time. File names ascend with doc_id, as do (partition, number) in the headers.
 
-Defined cases: null and empty texts are the end id alone; a repeated doc_id is written as often (in order of its ids'
-crc); null doc_ids come first; an empty table gives files without documents or none.
+Defined cases: null and empty texts are the end id alone; a long text is encoded whole and never split over segments; a repeated
+doc_id is written as often (in order of its ids' crc); null doc_ids come first; an empty table gives files without documents
+or none; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -40,6 +42,8 @@ MAGIC = b"BCTOK1\0\0"
 BLOCK = 128
 #: Ids in a segment before the next one begins (a longer document is a segment of its own).
 SEGMENT_IDS = 2_000_000
+#: Segments in a file.
+SEGMENTS = 8
 PERCENTILE = 90
 _HEAD = struct.Struct("<8s6Q")
 _DOC = np.dtype([("doc_id", "<i8"), ("n", "<u8")])
@@ -111,12 +115,12 @@ def encode_segment(part: int, number: int, doc_ids: list[int | None], counts: li
     return b"".join([_HEAD.pack(MAGIC, part, number, len(docs), len(ids), len(index), len(places)), docs.tobytes(), index.tobytes(), places.tobytes(), values.tobytes(), payload])
 
 
-def decode_segment(data: bytes) -> tuple[int, int, list[int | None], np.ndarray, np.ndarray]:
-    """(partition, number, doc_ids, ids in each, all ids)."""
-    magic, part, number, n_docs, n_ids, n_blocks, n_ex = _HEAD.unpack_from(data)
+def decode_segment(data: bytes, at: int = 0) -> tuple[int, int, list[int | None], np.ndarray, np.ndarray, int]:
+    """(partition, number, doc_ids, ids in each, all ids, where the segment ends) of the segment that begins at ``at``."""
+    magic, part, number, n_docs, n_ids, n_blocks, n_ex = _HEAD.unpack_from(data, at)
     if magic != MAGIC:
         raise ValueError("not a token segment")
-    at = _HEAD.size
+    at += _HEAD.size
 
     def take(kind: np.dtype, n: int) -> np.ndarray:
         nonlocal at
@@ -128,7 +132,18 @@ def decode_segment(data: bytes) -> tuple[int, int, list[int | None], np.ndarray,
     null = (docs["n"] & _NULL) != 0
     size = int(index["start"][-1]) + int(index["width"][-1]) * BLOCK // 8 if n_blocks else 0
     ids = decode_blocks(index, places, values, data[at : at + size])[:n_ids]
-    return part, number, [None if z else d for d, z in zip(docs["doc_id"].tolist(), null.tolist(), strict=True)], (docs["n"] & ~_NULL).astype(np.int64), ids
+    return part, number, [None if z else d for d, z in zip(docs["doc_id"].tolist(), null.tolist(), strict=True)], (docs["n"] & ~_NULL).astype(np.int64), ids, at + size
+
+
+def segments_of(data: bytes) -> Iterator[tuple[int, int, list[int | None], np.ndarray, np.ndarray]]:
+    """The segments of a file."""
+    at = 0
+    while at < len(data):
+        *segment, end = decode_segment(data, at)
+        if bytes(data[end : end + 1]) != b"\n":
+            raise ValueError("a segment is cut off or too long")
+        yield tuple(segment)
+        at = end + 1
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, vocabulary: int = 49_408, segment_ids: int = SEGMENT_IDS) -> None:
@@ -174,7 +189,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tokens, "part int, doc_id long, crc long, ids binary")
     placed = rows.repartitionById(parts, F.col("part")).sortWithinPartitions("doc_id", "crc").select("doc_id", "ids")
-    placed.mapInArrow(segments, "segment binary").select(F.col("segment").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).mode("overwrite").text(path)
+    placed.mapInArrow(segments, "segment binary").select(F.col("segment").cast("string").alias("value")).write.option("maxRecordsPerFile", SEGMENTS).option("compression", "none").option("lineSep", "\n").mode("overwrite").text(path)
 
 
 def read_token_files(spark: SparkSession, path: str, ids: bool = False) -> DataFrame:
@@ -183,17 +198,20 @@ def read_token_files(spark: SparkSession, path: str, ids: bool = False) -> DataF
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for data in b.column("content"):
-                part, number, names, counts, flat = decode_segment(data.as_buffer())
-                raw = flat.astype("<u4").tobytes()
-                ends = np.cumsum(counts)
-                spans = list(zip((ends - counts).tolist(), ends.tolist(), strict=True))
-                n = len(names)
-                cols = [pa.array(np.full(n, part)), pa.array(np.full(n, number)), pa.array(names, type=pa.int64()), pa.array(ends - counts), pa.array(counts), pa.array([zlib.crc32(raw[4 * a : 4 * z]) for a, z in spans], type=pa.int64())]
-                fields = ["part", "number", "doc_id", "place", "n_tokens", "ids_crc32"]
-                if ids:
-                    cols.append(pa.array([flat[a:z].astype(np.int32) for a, z in spans], type=pa.list_(pa.int32())))
-                    fields.append("ids")
-                yield pa.RecordBatch.from_arrays(cols, names=fields)
+                for segment in segments_of(memoryview(data.as_buffer())):
+                    yield rows_of(*segment)
+
+    def rows_of(part: int, number: int, names: list[int | None], counts: np.ndarray, flat: np.ndarray) -> pa.RecordBatch:
+        raw = flat.astype("<u4").tobytes()
+        ends = np.cumsum(counts)
+        spans = list(zip((ends - counts).tolist(), ends.tolist(), strict=True))
+        n = len(names)
+        cols = [pa.array(np.full(n, part)), pa.array(np.full(n, number)), pa.array(names, type=pa.int64()), pa.array(ends - counts), pa.array(counts), pa.array([zlib.crc32(raw[4 * a : 4 * z]) for a, z in spans], type=pa.int64())]
+        fields = ["part", "number", "doc_id", "place", "n_tokens", "ids_crc32"]
+        if ids:
+            cols.append(pa.array([flat[a:z].astype(np.int32) for a, z in spans], type=pa.list_(pa.int32())))
+            fields.append("ids")
+        return pa.RecordBatch.from_arrays(cols, names=fields)
 
     files = spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").load(path)
     kinds = "part long, number long, doc_id long, place long, n_tokens long, ids_crc32 long" + ", ids array<int>" * ids

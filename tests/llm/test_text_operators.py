@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from tokenizers import Tokenizer
 
-from blockcat.llm import components, exact_dedup, licenses, mixing, packing, quality, secrets, simhash, token_files, tokens, toxicity, vectors
+from blockcat.llm import calibration, components, exact_dedup, licenses, mixing, packing, quality, secrets, simhash, token_files, tokens, toxicity, vectors
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, key int, size string, _id int, _plan int"
@@ -212,6 +212,11 @@ def test_blocks_round_trip():
         assert np.array_equal(token_files.decode_blocks(*token_files.encode_blocks(ids))[: len(ids)], ids)
     with pytest.raises(ValueError):
         token_files.decode_segment(b"x" * 80)
+    one, two = (token_files.encode_segment(0, k, [k, None], [3, 0], np.array([5, 10, 10 + k], dtype=np.uint32)) for k in (0, 1))
+    whole = one + b"\n" + two + b"\n"
+    assert [(s[1], s[2], s[4].tolist()) for s in token_files.segments_of(whole)] == [(0, [0, None], [5, 10, 10]), (1, [1, None], [5, 10, 11])]
+    with pytest.raises(ValueError):
+        list(token_files.segments_of(one + two))
 
 
 def test_token_files(spark, tmp_path):
@@ -221,6 +226,7 @@ def test_token_files(spark, tmp_path):
     got = token_files.read_token_files(spark, str(tmp_path / "t"), ids=True).collect()
     want = Counter((i, tuple([*t.encode(x or "", add_special_tokens=False).ids, 1])) for i, x, _ in rows)
     assert Counter((r.doc_id, tuple(r.ids)) for r in got) == want
+    assert max(len(list(token_files.segments_of(f.read_bytes()))) for f in (tmp_path / "t").glob("part-*")) > 1  # several to a file
     start = 0
     for r in sorted(got, key=lambda r: r.start):
         assert r.start == start and r.n_tokens == len(r.ids) and r.ids_crc32 == zlib.crc32(np.array(r.ids, dtype="<u4").tobytes())
@@ -286,19 +292,27 @@ def test_runs_too_long_to_compare_are_still_linked(spark, monkeypatch):
     fps = np.unique(np.concatenate([np.uint64(2**40 + 5) ^ np.array([1 << int(a) | 1 << int(b) for a, b in rng.integers(0, 64, (60, 2))], dtype=np.uint64), rng.integers(0, 2**64, 20, dtype=np.uint64)]))
     df = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
     # in one process, so that the smaller limits hold there too
-    key, at = simhash.fuzzy_keys(fps)
-    order = np.argsort(key)
     import pyarrow as pa
 
-    def batches():
+    def batches(key, fp):
+        order = np.argsort(key)
         for i in range(0, len(order), 37):
             some = order[i : i + 37]
-            yield pa.RecordBatch.from_arrays([pa.array(key[some]), pa.array(fps[at[some]].view(np.int64))], names=["k", "fp"])
+            yield pa.RecordBatch.from_arrays([pa.array(key[some]), pa.array(fp[some].view(np.int64))], names=["k", "fp"])
+
+    def compared(key, fp, refine):
+        again = []
+        for b in simhash._links_in_runs(batches(key, fp), refine):
+            for x, y, k in zip(*[b.column(c).to_pylist() for c in "abk"], strict=True):
+                (pairs.add((x, y)) if y is not None else far.add(x) if k is None else again.append((k, x)))
+        return again
 
     pairs, far = set(), set()
-    for b in simhash._links_in_runs(batches()):
-        for x, y in zip(b.column("a").to_pylist(), b.column("b").to_pylist(), strict=True):
-            (far.add(x) if y is None else pairs.add((x, y)))
+    key, at = simhash.fuzzy_keys(fps)
+    again = compared(key, fps[at], True)
+    assert again
+    refined = [(k, x) for b in simhash._refined(iter([pa.RecordBatch.from_arrays([pa.array([k for k, _ in again]), pa.array([x for _, x in again])], names=["k", "fp"])])) for k, x in zip(b.column("k").to_pylist(), b.column("fp").to_pylist(), strict=True)]
+    assert not compared(np.array([k for k, _ in refined]), np.array([x for _, x in refined]).view(np.uint64), False)
     centres = defaultdict(list)
     for b in simhash._centres(iter([pa.RecordBatch.from_arrays([pa.array(sorted(far), type=pa.int64())], names=["fp"])])):
         for c, f in zip(b.column("centre").to_pylist(), b.column("fp").to_pylist(), strict=True):
@@ -311,6 +325,32 @@ def test_runs_too_long_to_compare_are_still_linked(spark, monkeypatch):
     assert simhash.links(df).count() > 0
 
 
+def test_a_third_segment_keeps_every_link_of_fuzzy_keys():
+    """Pairs that only fuzzy keys find still share a key when all their runs are dealt anew."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(7)
+    a = rng.integers(0, 2**64, 1500, dtype=np.uint64)
+    b = a.copy()
+    for i in range(len(b)):
+        places = [0, 1, 2, 3] if i % 2 else rng.permutation([0, 0, 1, 2])
+        for seg in places:
+            b[i] ^= np.uint64(1 << int(16 * seg + rng.integers(0, 16)))
+    owns, asks = defaultdict(set), defaultdict(set)
+    for out, fps in ((owns, a), (asks, b)):
+        key, at = simhash.fuzzy_keys(fps)
+        fuzzy = key >> 33 >= 6
+        for batch in simhash._refined(iter([pa.RecordBatch.from_arrays([pa.array(key[fuzzy]), pa.array(fps[at[fuzzy]].view(np.int64))], names=["k", "fp"])])):
+            for k, x in zip(batch.column("k").to_pylist(), batch.column("fp").to_pylist(), strict=True):
+                if out is asks or not k & 1:
+                    out[x].add(k >> 1)
+    signed_a, signed_b = a.view(np.int64).tolist(), b.view(np.int64).tolist()
+    seg = lambda x, i: x >> np.uint64(16 * i) & np.uint64(0xFFFF)
+    exact = np.sum([seg(a, i) == seg(b, i) for i in range(4)], axis=0)
+    checked = [i for i in range(len(a)) if exact[i] < 2 and 0 < int(a[i] ^ b[i]).bit_count() <= 4]
+    assert len(checked) > 1000 and all(owns[signed_a[i]] & asks[signed_b[i]] for i in checked)
+
+
 def test_components(spark):
     rng = random.Random(6)
     pairs = [(i, i + 1) for i in range(0, 300)] + [(rng.randrange(400, 700), rng.randrange(400, 700)) for _ in range(150)] + [(1000, i) for i in range(1001, 1200)]
@@ -425,6 +465,46 @@ def test_license_templates_survive_small_edits(spark):
     assert got[2].labels == got[3].labels == ""
 
 
+def test_license_templates_against_every_place():
+    """Notices planted whole, edited, cut and twice in other words: the index finds what a comparison at every place finds."""
+    rng = random.Random(11)
+    templates = licenses.templates_of(licenses.DEFAULT)
+    vocabulary = sorted({w for t in templates for w in t.words})
+    df = {w: rng.randrange(1, 900) for w in vocabulary}
+    idf = {w: math.log(1001 / (n + 1)) + 1 for w, n in df.items()}
+    index, found = licenses.Index(idf, templates), 0
+    for n in range(150):
+        text = [f"w{rng.randrange(500)}".encode() if rng.random() < 0.8 else rng.choice(vocabulary) for _ in range(rng.randrange(0, 60))]
+        for t in rng.sample(templates, rng.randrange(0, 3)):
+            own = list(t.words)
+            for _ in range(rng.choice([0, 0, 2, len(own) // 6])):
+                own[rng.randrange(len(own))] = b"changed"
+            if n % 5 == 0:
+                own = own[: len(own) * 3 // 4]
+            at = rng.randrange(len(text) + 1)
+            text[at:at] = own
+        want = set()
+        for t in templates:
+            weight = sum(idf[w] for w in t.words)
+            for place in range(-len(t.words), len(text)):
+                if all(place + i >= 0 and tuple(text[place + i : place + i + len(p)]) == p for i, p in t.mandatory):
+                    share = sum(idf[w] for i, w in enumerate(t.words) if 0 <= place + i < len(text) and text[place + i] == w) / weight
+                    if share >= 0.6 and (not t.base or place >= 0):
+                        want.add((t.label, t.words, place))
+        assert {(t.label, t.words, place) for t, place, _ in index.find(text)} == want
+        found += len(want)
+    assert found > 100
+
+
+def test_license_tags_and_own_templates(spark):
+    mit = next(text for label, text, _ in licenses.TEXTS if label == "mit")
+    rows = [(1, "// SPDX-License-Identifier: BSD-3-Clause", "a"), (2, f"Copyright (c) 2020 X. {mit.capitalize()}.", "a"), (3, "Ask the river council first, please.", "a")]
+    got = {r.doc_id: r for r in licenses.scan(table(spark, rows)).collect()}
+    assert got[1].labels == "bsd-3-clause" and "mit" in got[2].labels.split(",") and got[3].labels == ""
+    own = {r.doc_id: r.labels for r in licenses.scan(table(spark, rows), [("council", "ask the river council first", ("river council",))]).collect()}
+    assert own == {1: "", 2: "", 3: "council"}
+
+
 def test_secret_base_spans(spark):
     key = "AKIA" + "B" * 16
     rows = odd_rows(8, 100) + [
@@ -461,6 +541,37 @@ def test_weak_secrets_need_their_complement():
     assert kinds(f"{user} password=hunter22") == {"id"}
 
 
+def test_linking_against_all_pairs():
+    """Texts of parts, noise and blank lines: each weak finding with each other one and each base one, by distance and scope."""
+    rng = random.Random(12)
+    parts = ["Zq3+xT9/Lm2Vb7Kd0pRs", "user = bob12", "login: x_y_z", "https://db.example.com/x?token=abcdef123", "ssh://h/q", "AKIA" + "B" * 16, "AKIAB1234", "password=hunter22", "f0" * 14, "\n\n", "\n \t\n", "\n"]
+    kinds = {"id": ("access", "id"), "key": ("assign", "hex", "key"), "url": ("url",)}
+    reported = 0
+    for _ in range(400):
+        text = " ".join(rng.choice(parts) if rng.random() < 0.4 else "x" * rng.randrange(1, 60) for _ in range(rng.randrange(1, 25)))
+        base = secrets.base_spans(text)
+        weak = secrets.weak_spans(text, base)
+        cuts = [(m.start(), m.end()) for m in re.finditer(r"\n[ \t\r]*\n", text)]
+        want = []
+        for s, e, k in weak:
+            lo = max([s - 300, 0, *[z for _, z in cuts if z <= s]])
+            hi = min([e + 300, len(text), *[a for a, _ in cuts if a >= e]])
+            has = {part: any(x[2] in own and x[0] < hi and x[1] > lo for x in base + weak) for part, own in kinds.items()}
+            if {"id": has["key"], "key": has["id"] or has["url"], "url": has["id"] and has["key"]}[k]:
+                want.append((s, e, k))
+        assert sorted(secrets.linked(text, base, weak)) == sorted(want)
+        assert all(not any(b[0] <= s and e <= b[1] for b in base) for s, e, _ in weak)
+        reported += len(want)
+    assert reported > 300
+
+
+def test_an_endpoint_that_overlaps_a_finding_is_still_a_part():
+    text = "https://host/x?token=abcdef123 Zq3+xT9/Lm2Vb7Kd0pRs"
+    base = secrets.base_spans(text)
+    assert [k for _, _, k in base] == ["assign"]
+    assert "key" in {k for _, _, k in secrets.linked(text, base, secrets.weak_spans(text, base))}
+
+
 # --- quality and toxicity
 
 
@@ -505,6 +616,82 @@ def test_toxicity(spark):
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got)
 
 
+def test_isotonic_is_the_best_non_decreasing_fit():
+    rng = np.random.default_rng(9)
+    for _ in range(60):
+        total = rng.integers(0, 6, 40)
+        right = rng.binomial(total, np.clip(np.linspace(0, 1, 40) + rng.normal(0, 0.3, 40), 0, 1))
+        if not total.any():
+            continue
+        want = plain_isotonic(list(zip(right.tolist(), total.tolist(), strict=True)))
+        got = np.maximum.accumulate(calibration.isotonic(right.astype(float), total.astype(float)))
+        first = int(np.flatnonzero(total)[0])
+        assert np.allclose(got[first:], want[first:])
+
+
+def plain_quality(rows, known):
+    """{doc_id: (raw, score)}: statistics by loops and regular expressions, one design matrix, ridge by least squares, isotonic by its formula."""
+    fold = {i: zlib.crc32(str(i).encode()) % 5 for i, _ in rows}
+
+    def statistics(t):
+        raw = t.encode()
+        n = max(1, len(raw))
+        sets = [set(range(65, 91)), set(range(97, 123)), set(range(48, 58)), {32}, {10}, {46}, {44}, set(b"!?"), set(b"|<>{}[]=;/\\"), set(b"*$%&#@~^_+"), set(range(128, 256))]
+        counts = Counter(raw)
+        shares = [sum(counts[b] for b in x) / n for x in sets]
+        words, lines = re.findall(rb"[^\x20\x09-\x0D]+", raw), [x for x in raw.split(b"\n") if x]
+        k = len(words)
+        of_words = [math.log1p(k), sum(map(len, words)) / k, len(set(words)) / k, len(set(words)) / k**0.8, sum(a == b for a, b in zip(words, words[1:])) / k, len({tuple(words[i : i + 3]) for i in range(k - 2)}) / max(1, k - 2)] if k else [0.0] * 6
+        of_lines = [math.log1p(len(lines)), len(set(lines)) / len(lines), math.log1p(len(raw) / len(lines)), max(map(len, lines)) / len(raw)] if lines else [0.0] * 4
+        return [math.log1p(len(raw)), *shares, shares[0] / max(shares[0] + shares[1], 1e-9), *of_words, *of_lines]
+
+    x = {i: statistics(t or "") for i, t in rows}
+    fit = [i for i in x if i in known and fold[i] in (1, 2, 3)]
+    a = np.array([x[i] for i in fit])
+    mean, spread = a.mean(axis=0), a.std(axis=0)
+    spread = np.where(spread > 1e-9, spread, 1)
+    rng = np.random.default_rng(11)
+    turn, phase = rng.standard_normal((a.shape[1], 192)) / (0.7 * math.sqrt(a.shape[1])), rng.uniform(0, 2 * np.pi, 192)
+    design = lambda rows: np.column_stack([np.ones(len(rows)), math.sqrt(2 / 192) * np.cos(np.clip((np.array(rows) - mean) / spread, -6, 6) @ turn + phase)])
+    z, y = design([x[i] for i in fit]), np.array([known[i] for i in fit], dtype=float)
+    penalty = np.sqrt(np.concatenate([[1e-9], np.full(192, 1e-3 * len(fit) / 192)]))
+    w = np.linalg.lstsq(np.vstack([z, np.diag(penalty)]), np.concatenate([y, np.zeros(193)]), rcond=None)[0]
+    raw = {i: min(1.5, max(-0.5, v)) / 2 + 0.25 for i, v in zip(x, design(list(x.values())) @ w, strict=True)}
+    return {i: (v, s) for (i, v), s in zip(raw.items(), plain_scores(raw, known, fold), strict=True)}
+
+
+def plain_scores(raw, known, fold):
+    bins = [[0, 0] for _ in range(500)]
+    for i, v in raw.items():
+        if i in known and fold[i] == 4:
+            b = bins[min(499, int(v * 500))]
+            b[0], b[1] = b[0] + known[i], b[1] + 1
+    rates = plain_isotonic(bins)
+    for v in raw.values():
+        at = min(499, max(0, v * 500 - 0.5))
+        low = int(at)
+        yield rates[low] + (rates[min(499, low + 1)] - rates[low]) * (at - low)
+
+
+def test_quality_equals_a_plain_version(spark):
+    docs, marks, truth = labelled(spark, 300, 4)
+    docs = [(i, t, s) for i, t, s in docs if i is not None and i != 3 and len(t or "") < 5000] + [(8000, "Line one.\nLine one.\n\n été 12 | {x}", "s")]
+    known = {i: m[1] for i, m in truth.items() if i not in (3, 5, 7)}
+    want = plain_quality([(i, t) for i, t, _ in docs], known)
+    got = {r.doc_id: r for r in quality.score(table(spark, docs), spark.createDataFrame(list(known.items()), "doc_id long, quality int")).collect()}
+    assert got.keys() == want.keys()
+    assert all(got[i].raw == pytest.approx(want[i][0], abs=1e-4) for i in want)
+    raw = {i: r.raw for i, r in got.items()}
+    for i, score in zip(raw, plain_scores(raw, known, {i: zlib.crc32(str(i).encode()) % 5 for i in raw}), strict=True):
+        assert got[i].score == pytest.approx(score, abs=1e-9)
+
+
+def test_sums_by_tree_are_the_sums(spark):
+    rows = spark.range(1000).repartition(41)
+    got = quality.total(rows, (2,), lambda b: np.array([b.num_rows, sum(b.column("id").to_pylist())], dtype=float), fan=4)
+    assert got.tolist() == [1000, 499_500]
+
+
 def test_scores_without_labels_or_rows(spark):
     docs, marks, _ = labelled(spark, 40)
     for f in (quality.score, toxicity.score):

@@ -415,11 +415,13 @@ def sidecar_modes(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT doc_id::VARCHAR AS container, strlen(text)::BIGINT AS bytes, sha256(text) AS sha, NULL::VARCHAR AS error FROM documents WHERE strlen(text) > 0""")
 def container_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    """Documents packed, written to container files, read back block by block, and unpacked. The folder must be mounted everywhere."""
+    """Documents packed, written to container files (every other one in an outer image), read back block by block, and unpacked. The folder must be mounted everywhere."""
     folder = f"{shared_folder(spark).removeprefix('file://').removeprefix('file:')}/containers-{uuid.uuid4().hex[:8]}"
     packed = _packed(spark, d).withColumn("container", F.col("container").cast("string"))
     sizes = load(spark, d, "documents").filter("octet_length(text) > 0").select(F.col("doc_id").cast("string").alias("container"), F.octet_length("text").cast("long").alias("size"))
-    written = stored(sinks.write_containers(packed.join(sizes, "container"), folder, 1024), "written")
+    whole = stored(packed.join(sizes, "container").select("container", "idx", "stored", "size"), "to-write")
+    odd = F.col("container").cast("long") % 2 == 1
+    written = stored(sinks.write_containers(whole.filter(~odd), folder, 1024).unionByName(sinks.write_containers(whole.filter(odd), folder, 1024, wrapped=True)), "written")
     spark.dataSource.register(BlockStore)
     back = spark.read.format("blockcat_blocks").option("blocks", "64").load(folder).join(written.select("container").distinct(), "container", "left_semi")
     lens = back.join(sizes, "container").withColumn("len", F.least(F.lit(1024).cast("long"), F.col("size") - F.col("idx") * 1024))

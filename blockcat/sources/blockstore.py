@@ -2,7 +2,7 @@
 
 A block stored at its full size is raw; a shorter one is deflated. ``pack`` makes a container from encoded blocks,
 ``BlockStore`` reads containers as a data source (a row per block), checking magic, sizes and the order of offsets. A container
-is read by as many tasks as it has runs of ``RUN`` blocks; each reads its part of the table and its bytes.
+(within an outer image or not) is read by as many tasks as it has runs of ``RUN`` blocks; each reads its part of the table and its bytes.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ from collections.abc import Iterator, Sequence
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from blockcat.sources.wrapper import inner, is_wrapped
+
 # The header's magic number, its version words, and where the table of offsets begins.
 MAGIC, ZERO, VERSION, TABLE = 0x43534650, 0, 6, 0x400
 _HEAD = struct.Struct("<IIIIQQQQ")
@@ -101,9 +103,15 @@ class BlockStoreReader(DataSourceReader):
         for path in found:
             if os.path.isfile(path):
                 with open(path, "rb") as f:
-                    block, size, _ = read_header(f.read(_HEAD.size))
+
+                    def at(offset: int, length: int) -> bytes:
+                        f.seek(offset)
+                        return f.read(length)
+
+                    begin = inner(at)[0] if is_wrapped(at(0, 16)) else 0
+                    block, size, _ = read_header(at(begin, _HEAD.size))
                 n = -(-size // block)
-                out += [Blocks(path, i, min(self.run, n - i)) for i in range(0, n, self.run)]
+                out += [Blocks(path, i, min(self.run, n - i), begin) for i in range(0, n, self.run)]
         return out
 
     def read(self, part: Blocks) -> Iterator[tuple]:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from blockcat.functions import scalars as S
 from blockcat.operators.blocks import inflate
 from blockcat.operators.shared import partitions
+from blockcat.sources import wrapper
 from blockcat.sources.blockstore import header, header_span
 
 
@@ -64,14 +65,16 @@ def _streamed(folder: str, begin, write, finish):
     return run
 
 
-def write_containers(blocks: DataFrame, folder: str, block: int) -> DataFrame:
+def write_containers(blocks: DataFrame, folder: str, block: int, wrapped: bool = False) -> DataFrame:
     """One container file for each ``container`` of (container, idx, stored, size), streamed block by block behind a header
-    that is filled in at the end. The folder must be visible to all executors. Returns (container, bytes)."""
+    that is filled in at the end; ``wrapped`` puts it into an outer image. The folder must be visible to all executors.
+    Returns (container, bytes)."""
+    before = wrapper.BEFORE * block if wrapped else 0
 
     def begin(file, b: pa.RecordBatch, k: int) -> list[int]:
         size = b.column("size")[k].as_py()
         start = header_span(-(-size // block), block)
-        file.seek(start)
+        file.seek(before + start)
         return [size, start]
 
     def write(file, state: list[int], b: pa.RecordBatch, k: int) -> None:
@@ -82,9 +85,14 @@ def write_containers(blocks: DataFrame, folder: str, block: int) -> DataFrame:
         state.append(state[-1] + len(data))
 
     def finish(file, state: list[int]) -> int:
+        size, *offsets = state
+        if wrapped:
+            file.write(bytes(-offsets[-1] % block))
         file.seek(0)
-        file.write(header(state[1:], block, state[0]))
-        return state[-1]
+        if wrapped:
+            file.write(wrapper.head(offsets[-1], size, block=block))
+        file.write(header(offsets, block, size))
+        return before + (offsets[-1] + -offsets[-1] % block if wrapped else offsets[-1])
 
     rows = blocks.select(F.col("container").cast("string").alias("container"), "idx", "stored", F.col("size").cast("long").alias("size"))
     return rows.repartition(partitions(blocks.sparkSession), "container").sortWithinPartitions("container", "idx").mapInArrow(_streamed(folder, begin, write, finish), "container string, bytes long")

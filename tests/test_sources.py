@@ -97,3 +97,29 @@ def test_sidecar_bytes(spark):
     got = {r.container: r for r in sinks.read_sidecars(spark.createDataFrame([(k, data) for k in "abc"], "container string, content binary"), stored, 1024).collect()}
     assert {k: r["mode"] for k, r in got.items()} == {"a": "used", "b": "stale", "c": "invalid", "d": "missing"}
     assert got["a"].digests == [d.hex() for d in digests]
+
+
+def test_wrapped_containers(spark, tmp_path):
+    from blockcat.sources import inodes, wrapper
+
+    body = os.urandom(20_000) + b"z" * 30_000
+    df = spark.createDataFrame([("one", body)], "container string, body binary")
+    packed = pipelines.pack(df, 4096)
+    whole = packed.withColumn("size", packed["idx"] * 0 + len(body))
+    assert sinks.write_containers(whole, str(tmp_path), 4096, wrapped=True).first().bytes == (tmp_path / "one").stat().st_size
+    data = (tmp_path / "one").read_bytes()
+    read = lambda at, n: data[at : at + n]
+    start, stored, content, name, block = wrapper.inner(read)
+    assert (start, content, name, block) == (6 * 4096, len(body), "pfs_image.dat", 4096) and len(data) == (6 + -(-stored // 4096)) * 4096
+    assert read_offsets(data[start:])[2][-1] == stored
+    assert [(rel, at, n) for rel, _, at, n in inodes.Reader(read).files()] == [("pfs_image.dat", start, stored)]
+    spark.dataSource.register(BlockStore)
+    back = spark.read.format("blockcat_blocks").option("blocks", "3").load(str(tmp_path))
+    assert {(r.idx, bytes(r.stored)) for r in back.collect()} == {(r.idx, bytes(r.stored)) for r in packed.collect()}
+    assert sum(r.dirty for r in wrapper.slack_report(spark, str(tmp_path)).collect()) == 0
+    hurt = bytearray(data)
+    hurt[4 * 4096 + 9] = hurt[-1] = 7
+    (tmp_path / "one").write_bytes(hurt)
+    assert sorted((r.off, r.dirty) for r in wrapper.slack_report(spark, str(tmp_path)).filter("dirty > 0").collect()) == [(4 * 4096, 1), (start + stored, 1)]
+    with pytest.raises(ValueError):
+        wrapper.inner(lambda at, n: bytes(n))

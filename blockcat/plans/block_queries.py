@@ -14,6 +14,7 @@ from blockcat.operators.shared import shared_folder, stored, value_before
 from blockcat.plans import pipelines
 from blockcat.sources import sinks
 from blockcat.sources.blockstore import BlockStore
+from blockcat.streaming import logs
 from blockcat.plans.inputs import BLOCKS_SQL, FILES_SQL, PREDICTED_SQL, blocks, files, load
 
 QUERIES, ORACLE = {}, {}
@@ -436,3 +437,15 @@ def index_records(spark: SparkSession, d: str) -> DataFrame:
     more = f.unionByName(files(spark, d).filter("doc_id % 9 = 0").select("container", S.ascii_upper(F.col("rel")).alias("rel"), "size", F.lit(0).cast("long").alias("mtime")))
     own = f.select("container").distinct().select("container", F.lit("Ampr_Emu.index").alias("rel"), F.lit(1).cast("long").alias("size"), F.lit(0).cast("long").alias("mtime"))
     return pipelines.build_index(more.unionByName(own)).select("container", "rel")
+
+
+@query("""WITH j AS (SELECT event_id % 40 AS container, event_id AS idx, CASE WHEN event_id % 9 = 0 THEN 0 ELSE 1 END AS state FROM events)
+    SELECT container, idx FROM j WHERE state = 0 OR container % 4 = 0""")
+def scan_resume(spark: SparkSession, d: str) -> DataFrame:
+    """Blocks that are still to be scanned: those that the journal doesn't know, and all of a container whose journal no longer fits it."""
+    e = F.col("event_id")
+    rows = load(spark, d, "events").select((e % 40).alias("container"), e.alias("idx"), F.when(e % 9 == 0, 0).otherwise(1).alias("state"))
+    heads = rows.groupBy("container").agg(F.count("*").alias("blocks"), F.count_if(F.col("state") == 1).alias("matched"), F.lit(0).alias("bad"), F.count_if(F.col("state") == 1).alias("scanned"))
+    now = heads.select("container", (F.col("blocks") + F.when(F.col("container") % 4 == 0, 1).otherwise(0)).alias("blocks"))
+    fit = oplog.resumable(heads, now, ["container", "blocks"])
+    return logs.unscanned(rows.select("container", "idx"), rows.join(fit.select("container"), "container", "left_semi"))

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockcat.operators import layout
+from blockcat.operators import layout, oplog
 from blockcat.operators.shared import fresh, sum_before
 
 # Budget and reserve where none are given.
@@ -79,3 +79,19 @@ def credit_now(state: DataFrame, container: str, budget: int, reserve: int) -> D
     base = budget - reserve if budget > reserve else budget
     sums = state.groupBy(container).agg(F.sum(F.least("committed", "original")).alias("freed"), F.sum("reverse_temp").alias("temp"), F.max("output").alias("output"))
     return sums.withColumn("credit", F.greatest(F.lit(0).cast("long"), F.lit(base) + F.col("freed") - F.col("output") - F.col("temp")))
+
+
+def resume(plan: DataFrame, journal: DataFrame, container: str) -> DataFrame:
+    """Where a broken-off job goes on, per container: (done, freed, next, partial).
+
+    ``plan`` has (container, rel, schedule_order, size), ``journal`` the job's lines (container, rel, seq, state, committed), of which
+    a file's last one counts. ``done`` files need nothing more; ``freed`` bytes of sources are gone; ``next`` is the first file in
+    the order that isn't done (null if all are), and ``partial`` its committed bytes.
+    """
+    last = oplog.latest(journal, [container, "rel"], ["seq"], ["state", "committed"]).select(container, "rel", "state", "committed")
+    rows = plan.join(last, [container, "rel"], "left")
+    done = F.coalesce(F.col("state") == "done", F.lit(False))
+    gone = F.when(done, F.col("size")).otherwise(F.least(F.coalesce("committed", F.lit(0).cast("long")), F.col("size")))
+    first = F.min(F.when(~done, F.struct("schedule_order", F.coalesce("committed", F.lit(0).cast("long")).alias("committed"))))
+    sums = rows.groupBy(container).agg(F.count_if(done).alias("done"), F.sum(gone).alias("freed"), first.alias("_first"))
+    return sums.select(container, "done", "freed", F.col("_first.schedule_order").alias("next"), F.col("_first.committed").alias("partial"))

@@ -449,3 +449,17 @@ def scan_resume(spark: SparkSession, d: str) -> DataFrame:
     now = heads.select("container", (F.col("blocks") + F.when(F.col("container") % 4 == 0, 1).otherwise(0)).alias("blocks"))
     fit = oplog.resumable(heads, now, ["container", "blocks"])
     return logs.unscanned(rows.select("container", "idx"), rows.join(fit.select("container"), "container", "left_semi"))
+
+
+@query(f"""WITH {FILES_SQL}, p AS (SELECT container, rel, size, doc_id AS schedule_order FROM files),
+    j AS (SELECT container, rel, doc_id AS k, CASE WHEN doc_id % 400 < 150 THEN 'done' WHEN doc_id % 7 = 0 THEN 'writing' END AS state, CASE WHEN doc_id % 7 = 0 THEN size // 2 ELSE size * 2 END AS committed FROM files),
+    s AS (SELECT container, schedule_order, state = 'done' IS TRUE AS done, size, CASE WHEN state IS NOT NULL THEN committed ELSE 0 END AS committed FROM p JOIN j USING (container, rel))
+    SELECT container, count_if(done)::BIGINT AS done, sum(CASE WHEN done THEN size ELSE least(committed, size) END)::BIGINT AS freed, min(CASE WHEN NOT done THEN schedule_order END) AS next,
+        arg_min(committed, schedule_order) FILTER (NOT done)::BIGINT AS partial FROM s GROUP BY container""")
+def stream_resume(spark: SparkSession, d: str) -> DataFrame:
+    f = files(spark, d)
+    k = F.col("doc_id")
+    plan = f.select("container", "rel", "size", k.alias("schedule_order"))
+    lines = f.select("container", "rel", F.when(k % 400 < 150, "done").when(k % 7 == 0, "writing").alias("state"), F.when(k % 7 == 0, S.ceil_div(F.col("size") - 1, F.lit(2))).otherwise(F.col("size") * 2).alias("committed"))
+    journal = lines.filter("state is not null").withColumn("seq", F.lit(2)).unionByName(lines.filter("state is not null").withColumn("seq", F.lit(1)).withColumn("state", F.lit("started")).withColumn("committed", F.lit(0).cast("long")))
+    return schedule.resume(plan, journal, "container")

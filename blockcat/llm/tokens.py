@@ -19,7 +19,7 @@ from collections.abc import Iterable
 import numpy as np
 
 #: Chunks kept at once per worker: about 200 bytes each. The older half goes when as many new ones have come.
-KEEP_CHUNKS = 400_000
+KEEP_CHUNKS = 200_000
 #: Longer chunks are encoded each time, not kept.
 LONG_CHUNK = 64
 

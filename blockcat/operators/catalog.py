@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from blockcat.functions import scalars as S
-from blockcat.operators.shared import Stored, running_totals, small
+from blockcat.operators.shared import Stored, partitions, running_totals, small, stored
 
 # Ends of names that tell what a source is.
 COMPRESSED_ENDS, IMAGE_ENDS = (".ffpfsc",), (".exfat", ".ffpfs", ".pfs", ".dat")
@@ -109,10 +109,26 @@ def version_of_hash(games: DataFrame, versions: DataFrame) -> DataFrame:
     return games.join(known, S.ascii_lower(F.col("sha256")) == F.col("_sha"), "left").drop("_sha")
 
 
-def competitors(games: DataFrame) -> DataFrame:
-    """(title, source_path, other_path): instances of one title from different sources."""
-    b = games.select(F.col("title").alias("_t"), F.col("source_path").alias("other_path"))
-    return games.select("title", "source_path").join(b, (F.col("title") == F.col("_t")) & (F.col("source_path") != F.col("other_path"))).drop("_t")
+#: Instances of one title that one task compares with as many others.
+PAIR_BLOCK = 1024
+
+
+def competitors(games: DataFrame, block: int = PAIR_BLOCK) -> DataFrame:
+    """(title, source_path, other_path): instances of one title from different sources.
+
+    There are as many rows as pairs, so a title is no single task's: its instances are dealt by path into blocks of about ``block``,
+    and each pair of blocks is a key of the join. Tables are dealt out even where they are small enough to be broadcast.
+    """
+    spark = games.sparkSession
+    rows = games.select("title", "source_path")
+    n_blocks = rows.groupBy(F.col("title").alias("_g")).agg(F.ceil(F.count("*") / block).alias("_k"))
+    dealt = stored(rows.join(small(n_blocks), F.col("title") == F.col("_g")).withColumn("_own", F.pmod(F.xxhash64("source_path"), F.col("_k"))).select("title", "source_path", "_own", "_k"), "instances")
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_k") - 1))
+    keys = ["title", "_a", "_b"]
+    a = dealt.select("title", "source_path", F.col("_own").alias("_a"), every.alias("_b")).repartition(partitions(spark), *keys)
+    b = dealt.select("title", F.col("source_path").alias("other_path"), every.alias("_a"), F.col("_own").alias("_b")).repartition(partitions(spark), *keys)
+    met = a.hint("merge").join(b, keys)
+    return met.filter(F.col("source_path") != F.col("other_path")).select("title", "source_path", "other_path")
 
 
 def upsert_lines(lines: DataFrame, new: DataFrame, key: str = "key") -> DataFrame:

@@ -210,9 +210,10 @@ def artifact_scan(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT 'TITLE' || lpad((c_custkey % 10000)::VARCHAR, 4, '0') AS title, CASE WHEN c_custkey % 2 = 0 THEN '/src/' || c_custkey END AS source_path, CASE WHEN c_custkey % 3 = 0 THEN '/img/' || c_custkey END AS image_path
     FROM customer WHERE (c_custkey % 2 = 0 OR c_custkey % 3 = 0) AND c_custkey % 7 <> 0""")
 def mounted_titles(spark: SparkSession, d: str) -> DataFrame:
+    """Titles repeat every 10,000 customers, each customer's folder is one of its own: a folder has one link of each kind."""
     c = F.col("c_custkey")
     customer = load(spark, d, "customer")
-    path = F.concat(F.lit("/user/app/"), F.when(c % 7 == 0, "bad").otherwise("TITLE"), F.lpad((c % 10_000).cast("string"), 4, "0"))
+    path = F.concat(F.lit("/user/"), c.cast("string"), F.lit("/app/"), F.when(c % 7 == 0, "bad").otherwise("TITLE"), F.lpad((c % 10_000).cast("string"), 4, "0"))
     one = customer.filter("c_custkey % 2 = 0").select(F.concat(path, F.lit("/mount.lnk")).alias("path"), F.concat(F.lit("/src/"), c.cast("string"), F.lit("\n")).alias("target"))
     two = customer.filter("c_custkey % 3 = 0").select(F.concat(path, F.lit("/mount_img.lnk")).alias("path"), F.concat(F.lit("/img/"), c.cast("string")).alias("target"))
     return C.mounted_titles(customer.select(path.alias("path")), one.unionByName(two))

@@ -2,7 +2,8 @@
 
 A block stored at its full size is raw; a shorter one is deflated. ``pack`` makes a container from encoded blocks,
 ``BlockStore`` reads containers as a data source (a row per block), checking magic, sizes and the order of offsets. A container
-(within an outer image or not) is read by as many tasks as it has runs of ``RUN`` blocks; each reads its part of the table and its bytes.
+(within an outer image or not) is read by as many tasks as it has runs of ``RUN`` blocks; each reads its part of the table and its bytes. Containers of
+one run share tasks, so many small ones are not as many tasks.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ import os
 import struct
 import sys
 from array import array
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -85,21 +86,41 @@ def read_offsets(data: bytes) -> tuple[int, int, list[int]]:
     return block, size, offsets
 
 
-class Blocks(InputPartition):
+class Blocks:
     """A run of a container's blocks; ``at`` is where the container begins in its file."""
 
     def __init__(self, path: str, first: int, count: int, at: int = 0):
         self.path, self.first, self.count, self.at = path, first, count, at
 
 
+class Runs(InputPartition):
+    """What one task reads: runs of one or more containers."""
+
+    def __init__(self, runs: list[Blocks]):
+        self.runs = runs
+
+
+def _shared(whole: Iterable[Blocks], most: int) -> list[Runs]:
+    """Containers of one run, so many to a task as have at most ``most`` blocks together."""
+    out: list[Runs] = []
+    filled = 0
+    for x in whole:
+        if not out or filled + x.count > most:
+            out.append(Runs([]))
+            filled = 0
+        out[-1].runs.append(x)
+        filled += x.count
+    return out
+
+
 class BlockStoreReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.path, self.run = options["path"], int(options.get("blocks", RUN))
 
-    def partitions(self) -> list[Blocks]:
+    def partitions(self) -> list[Runs]:
         """Runs of blocks of every container, from its header alone."""
         found = sorted(glob.glob(os.path.join(self.path, "*"))) if os.path.isdir(self.path) else sorted(glob.glob(self.path))
-        out = []
+        parts, whole = [], []
         for path in found:
             if os.path.isfile(path):
                 with open(path, "rb") as f:
@@ -111,10 +132,17 @@ class BlockStoreReader(DataSourceReader):
                     begin = inner(at)[0] if is_wrapped(at(0, 16)) else 0
                     block, size, _ = read_header(at(begin, _HEAD.size))
                 n = -(-size // block)
-                out += [Blocks(path, i, min(self.run, n - i), begin) for i in range(0, n, self.run)]
-        return out
+                if n <= self.run:
+                    whole.append(Blocks(path, 0, n, begin))
+                else:
+                    parts += [Runs([Blocks(path, i, min(self.run, n - i), begin)]) for i in range(0, n, self.run)]
+        return parts + _shared((x for x in whole if x.count), max(self.run, RUN))
+
+    def read(self, part: Runs) -> Iterator[tuple]:
+        for run in part.runs:
+            yield from self._read(run)
 
-    def read(self, part: Blocks) -> Iterator[tuple]:
+    def _read(self, part: Blocks) -> Iterator[tuple]:
         with open(part.path, "rb") as f:
             f.seek(part.at)
             block, _, start = read_header(f.read(_HEAD.size))

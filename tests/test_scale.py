@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from blockcat import registry
 from blockcat.operators import catalog
+from blockcat.sources.blockstore import Blocks, BlockStore, _shared, pack
 
 
 def test_pairs_of_one_title_are_many_tasks_work(spark):
@@ -22,3 +23,15 @@ def test_customers_of_the_same_title_keep_their_own_links(spark, tmp_path):
     duck.execute(f"CREATE VIEW customer AS SELECT * FROM '{tmp_path}/customer.parquet/*.parquet'")
     got = registry.QUERIES["mounted_titles"](spark, str(tmp_path)).select("title", "source_path", "image_path").collect()
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, duck.execute(registry.ORACLE["mounted_titles"]).fetchall()))
+
+
+def test_small_containers_share_tasks(spark, tmp_path):
+    for i in range(60):
+        (tmp_path / f"c{i:02}").write_bytes(pack([bytes([i, k]) * 9 for k in range(i % 4)], 1024, i % 4 * 1024))
+    (tmp_path / "long").write_bytes(pack([bytes([k]) * 9 for k in range(10)], 1024, 10_000))
+    spark.dataSource.register(BlockStore)
+    got = spark.read.format("blockcat_blocks").option("blocks", "4").load(str(tmp_path))
+    assert got.rdd.getNumPartitions() == 4  # three runs of the long one, and one task for the others
+    want = {(f"c{i:02}", k, bytes([i, k]) * 9) for i in range(60) for k in range(i % 4)} | {("long", k, bytes([k]) * 9) for k in range(10)}
+    assert sorted((r.container, r.idx, bytes(r.stored)) for r in got.collect()) == sorted(want)
+    assert [sum(x.count for x in t.runs) for t in _shared([Blocks("p", 0, 3), Blocks("q", 0, 1), Blocks("r", 0, 1), Blocks("s", 0, 9)], 4)] == [4, 1, 9]

@@ -49,8 +49,10 @@ _HEAD = struct.Struct("<8s6Q")
 _DOC = np.dtype([("doc_id", "<i8"), ("n", "<u8")])
 _INDEX = np.dtype([("start", "<u8"), ("low", "<u4"), ("width", "u1"), ("exceptions", "u1"), ("zero", "<u2")])
 _NULL = np.uint64(1 << 63)
-#: Blocks packed at once, which bounds the bit matrices.
+#: Blocks packed at once, which bounds the words in memory.
 _AT_ONCE = 4096
+#: Bytes that ``BLOCK`` values have for each bit of their width.
+_UNIT = BLOCK // 8
 
 
 def _bits(x: np.ndarray) -> np.ndarray:
@@ -69,40 +71,47 @@ def encode_blocks(ids: np.ndarray, percentile: float = PERCENTILE) -> tuple[np.n
     full = full.reshape(n, BLOCK)
     low = full.min(axis=1)
     rest = full - low[:, None]
-    bits = _bits(rest)
     k = min(BLOCK - 1, int(np.ceil(BLOCK * percentile / 100)) - 1)
-    width = np.partition(bits, k, axis=1)[:, k]
-    over = bits > width[:, None]
+    width = _bits(np.partition(rest, k, axis=1)[:, k])
+    over = rest > ((np.uint64(1) << width.astype(np.uint64)) - np.uint64(1)).astype(np.uint32)[:, None]
     rows, places = np.nonzero(over)
     index = np.zeros(n, _INDEX)
     index["low"], index["width"], index["exceptions"] = low, width, over.sum(axis=1)
-    sizes = width.astype(np.int64) * (BLOCK // 8)
+    sizes = width.astype(np.int64) * _UNIT
     index["start"] = np.cumsum(sizes) - sizes
     values = rest[rows, places].astype("<u4")
     rest[over] = 0
-    out = np.empty(int(sizes.sum()), dtype=np.uint8)
+    out = np.empty((int(sizes.sum()) // _UNIT, _UNIT // 8), dtype="<u8")
     for w in np.unique(width[width > 0]).tolist():
         own = np.flatnonzero(width == w)
         for i in range(0, len(own), _AT_ONCE):
             some = own[i : i + _AT_ONCE]
-            raw = rest[some].astype("<u4").view(np.uint8).reshape(len(some) * BLOCK, 4)
-            packed = np.packbits(np.unpackbits(raw, axis=1, count=w, bitorder="little").reshape(len(some), -1), axis=1, bitorder="little")
-            out[index["start"][some].astype(np.int64)[:, None] + np.arange(packed.shape[1])] = packed
+            columns, words = np.ascontiguousarray(rest[some].T, dtype=np.uint64), np.zeros((w * BLOCK // 64, len(some)), dtype=np.uint64)
+            for j, v in enumerate(columns):
+                at, shift = divmod(j * w, 64)
+                words[at] |= v << np.uint64(shift)
+                if shift + w > 64:
+                    words[at + 1] |= v >> np.uint64(64 - shift)
+            out[(index["start"][some].astype(np.int64)[:, None] // _UNIT + np.arange(w)).reshape(-1)] = words.T.reshape(-1, _UNIT // 8)
     return index, places.astype(np.uint8), values, out.tobytes()
 
 
 def decode_blocks(index: np.ndarray, places: np.ndarray, values: np.ndarray, payload: bytes) -> np.ndarray:
     n = len(index)
-    full, data = np.zeros((n, BLOCK), dtype=np.uint32), np.frombuffer(payload, dtype=np.uint8)
+    full, data = np.zeros((n, BLOCK), dtype=np.uint32), np.frombuffer(payload, dtype="<u8").reshape(-1, _UNIT // 8)
     for w in np.unique(index["width"][index["width"] > 0]).tolist():
         own = np.flatnonzero(index["width"] == w)
         for i in range(0, len(own), _AT_ONCE):
             some = own[i : i + _AT_ONCE]
-            raw = data[index["start"][some].astype(np.int64)[:, None] + np.arange(w * BLOCK // 8)]
-            bits = np.unpackbits(raw, axis=1, bitorder="little").reshape(-1, w)
-            wide = np.zeros((len(bits), 32), dtype=np.uint8)
-            wide[:, :w] = bits
-            full[some] = np.packbits(wide, axis=1, bitorder="little").view("<u4").reshape(len(some), BLOCK)
+            words = np.ascontiguousarray(data[index["start"][some].astype(np.int64)[:, None] // _UNIT + np.arange(w)].reshape(len(some), -1).T)
+            columns = np.empty((BLOCK, len(some)), dtype=np.uint32)
+            for j in range(BLOCK):
+                at, shift = divmod(j * w, 64)
+                v = words[at] >> np.uint64(shift)
+                if shift + w > 64:
+                    v |= words[at + 1] << np.uint64(64 - shift)
+                columns[j] = v & np.uint64((1 << w) - 1)
+            full[some] = columns.T
     full[np.repeat(np.arange(n), index["exceptions"]), places] = values
     return (full + index["low"][:, None]).reshape(-1)
 

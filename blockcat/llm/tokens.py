@@ -19,7 +19,7 @@ from collections.abc import Iterable
 import numpy as np
 
 #: Chunks kept at once per worker: about 200 bytes each. The older half goes when as many new ones have come.
-KEEP_CHUNKS = 400_000
+KEEP_CHUNKS = 800_000
 #: Longer chunks are encoded each time, not kept.
 LONG_CHUNK = 64
 
@@ -82,6 +82,8 @@ class Encoder:
         if (ids := self.old.get(chunk)) is not None:
             return ids
         text = chunk.decode()
+        if self.by_model and chunk.isalpha() and chunk.islower():
+            return self._part(text)
         if self.by_model and _PLAIN.fullmatch(text) and not (b"<" in chunk and any(s in chunk for s in self.special)):
             return self._plain(text)
         return self.encode_whole(text)

@@ -17,6 +17,7 @@ below all others; other columns are not looked at.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -65,8 +66,9 @@ def _rank(values: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     return run
 
 
-def _named(rows: DataFrame, values: list[str], label: str, by_hash: bool = False) -> tuple[DataFrame, Stored]:
-    """(id, sha, n, idx, name): the rank of each row's values among all rows' distinct ones; and the table behind it.
+def _named(rows: DataFrame, values: list[str], label: str, parts: int, by_hash: bool = False) -> tuple[DataFrame, Stored]:
+    """(id, sha, n, idx, name): the rank of each row's values among all rows' distinct ones; and the table behind it, sorted in
+    ``parts`` tasks.
 
     ``by_hash`` sorts by a hash of the values first, so that range boundaries are small whatever the values are. Equal
     values still stand together, unless two values of one hash meet where two tasks' ranges do: then all is sorted anew
@@ -74,7 +76,7 @@ def _named(rows: DataFrame, values: list[str], label: str, by_hash: bool = False
     """
     kinds = ", ".join(f"edge_{v} {dict(rows.dtypes)[v]}" for v in values)
     keyed = rows.withColumn("h", F.xxhash64(*values) if by_hash else F.lit(0).cast("long"))
-    dealt = keyed.repartitionByRange(partitions(rows.sparkSession), *(["h"] if by_hash else values), "id", "idx").sortWithinPartitions("h", *values)
+    dealt = keyed.repartitionByRange(parts, *(["h"] if by_hash else values), "id", "idx").sortWithinPartitions("h", *values)
     table = Stored(dealt.mapInArrow(_rank(values), f"id long, sha binary, n long, idx long, part int, rank long, mixed boolean, edge_h long, {kinds}"), label)
     edge = F.struct(*[f"edge_{v}" for v in values])
     ends = table.df.filter("idx < 0").groupBy("part").agg(F.max("rank").alias("top"), *[F.max(F.when(F.col("idx") == k, F.struct("edge_h", "mixed", edge.alias("v")))).alias(a) for k, a in ((-1, "first"), (-2, "last"))])
@@ -85,7 +87,7 @@ def _named(rows: DataFrame, values: list[str], label: str, by_hash: bool = False
     ends = stored(ends.select(F.col("part").alias("_part"), base.alias("_base"), (F.col("same_h") & (F.col("mixed") | ~F.col("same"))).alias("torn")), f"{label}-base")
     if by_hash and ends.filter("torn").limit(1).count():
         table.drop()
-        return _named(rows, values, label)
+        return _named(rows, values, label, parts)
     return table.df.filter("idx >= 0").join(small(ends), F.col("part") == F.col("_part")).select("id", "sha", "n", "idx", (F.col("rank") + F.col("_base")).alias("name")), table
 
 
@@ -96,18 +98,20 @@ def identities(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     rows = rows.withColumn("n", F.greatest(F.lit(1), F.ceil(F.octet_length("body") / block_bytes)).cast("long"))
     blocks = rows.select("id", "sha", "n", "body", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("idx"))
     blocks = blocks.select("id", "sha", "n", "idx", F.substring("body", (F.col("idx") * block_bytes + 1).cast("int"), F.lit(block_bytes)).alias("block"))
-    named, table = _named(blocks, ["block"], "blocks", by_hash=True)
+    most = partitions(docs.sparkSession)
+    named, table = _named(blocks, ["block"], "blocks", most, by_hash=True)
     copies = stored(named.filter("idx = 0").groupBy("id", "sha", "n").agg(F.count("*").alias("copies")), "copies")
-    widest = table.df.agg(F.max("n")).first()[0] or 1
+    widest, total = table.df.agg(F.max("n"), F.count("*")).first()
     # a row repeated with the same id and text repeats its blocks and their names: one of each goes on
     done = stored(named.filter("n = 1").groupBy("id", "sha", "n").agg(F.max("name").alias("name")), "names-1")
     names, level, before = named.filter("n > 1"), 0, table
-    while 2**level < widest:
+    while 2**level < (widest or 1):
         level += 1
         pairs = names.groupBy("id", "sha", "n", F.expr("idx div 2").alias("idx")).agg(*[F.coalesce(F.max(F.when(F.col("idx") % 2 == k, F.col("name"))), F.lit(-1)).alias(a) for k, a in ((0, "a"), (1, "b"))])
         rows = Stored(pairs, f"pairs-{level}")
         before.drop()
-        names, before = _named(rows.df, ["a", "b"], f"names-{level + 1}")
+        parts = max(1, math.ceil(most * rows.df.count() / total))  # as many rows to a task as at first: a level halves the rows, and so tasks and files
+        names, before = _named(rows.df, ["a", "b"], f"names-{level + 1}", parts)
         rows.drop()
         whole = F.col("n") <= 2**level
         done = done.unionByName(stored(names.filter(whole).select("id", "sha", "n", "name"), f"whole-{level}"))

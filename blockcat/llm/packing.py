@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blockcat.llm.common import running_totals, stored, text_bytes
-from blockcat.llm.tokens import encoder
+from blockcat.llm.tokens import after_encoding, encoder
 
 CAPACITY = 4096
 END_ID = 1
@@ -205,4 +205,4 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
             cols = [b.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(sequence[at] + nth // each[at]), pa.array(offset[at] + nth % each[at] * n)], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    return ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.mapInArrow(after_encoding(place), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

@@ -253,7 +253,8 @@ def links(distinct: DataFrame) -> DataFrame:
 
     def compared(rows: DataFrame, refine: bool, label: str) -> DataFrame:
         sorted_rows = rows.repartition(n, F.expr("shiftright(k, 1)")).sortWithinPartitions("k")
-        return stored(sorted_rows.mapInArrow(lambda batches: _links_in_runs(batches, refine), "a long, b long, k long"), label)
+        # a few links from each of many tasks: rebalanced, so that they fill a few files
+        return stored(sorted_rows.mapInArrow(lambda batches: _links_in_runs(batches, refine), "a long, b long, k long").hint("rebalance"), label)
 
     found = compared(distinct.select("fp").mapInArrow(keyed, "k long, fp long"), True, "simhash-links")
     again = found.filter("b is null and k is not null")

@@ -14,9 +14,10 @@ import os
 import re
 import sys
 from array import array
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 
 #: Chunks kept at once per worker: about 200 bytes each. The older half goes when as many new ones have come.
 KEEP_CHUNKS = 800_000
@@ -105,3 +106,20 @@ def encoder(path: str) -> Encoder:
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]
+
+
+def forget() -> None:
+    """What this worker's encoders have learnt goes; they learn anew."""
+    for e in _encoders.values():
+        e.new.clear()
+        e.old.clear()
+
+
+def after_encoding(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``work`` of a stage that follows the encoding, often in the same worker: the chunks kept there go before it begins."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        yield from work(batches)
+
+    return run

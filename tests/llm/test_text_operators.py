@@ -9,9 +9,10 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from blockcat.llm import calibration, components, exact_dedup, licenses, mixing, packing, quality, secrets, simhash, token_files, tokens, toxicity, vectors
+from blockcat.llm import calibration, common, components, exact_dedup, licenses, mixing, packing, quality, secrets, simhash, token_files, tokens, toxicity, vectors
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, key int, size string, _id int, _plan int"
@@ -68,6 +69,30 @@ def test_exact_dedup(spark):
     assert sorted(r.doc_id for r in left.collect()) == sorted(max(v) for v in by.values())
 
 
+def files_by_label(monkeypatch, module, files):
+    """Notes how many files of rows each table stored by the module has."""
+    own = common.Stored
+
+    class Noted(own):
+        def __init__(self, df, label):
+            super().__init__(df, label)
+            files[label] = sum(n > 0 for n in self.df.groupBy(F.input_file_name()).count().toPandas()["count"])
+
+    monkeypatch.setattr(module, "Stored", Noted, raising=False)
+    monkeypatch.setattr(module, "stored", lambda df, label: Noted(df, label).df)
+
+
+def test_exact_dedup_writes_fewer_files_as_rows_get_fewer(spark, monkeypatch):
+    files, rows = {}, [(i, f"{i % 40} " * (200 if i % 3 else 4), "a") for i in range(120)]
+    files_by_label(monkeypatch, exact_dedup, files)
+    got = exact_dedup.duplicates(table(spark, rows), 16).collect()
+    ids = defaultdict(list)
+    for i, t, _ in rows:
+        ids[t].append(i)
+    assert {(r.doc_id, r.keep_id, r.group_size) for r in got} == {(i, max(ids[t]), len(ids[t])) for i, t, _ in rows}
+    assert files["blocks"] == 4 and files["names-2"] <= 3 and files["names-4"] == 1
+
+
 def test_exact_dedup_of_repeated_rows_and_nulls(spark):
     rows = [(1, "a" * 300, "s"), (1, "a" * 300, "s"), (1, "b" * 300, "s"), (None, "a" * 300, "s"), (2, None, "s")]
     got = Counter((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.duplicates(table(spark, rows), 64).collect())
@@ -143,6 +168,17 @@ def test_encoder_forgets_what_is_too_much(monkeypatch):
     assert list(e.encode([x.encode() for x in texts])) == [e.encode_whole(x) for x in texts]
 
 
+def test_what_follows_the_encoding_forgets_it(monkeypatch):
+    monkeypatch.setattr(tokens, "_encoders", {})
+    e = tokens.encoder(PATH)
+    text = [b"one two three", b"two one"]
+    ids = list(e.encode(text))
+    e.old = dict(e.new)
+    sizes = []
+    assert list(tokens.after_encoding(lambda batches: (sizes.append(len(e.new) + len(e.old)) or b for b in batches))(iter([1, 2]))) == [1, 2]
+    assert sizes == [0, 0] and tokens.encoder(PATH) is e and list(e.encode(text)) == ids
+
+
 def brute_pieces(rows, capacity):
     t = Tokenizer.from_file(PATH)
     for i, text, _ in rows:
@@ -285,6 +321,16 @@ def test_near_duplicates(spark):
     assert simhash.near_duplicates(table(spark, []).limit(0)).count() == 0
 
 
+def test_links_of_many_tasks_fill_few_files(spark, monkeypatch):
+    files = {}
+    files_by_label(monkeypatch, simhash, files)
+    fps = np.random.default_rng(3).integers(0, 2**63, 400, dtype=np.int64)
+    pairs = {(int(x), int(x) ^ 5) for x in fps}
+    got = simhash.links(spark.createDataFrame([(x,) for p in pairs for x in p], "fp long")).distinct().collect()
+    assert {(r.a, r.b) for r in got} == {(max(p), min(p)) for p in pairs}
+    assert files["simhash-links"] == 1
+
+
 def test_runs_too_long_to_compare_are_still_linked(spark, monkeypatch):
     monkeypatch.setattr(simhash, "DENSE", 8)
     monkeypatch.setattr(simhash, "SHORT", 4)

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from blockcat.llm.common import partitions, small, stored, text_bytes
-from blockcat.llm.tokens import encoder
+from blockcat.llm.tokens import after_encoding, encoder
 
 MAGIC = b"BCTOK1\0\0"
 BLOCK = 128
@@ -51,6 +51,8 @@ _INDEX = np.dtype([("start", "<u8"), ("low", "<u4"), ("width", "u1"), ("exceptio
 _NULL = np.uint64(1 << 63)
 #: Blocks packed at once, which bounds the words in memory.
 _AT_ONCE = 4096
+#: Documents encoded at once, which bounds the texts and ids that a worker holds besides its batch.
+_DOCS_AT_ONCE = 1024
 #: Bytes that ``BLOCK`` values have for each bit of their width.
 _UNIT = BLOCK // 8
 
@@ -164,7 +166,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         end = np.array([end_id], dtype="<u4").tobytes()
-        for b in batches:
+        for b in (whole.slice(i, _DOCS_AT_ONCE) for whole in batches for i in range(0, whole.num_rows, _DOCS_AT_ONCE)):
             known = b.column("doc_id")
             part = np.searchsorted(bounds, known.fill_null(-(2**63)).to_numpy(zero_copy_only=False))
             raw = [ids + end for ids in enc.encode(text_bytes(b.column("text")))]
@@ -198,7 +200,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tokens, "part int, doc_id long, crc long, ids binary")
     placed = rows.repartitionById(parts, F.col("part")).sortWithinPartitions("doc_id", "crc").select("doc_id", "ids")
-    placed.mapInArrow(segments, "segment binary").select(F.col("segment").cast("string").alias("value")).write.option("maxRecordsPerFile", SEGMENTS).option("compression", "none").option("lineSep", "\n").mode("overwrite").text(path)
+    placed.mapInArrow(after_encoding(segments), "segment binary").select(F.col("segment").cast("string").alias("value")).write.option("maxRecordsPerFile", SEGMENTS).option("compression", "none").option("lineSep", "\n").mode("overwrite").text(path)
 
 
 def read_token_files(spark: SparkSession, path: str, ids: bool = False) -> DataFrame:
@@ -224,7 +226,7 @@ def read_token_files(spark: SparkSession, path: str, ids: bool = False) -> DataF
 
     files = spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").load(path)
     kinds = "part long, number long, doc_id long, place long, n_tokens long, ids_crc32 long" + ", ids array<int>" * ids
-    rows = stored(files.select("content").mapInArrow(decode, kinds), "read-back")
+    rows = stored(files.select("content").mapInArrow(after_encoding(decode), kinds), "read-back")
     # offsets in two steps: of segments in their partition, of partitions
     sizes = rows.groupBy("part", "number").agg(F.sum("n_tokens").alias("size"))
     ahead = Window.orderBy("part").partitionBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, -1)

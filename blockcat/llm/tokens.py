@@ -109,10 +109,11 @@ def encoder(path: str) -> Encoder:
 
 
 def forget() -> None:
-    """What this worker's encoders have learnt goes; they learn anew."""
+    """What this worker's encoders have learnt goes, and they learn anew; memory that Arrow holds unused goes back to the system."""
     for e in _encoders.values():
         e.new.clear()
         e.old.clear()
+    pa.default_memory_pool().release_unused()
 
 
 def after_encoding(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

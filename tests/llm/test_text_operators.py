@@ -168,6 +168,23 @@ def test_encoder_forgets_what_is_too_much(monkeypatch):
     assert list(e.encode([x.encode() for x in texts])) == [e.encode_whole(x) for x in texts]
 
 
+def test_token_files_encode_a_batch_in_slices(spark, tmp_path, monkeypatch):
+    docs, rows = 3_000, []
+    df = spark.range(docs).selectExpr("id as doc_id", "concat('word', id % 7) as text").coalesce(1)
+    real = type(df).mapInArrow
+
+    def noted(self, work, schema, *more):
+        if "crc long" not in schema or "ids binary" not in schema:
+            return real(self, work, schema, *more)
+        rows.extend(b.num_rows for b in work(iter(self.toArrow().combine_chunks().to_batches())))
+        return real(self, work, schema, *more)
+
+    monkeypatch.setattr(type(df), "mapInArrow", noted)
+    token_files.write_token_files(df, str(tmp_path / "t"), PATH)
+    assert sum(rows) == docs and max(rows) <= 1024
+    assert token_files.read_token_files(spark, str(tmp_path / "t")).count() == docs
+
+
 def test_what_follows_the_encoding_forgets_it(monkeypatch):
     monkeypatch.setattr(tokens, "_encoders", {})
     e = tokens.encoder(PATH)

@@ -36,11 +36,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockcat.llm.common import running_totals, stored, text_bytes
-from blockcat.llm.tokens import after_encoding, encoder
+from blockcat.llm.common import partitions, running_totals, stored, text_bytes
+from blockcat.llm.tokens import after_encoding, encoder, slices
 
 CAPACITY = 4096
 END_ID = 1
+#: Pieces that one task sorts, as long as the session's number of shuffle partitions isn't exceeded: each task writes a file.
+PIECES_A_TASK = 1 << 15
 
 
 class Placement(NamedTuple):
@@ -171,7 +173,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end, wide = encoder(tokenizer), np.array([end_id], dtype="<u4").tobytes(), 4 * capacity
-        for b in batches:
+        for b in slices(batches):
             out: list[tuple] = []
             for doc, ids in zip(b.column("doc_id").to_pylist(), enc.encode(text_bytes(b.column("text"))), strict=True):
                 ids += end
@@ -187,7 +189,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
     cut = stored(pieces(docs, tokenizer, capacity, end_id), "pieces")
     counts = {r[0]: r[1] for r in cut.groupBy("length").count().collect()}  # at most `capacity` rows
     placed = plan(counts, capacity)
-    ranked = running_totals(cut, ["length", "doc_id", "piece", "ids_crc32"], None, "length", "piece-order").withColumnRenamed("before", "rank")
+    tasks = min(partitions(docs.sparkSession), sum(counts.values()) // PIECES_A_TASK + 1)
+    ranked = running_totals(cut, ["length", "doc_id", "piece", "ids_crc32"], None, "length", "piece-order", tasks, after_encoding).withColumnRenamed("before", "rank")
     rows = np.array(sorted(placed), dtype=np.int64).reshape(-1, 6)
     shared = docs.sparkSession.sparkContext.broadcast(rows)  # bounded by the capacity: a few placements per length
 

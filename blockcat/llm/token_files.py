@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from blockcat.llm.common import partitions, small, stored, text_bytes
-from blockcat.llm.tokens import after_encoding, encoder
+from blockcat.llm.tokens import after_encoding, encoder, slices
 
 MAGIC = b"BCTOK1\0\0"
 BLOCK = 128
@@ -51,8 +51,6 @@ _INDEX = np.dtype([("start", "<u8"), ("low", "<u4"), ("width", "u1"), ("exceptio
 _NULL = np.uint64(1 << 63)
 #: Blocks packed at once, which bounds the words in memory.
 _AT_ONCE = 4096
-#: Documents encoded at once, which bounds the texts and ids that a worker holds besides its batch.
-_DOCS_AT_ONCE = 1024
 #: Bytes that ``BLOCK`` values have for each bit of their width.
 _UNIT = BLOCK // 8
 
@@ -166,7 +164,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         end = np.array([end_id], dtype="<u4").tobytes()
-        for b in (whole.slice(i, _DOCS_AT_ONCE) for whole in batches for i in range(0, whole.num_rows, _DOCS_AT_ONCE)):
+        for b in slices(batches):
             known = b.column("doc_id")
             part = np.searchsorted(bounds, known.fill_null(-(2**63)).to_numpy(zero_copy_only=False))
             raw = [ids + end for ids in enc.encode(text_bytes(b.column("text")))]

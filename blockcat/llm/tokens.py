@@ -23,6 +23,8 @@ import pyarrow as pa
 KEEP_CHUNKS = 800_000
 #: Longer chunks are encoded each time, not kept.
 LONG_CHUNK = 64
+#: Documents encoded at once, which bounds the texts and ids that a worker holds besides its batch.
+DOCS_AT_ONCE = 1024
 
 #: Lower-case letters that have no decomposition to undo, digits, and signs; and the parts that a chunk of them has.
 _PLAIN = re.compile("[a-z0-9ß-öø-ÿ!-&(-/:-@\\[-`{-~]+")
@@ -96,7 +98,7 @@ class Encoder:
                 yield self.encode_whole(text.decode())
                 continue
             if len(self.new) > KEEP_CHUNKS // 2:
-                self.old, self.new = dict(self.new), _Known(self._learn)
+                self.old, self.new = self.new, _Known(self._learn)
             # the vocabulary is lower case; a special token's letters must stay as they are
             yield b"".join(map(self.new.__getitem__, (text if b"<|" in text else text.lower()).split()))
 
@@ -108,6 +110,13 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+def slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches' rows, ``DOCS_AT_ONCE`` at a time."""
+    for b in batches:
+        for i in range(0, b.num_rows, DOCS_AT_ONCE):
+            yield b.slice(i, DOCS_AT_ONCE)
+
+
 def forget() -> None:
     """What this worker's encoders have learnt goes, and they learn anew; memory that Arrow holds unused goes back to the system."""
     for e in _encoders.values():

@@ -150,18 +150,19 @@ def _local_totals(group: str | None, value: str | None) -> Callable[[Iterator[pa
     return run
 
 
-def running_totals(df: DataFrame, order: Sequence[str], value: str | None = None, group: str | None = None, label: str = "totals") -> DataFrame:
+def running_totals(df: DataFrame, order: Sequence[str], value: str | None = None, group: str | None = None, label: str = "totals", tasks: int | None = None, around: Callable = lambda work: work) -> DataFrame:
     """``df`` with ``before``: the sum of ``value`` (rows, if None) over the rows that precede in ``order`` (within ``group``,
     which must be the first of ``order``).
 
     Rows are range-partitioned on all of ``order``, so one group spreads over as many tasks as it needs; each task sums
     what it has, and the tasks' totals (one row per task and group in it) give the offsets. Range partitioning reads
-    its input twice, so ``df`` should be a stored or cheap frame. Nulls sort first and form one group.
+    its input twice, so ``df`` should be a stored or cheap frame. Nulls sort first and form one group. ``tasks`` is for a
+    caller that knows how many rows there are, ``around`` for what the Python workers have to do first.
     """
     spark = df.sparkSession
-    dealt = df.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
+    dealt = df.repartitionByRange(tasks or partitions(spark), *order).sortWithinPartitions(*order)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    local = stored(dealt.mapInArrow(_local_totals(group, value), f"{kinds}, _part int, _before long"), label)
+    local = stored(dealt.mapInArrow(around(_local_totals(group, value)), f"{kinds}, _part int, _before long"), label)
     keys = ["_part"] + ([group] if group else [])
     sums = local.groupBy(*keys).agg((F.sum(value) if value else F.count("*")).alias("_sum"))
     ahead = (Window.partitionBy(group) if group else Window.partitionBy(F.lit(0))).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

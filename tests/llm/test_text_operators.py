@@ -4,6 +4,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from blockcat.llm import calibration, common, components, exact_dedup, licenses, mixing, packing, quality, secrets, simhash, token_files, tokens, toxicity, vectors
+from blockcat.operators import shared
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, key int, size string, _id int, _plan int"
@@ -196,6 +198,30 @@ def test_what_follows_the_encoding_forgets_it(monkeypatch):
     assert sizes == [0, 0] and tokens.encoder(PATH) is e and list(e.encode(text)) == ids
 
 
+def test_packing_holds_little(spark, monkeypatch):
+    monkeypatch.setattr(tokens, "_encoders", {})
+    docs, works = 3_000, {}
+    df = spark.range(docs).selectExpr("id as doc_id", "concat('word', id % 7) as text").coalesce(1)
+    real = type(df).mapInArrow
+
+    def noted(self, work, schema, *more):
+        works[schema.replace("`", "").replace("bigint", "long")] = (self, work)
+        return real(self, work, schema, *more)
+
+    monkeypatch.setattr(type(df), "mapInArrow", noted)
+    assert packing.pack(df, PATH).count() == docs
+    pieces = "doc_id long, piece int, start long, length long, ids_crc32 long"
+    encoding, (dealt, totals) = works[pieces][1], works[f"{pieces}, _part int, _before long"]
+    sizes = [b.num_rows for b in encoding(iter(df.toArrow().combine_chunks().to_batches()))]
+    assert sum(sizes) == docs and max(sizes) <= 1024
+    assert dealt.rdd.getNumPartitions() == 1  # not a task and a file for each shuffle partition
+    e = tokens.encoder(PATH)
+    assert e.new
+    monkeypatch.setattr(shared, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    assert sum(b.num_rows for b in totals(iter(dealt.toArrow().to_batches()))) == docs
+    assert not e.new and not e.old
+
+
 def brute_pieces(rows, capacity):
     t = Tokenizer.from_file(PATH)
     for i, text, _ in rows:
